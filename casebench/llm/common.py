@@ -86,16 +86,39 @@ def numbered(df: DataFrame, group: list[str], order: list, out: str, shards: int
     """Gapless numbers from 0 within each group, in order of (shard, *order), where the shard is a hash of `key`.
 
     Each group is dealt over `shards` windows, so that a group with a third of all rows isn't one task. The counts of
-    (group, shard) give each window its first number; they are aggregated before the shuffle.
+    (group, shard), aggregated before their shuffle, give each window its first number. df is read twice.
     """
-    shard = F.pmod(F.xxhash64(F.lit("shard"), F.col(key)), F.lit(shards)).cast("int")
-    df = df.withColumn("__shard", shard)
-    counts = df.groupBy(*group, "__shard").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*group).orderBy("__shard").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__shard").alias("__s"), F.coalesce(F.sum("__n").over(W.partitionBy(*group).orderBy("__shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first")) if group else counts.select(F.col("__shard").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    rank = F.row_number().over(W.partitionBy(*group, "__shard").orderBy(*order)) - 1
-    ranked = df.withColumn("__rank", rank)
+    df = df.withColumn("__shard", F.pmod(F.xxhash64(F.lit("shard"), F.col(key)), F.lit(shards)).cast("int"))
+    before = W.partitionBy(*[f"__g_{g}" for g in group]).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__shard").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(*group, "__shard").orderBy(*order)) - 1)
     on = F.col("__shard") == F.col("__s")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     return ranked.join(first, on).withColumn(out, (F.col("__first") + F.col("__rank")).cast("long")).drop("__shard", "__s", "__first", "__rank", *[f"__g_{g}" for g in group])
+
+
+def starts_of_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """1 at each byte that begins a word; words don't go over the ends of rows."""
+    table = np.ones(256, np.uint8)
+    table[list(SPACE_BYTES)] = 0
+    inside = table[data]
+    starts = inside.copy()
+    starts[1:] &= 1 - inside[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[firsts] = inside[firsts]
+    return starts
+
+
+def count_words(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [sums_by_row(starts_of_words(data, offsets), offsets) for _, _, data, offsets in spans_of_bytes(batch)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())], names=[*carried, "size"])
+
+
+def with_words(docs: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns and size, the number of words of the text (null: 0)."""
+    given = docs.select(*carried, F.col("text").cast("string").alias("text"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes[:-1])
+    return given.mapInArrow(lambda it: count_words(it, list(carried)), f"{fields}, size long")

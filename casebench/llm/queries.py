@@ -1,10 +1,14 @@
 """The queries of this package, one an operator, and the SQL of those that SQL can express."""
 
-from casebench.llm import quality, simhash
+from casebench.llm import language, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
+    "op3_language_id": language.op3_language_id,
+    "op6_length_buckets": packing.op6_length_buckets,
+    "op7_shard_shuffle": sharding.op7_shard_shuffle,
+    "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL = {
