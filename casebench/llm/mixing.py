@@ -19,7 +19,7 @@ from casebench.llm.common import materialize, with_words
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents of a source that one task's flight takes, on average.
 BLOCK = 4000
-#: The smallest documents of a source, which don't fly in the last round but are landed with what the flight leaves.
+#: Documents of a source, of sizes up to its third quartile, that don't fly in the last round but are landed with what it leaves.
 RESERVE = 10
 EPS = 1e-9
 
@@ -45,9 +45,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, reserve: int = 0) -> np.ndarray:
     """p moved to 0 or 1, but for at most two, with sum(p) and sum(p * size) kept; each p stays its own mean.
 
-    The `reserve` smallest fractional ones keep their p.
+    `reserve` fractional ones, evenly spaced in order of size up to the third quartile, keep their p.
     """
-    still = {int(i) for i in [i for i in np.argsort(size, kind="stable") if EPS < p[i] < 1 - EPS and size[i] > 0][:reserve]}
+    order = [i for i in np.argsort(size, kind="stable").tolist() if EPS < p[i] < 1 - EPS and size[i] > 0]
+    still = {order[int(0.75 * k * (len(order) - 1) / reserve)] for k in range(1, reserve + 1)} if order else set()
     p = p.astype(float).tolist()
     size = size.astype(float).tolist()
     draws = rng.random(len(p) + 3).tolist()
@@ -79,14 +80,17 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, reserve: i
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The fractions that the flight left (2 + RESERVE at most), rounded so that the tokens, then the documents, change least."""
+    """The fractions that the flight left (2 + RESERVE at most), rounded so that tokens and documents change least.
+
+    A document too many or too few weighs like a twentieth of the mean size.
+    """
     left = np.flatnonzero((p > 0) & (p < 1))
     if not len(left):
         return p
     picks = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
     off = np.abs((picks - p[left]) @ size[left]), np.abs((picks - p[left]).sum(axis=1))
     out = p.copy()
-    out[left] = picks[np.lexsort((off[1], off[0]))[0]]
+    out[left] = picks[np.argmin(off[0] + off[1] * size[left].mean() / 20)]
     return out
 
 

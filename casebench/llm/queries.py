@@ -1,6 +1,6 @@
 """The queries of this package, one an operator, and the SQL of those that SQL can express."""
 
-from casebench.llm import language, mixing, packing, quality, sharding, simhash
+from casebench.llm import language, mixing, packing, quality, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_shard_shuffle": sharding.op7_shard_shuffle,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLE_SQL = {
