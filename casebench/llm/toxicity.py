@@ -18,7 +18,7 @@ from casebench.llm.common import spans_of_bytes, texts
 from casebench.llm.language import letters
 
 #: Most labelled texts that the model is fitted on; hashed features; word beginnings, in bytes (8 also stands for the word).
-SAMPLE_ROWS, FEATURE_BITS, BEGINNINGS = 12_000, 18, (4, 5, 6, 7, 8)
+SAMPLE_ROWS, FEATURE_BITS, BEGINNINGS = 6000, 18, (4, 5, 6, 7, 8)
 STEPS, L1 = 200, 1e-4
 #: Features that fewer sampled texts have aren't used; of the others the so many that go most with the grade are.
 MIN_TEXTS, MOST_FEATURES = 3, 4096
@@ -39,8 +39,9 @@ def features(rows: list[bytes], bits: int = FEATURE_BITS, beginnings: tuple[int,
         open_word &= byte != 32
         head = head << np.uint64(8) | np.where(open_word, byte, 0).astype(np.uint64)
         if k + 1 in beginnings:
-            hashed = ((head + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-            keys.append(row.astype(np.uint64) << np.uint64(bits) | hashed)
+            has = open_word if k + 1 < max(beginnings) else slice(None)  # a shorter word only counts as a whole
+            hashed = ((head[has] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+            keys.append(row[has].astype(np.uint64) << np.uint64(bits) | hashed)
     found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
     return (found >> np.uint64(bits)).astype(np.int64), (found & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -63,15 +64,13 @@ class Ordinal:
         return np.diff(np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1), axis=1)
 
 
-def fit(samples: list[tuple[int, np.ndarray]], bits: int = FEATURE_BITS, steps: int = STEPS, l1: float = L1, min_texts: int = MIN_TEXTS) -> Ordinal:
-    """From (grade, features) of labelled texts, by accelerated proximal gradient steps on the mean log loss and l1 * |w|."""
-    grades = tuple(sorted({g for g, _ in samples}))
+def fit(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, bits: int = FEATURE_BITS, steps: int = STEPS, l1: float = L1, min_texts: int = MIN_TEXTS) -> Ordinal:
+    """From the grade of each text and the (row, feature) that they have, by accelerated proximal gradient steps on the mean log loss and l1 * |w|."""
+    grades = tuple(np.unique(grade).tolist())
     size = 1 << bits
     if len(grades) < 2:
         return Ordinal(np.zeros(size), np.zeros(0), grades or (0,))
-    n, y = len(samples), np.array([grades.index(g) for g, _ in samples])
-    feature = np.concatenate([f for _, f in samples]).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(f) for _, f in samples])
+    n, y = len(grade), np.searchsorted(grades, grade)
     have = np.bincount(feature, minlength=size)
     centred = (y - y.mean()) / max(y.std(), 1e-9)
     linked = np.abs(np.bincount(feature, centred[row], minlength=size)) / np.sqrt(np.maximum(have * (1 - have / n), 0.5))
@@ -130,8 +129,10 @@ def learned(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample_row
     graded = labels.filter(f"doc_id is not null and {grade} is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max(grade).cast("int").alias("grade"))
     part = int(min(1.0, sample_rows / max(graded.count(), 1)) * 1_000_000)
     picked = F.broadcast(graded.filter(F.pmod(F.xxhash64(F.lit("grade"), "of"), F.lit(1_000_000)) < part).limit(2 * sample_rows))
-    rows = texts(docs).join(picked, F.col("doc_id") == F.col("of")).select("grade", "text").mapInArrow(featured, "grade int, features array<int>").limit(2 * sample_rows).toArrow()
-    return fit(sorted(((g, np.array(f, np.int64)) for g, f in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)), key=lambda x: (x[0], x[1].tolist())))
+    rows = texts(docs).join(picked, F.col("doc_id") == F.col("of")).select("grade", "text").mapInArrow(featured, "grade int, features array<int>").toArrow()
+    lists = rows.column("features").combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    return fit(rows.column("grade").to_numpy(), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), lists.flatten().to_numpy())
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.RecordBatch]:
