@@ -31,6 +31,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/casebench-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets the context cleaner delete the shuffle files of what has been written
     return spark.read.schema(df.schema).parquet(path)
 
 

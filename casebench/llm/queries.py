@@ -1,11 +1,12 @@
 """The queries of this package, one an operator, and the SQL of those that SQL can express."""
 
-from casebench.llm import language, mixing, neighbours, packing, quality, secrets, sharding, simhash, toxicity
+from casebench.llm import language, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op3_language_id": language.op3_language_id,
+    "op4_suffix_dedup": substrings.op4_suffix_dedup,
     "op5_ann_forest": neighbours.op5_ann_forest,
     "op6_length_buckets": packing.op6_length_buckets,
     "op7_shard_shuffle": sharding.op7_shard_shuffle,
