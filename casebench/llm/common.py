@@ -120,6 +120,6 @@ def count_words(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterat
 
 def with_words(docs: DataFrame, *carried: str) -> DataFrame:
     """The carried columns and size, the number of words of the text (null: 0)."""
-    given = docs.select(*carried, F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes[:-1])
+    given = docs.select(*carried, *([] if "text" in carried else [F.col("text").cast("string").alias("text")]))
+    fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes if n in carried)
     return given.mapInArrow(lambda it: count_words(it, list(carried)), f"{fields}, size long")

@@ -137,7 +137,7 @@ def identify_languages(docs: DataFrame, filters: Filters, *carried: str) -> Data
     """
     table = docs.sparkSession.sparkContext.broadcast(filters)
     names = ["doc_id", *carried]
-    given = docs.select(*names, F.col("text").cast("string").alias("text") if "text" not in carried else F.lit(None).alias("__none"))
+    given = docs.select(*names, *([] if "text" in carried else [F.col("text").cast("string").alias("text")]))
     fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes if n in names)
     return given.mapInArrow(lambda it: predicted(it, table.value, names), f"{fields}, lang_pred string, score double")
 

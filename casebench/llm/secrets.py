@@ -104,15 +104,15 @@ def spans(found: Column, text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(kind))
 
 
-def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR) -> DataFrame:
-    """doc_id, the text ('' for null) and its spans: array<struct<start, rank, stop>> by start, then kind (rank in KINDS, from 1).
+def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, the text ('' for null) and its spans: array<struct<start, rank, stop>> by start, then kind (rank in KINDS, from 1).
 
     Base spans are leftmost and don't overlap within a kind; a match whose value is too short is dropped after it is found.
     A token that overlaps no base span is a span of kind random if its log-likelihood ratio is over the prior. Nothing is
     shuffled; null doc_ids and repeated rows are scanned like others.
     """
     text = F.col("text")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
         out = out.withColumn(f"__{name}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR) -> DataFrame:
     clear = F.filter("__token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     out = out.withColumn("__token", clear)
     out = out.withColumn("__token", F.filter("__token", lambda s: (F.size(F.array_distinct(F.split(s["value"], ""))) >= LEAST_DISTINCT) & (ratio(s["value"], ratios) > prior)))
-    return out.select("doc_id", "text", "base", F.array_sort(F.concat("base", as_kind("__token", 4))).alias("spans"))
+    return out.select("doc_id", *carried, "text", "base", F.array_sort(F.concat("base", as_kind("__token", 4))).alias("spans"))
 
 
 def written(spans: Column) -> Column:

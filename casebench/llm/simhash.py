@@ -194,3 +194,149 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFr
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Near copies of a given similarity. One fingerprint of 64 bits can't tell 0.8 from 0.6 at a radius whose balls are small.
+# So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet), and
+# candidates are judged on the bits of all tables together, whose differing share is the angle between the shingle sets.
+
+TABLES, TABLE_BITS = 32, 32
+SIMILARITY, SHINGLE = 0.8, 5
+
+
+def most_differing(similarity: float, bits: int) -> int:
+    """Bits that may differ: what sets of this Jaccard similarity and equal size differ in on average, and a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def sketch(text: bytes, tables: int, shingle: int) -> bytes:
+    """The majority bits of all tables over the set of the text's shingles; zero without words."""
+    words = text.lower().split()
+    out = np.zeros(tables * TABLE_BITS // 64, np.uint64)
+    if words:
+        line, hashed = b" ".join(words), xxhash.xxh64_intdigest
+        if len(words) <= shingle:
+            h = np.array([hashed(line, 42)], np.uint64)
+        else:
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = [0, *(ends[:-shingle] + 1).tolist()]
+            h = np.array(list({hashed(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)}), np.uint64)
+        for k in range(len(out)):
+            x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            out[k] = majority(x ^ (x >> np.uint64(32)))
+    return out.tobytes()
+
+
+def sketches(batches: Iterator[pa.RecordBatch], tables: int, shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out, hashes = [], []
+        for _, _, data, offsets in spans_of_bytes(batch):
+            raw = data.tobytes()
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                out.append(sketch(raw[a:b], tables, shingle))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "bits"])
+
+
+def to_table_slices(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(slice, key, id) for each slice of each table that the ball of radius 1 enters; a slice is table << bits | leading bits."""
+    mask = masks(bits, 1)
+    for batch in batches:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, tables).astype(np.uint64)
+        for lo in range(0, len(ids), 4000):
+            part = words[lo : lo + 4000]
+            cuts = (part >> np.uint64(TABLE_BITS - bits))[:, :, None] ^ mask | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
+            key = np.broadcast_to(part[:, :, None], cuts.shape).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(cuts.ravel().astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(np.repeat(ids[lo : lo + 4000], tables * len(mask)))], names=["slice", "key", "id"])
+
+
+def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that meet in a variant of a slice: neighbours in order of id, and each with the smallest."""
+    rest = TABLE_BITS - bits
+
+    def made(cut: int, keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        key, node = np.concatenate(keys).view(np.uint64), np.concatenate(ids)
+        key, node = key[np.argsort(node, kind="stable")], np.sort(node, kind="stable")
+        own = np.uint64(cut & ((1 << bits) - 1))
+        inside = key >> np.uint64(rest) == own
+        low = key & np.uint64((1 << rest) - 1)
+        mask = masks(rest, 1)
+        who = np.flatnonzero(inside)
+        v = np.concatenate([(low[who][:, None] ^ mask).ravel(), low[~inside]])
+        o = np.concatenate([np.repeat(who, len(mask)), np.flatnonzero(~inside)])
+        order = np.lexsort((o, v))
+        v, o = v[order], o[order]
+        first = np.concatenate([[True], v[1:] != v[:-1]])
+        least = o[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        follow = np.flatnonzero(~first)
+        pairs = np.concatenate([np.stack([o[follow - 1], o[follow]]), np.stack([least[follow], o[follow]])], axis=1)
+        pairs = np.unique(pairs[0] * len(node) + pairs[1]) if len(node) else np.zeros(0, np.int64)
+        a, b = node[pairs // len(node)], node[pairs % len(node)]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    now, keys, ids = None, [], []
+    for batch in batches:
+        cuts, key, one = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "id"))
+        if not len(cuts):
+            continue
+        edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if now is not None and cuts[lo] != now:
+                yield made(int(now), keys, ids)
+                keys, ids = [], []
+            now = cuts[lo]
+            keys.append(key[lo:hi])
+            ids.append(one[lo:hi])
+    if keys:
+        yield made(int(now), keys, ids)
+
+
+def near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+        close = np.bitwise_count(x ^ y).sum(axis=1) <= most if batch.num_rows else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(close))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tables: int = TABLES) -> DataFrame:
+    """(doc_id, text_hash, root, first): the group of every text under links of about this similarity or more, and whether
+    its doc_id is the group's smallest. A written table; text_hash is xxhash64 of the text, '' for null.
+
+    Equal texts are linked always. Texts of Jaccard similarity s over their sets of 5-word shingles meet in one of 32
+    tables with probability 0.98 at 0.8 and nearly 1 from 0.85; the share of differing bits, of 1024, decides. Candidates
+    are star and chain pairs of each variant, so a group of n gives no n * n pairs.
+    """
+    hashed = texts(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
+    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least")).select(F.xxhash64("bits").alias("id"), "bits", "least"), "nodes")
+    n = distinct.count()
+    bits = max(2, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / VARIANTS_A_SLICE + 1)))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 2)
+    sent = distinct.select("id", "bits").mapInArrow(lambda it: to_table_slices(it, tables, bits), "slice long, key long, id long")
+    pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
+    of = lambda node, name: distinct.select(F.col("id").alias(node), F.col("bits").alias(name))
+    judged = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, most_differing(similarity, tables * TABLE_BITS)), "a long, b long")
+    groups = components(judged)
+    rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
+    of_node = rooted.join(first, "root").select("id", "root", "keep")
+    out = prints.select("doc_id", "text_hash", F.xxhash64("bits").alias("node")).join(of_node, F.col("node") == F.col("id"))
+    return materialize(out.select("doc_id", "text_hash", "root", (F.col("doc_id").eqNullSafe(F.col("keep"))).alias("first")), "groups")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tables: int = TABLES) -> DataFrame:
+    """The rows of docs that stay when one document of each group of near copies does: that with the smallest doc_id.
+
+    Of rows with that doc_id and one text any one stays; of different texts under one doc_id, that with the least
+    text_hash. All columns are kept. A group whose doc_ids are all null keeps one row.
+    """
+    groups = similar_groups(docs, similarity, shingle, tables)
+    stay = groups.filter("first").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"), F.count(F.lit(1)).alias("n"))
+    stay = materialize(stay.select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"), (F.col("n") > 1).alias("__again")), "stay")
+    keyed = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__t": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    kept = keyed.join(stay, F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__hash")))
+    if not stay.filter("__again").isEmpty():  # only then can a row stand twice
+        kept = kept.dropDuplicates(["__d", "__t"])
+    return kept.select(*docs.columns)
