@@ -87,6 +87,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return place, np.concatenate(hashes)[first]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, of which Python objects are made."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def keys(batch: pa.RecordBatch, lo: int, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(key, tag) of rows: the doc_id, or for null a hash of the text; and 31 bits of the text, which tell apart equal ids."""
     ids = batch.column("doc_id").slice(lo, len(rows)).to_pylist()
@@ -131,7 +138,7 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(h, many, key, at, left, right) for each wanted anchor: the bytes before it, last first, and from it on."""
     before = length - gram
-    for batch in batches:
+    for batch in sliced(batches, 256):
         out: list[tuple] = []
         for key, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "tag", "bytes", "wanted")), strict=True):
             for w in wanted:
@@ -173,7 +180,7 @@ def order_of(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.lexsort((lengths, np.ascontiguousarray(m).view(f"S{m.shape[1]}").ravel())) if len(m) > 1 else np.zeros(len(m), np.int64)
 
 
-def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The maximal repeats of at least `length` bytes through one anchor: (before, after, members, reach of each member).
 
     All members share `after` bytes from the anchor on and `before` bytes before it, no more; a member's reach is the most
@@ -185,7 +192,6 @@ def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> li
     prefix = common(rm[order[:-1]], rm[order[1:]], rl[order[:-1]], rl[order[1:]])
     rank = np.empty(len(left), np.int64)
     rank[order_of(lm, ll)] = np.arange(len(left))
-    out = []
     for first, last, shared in intervals(prefix.tolist()):
         need = length - shared
         members = order[first : last + 1]
@@ -198,8 +204,7 @@ def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> li
         for lo, hi in runs(reach >= need):
             inner = reach[lo:hi]
             most = np.maximum(np.concatenate([[0], inner]), np.concatenate([inner, [0]]))
-            out.append((int(inner.min()), shared, members[lo : hi + 1], most))
-    return out
+            yield int(inner.min()), shared, members[lo : hi + 1], most
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -233,11 +238,15 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
                             part.append(v)
         for a, b in zip(edges, edges[1:], strict=False):
             if b - a > 2:
+                # all repeats of a suffix hold its anchor, so together they are one range
+                most = np.full((2, b - a), -1)
                 for _, after, members, reach in repeats(rows[4][a:b], rows[5][a:b], length, gram):
-                    for m, r in zip(members.tolist(), reach.tolist(), strict=True):
-                        if not rows[1][a + m]:
-                            for part, v in zip(got, (rows[2][a + m], rows[3][a + m], r, after), strict=True):
-                                part.append(v)
+                    most[0, members] = np.maximum(most[0, members], reach)
+                    most[1, members] = np.maximum(most[1, members], after)
+                for m in np.flatnonzero(most[0] >= 0).tolist():
+                    if not rows[1][a + m]:
+                        for part, v in zip(got, (rows[2][a + m], rows[3][a + m], int(most[0, m]), int(most[1, m])), strict=True):
+                            part.append(v)
         yield emit(*got)
 
     names = ("h", "many", "key", "at", "left", "right")
@@ -258,7 +267,7 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
 
 def windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(string, weight, key, tag, start): each string of `length` bytes through an anchor with very many surroundings."""
-    for batch in batches:
+    for batch in sliced(batches, 256):
         out: list[tuple] = []
         for many, key, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("many", "key", "at", "left", "right")), strict=True):
             whole, p = left[::-1] + right, at & 0xFFFFFFFF
@@ -282,7 +291,7 @@ def united(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
 def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
     list_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for batch in batches:
+    for batch in sliced(batches, 512):
         out: list[tuple] = []
         for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bytes", "spans")), strict=True):
             found, kept, at = united(spans, len(text)), [], 0
@@ -300,7 +309,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_c
     """(key, tag, start, stop) of byte ranges that strings of `length` bytes which also start elsewhere cover."""
     before = length - gram
     found = texts(docs).mapInArrow(lambda it: anchored(it, length, gram), "key long, at long, h long, c long")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written first, so that the join's sides are plain shuffles, of which skewed partitions can be split; so are copies' below
+    again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "grams")
     found = materialize(found.join(again, "h"), "anchors")
     contexts = materialize(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")), "contexts")
     place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
@@ -318,7 +328,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_c
     twice = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
     rest = strings.join(twice, "string").select("key", "tag", "start", (F.col("start") + length).alias("stop"))
     spans = materialize(copies.unionByName(few).unionByName(rest), "spans")
-    for done in (found, contexts, sides):
+    for done in (again, found, contexts, sides):
         release(done)
     return spans
 
