@@ -197,31 +197,38 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 # Near copies of a given similarity. One fingerprint of 64 bits can't tell 0.8 from 0.6 at a radius whose balls are small.
-# So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet), and
-# candidates are judged on the bits of all tables together, whose differing share is the angle between the shingle sets.
+# So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet). Each
+# slice sends a spanning forest of what meets in it, closest pairs first; the bits of all tables together tell the angle
+# between two shingle sets, and pairs too near the limit to tell are settled by their sets.
 
 TABLES, TABLE_BITS = 32, 32
 SIMILARITY, SHINGLE = 0.8, 5
+#: Standard deviations beyond which the bits settle a pair: fewer differ (linked), or more (not).
+SURE, HOPELESS = 2.0, 3.0
 
 
-def most_differing(similarity: float, bits: int) -> int:
-    """Bits that may differ: what sets of this Jaccard similarity and equal size differ in on average, and a standard deviation."""
+def differing(similarity: float, bits: int, deviations: float) -> int:
+    """Bits that differ on average between sets of this Jaccard similarity and equal size, and so many standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + deviations * (bits * share * (1 - share)) ** 0.5)
+
+
+def hashes_of(text: bytes, shingle: int) -> np.ndarray:
+    """The set of the text's shingle hashes; of the whole sequence, if it has fewer words; empty without words."""
+    words = text.lower().split()
+    line, hashed = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([hashed(line, 42)] if words else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array(list({hashed(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)}), np.uint64)
 
 
 def sketch(text: bytes, tables: int, shingle: int) -> bytes:
     """The majority bits of all tables over the set of the text's shingles; zero without words."""
-    words = text.lower().split()
     out = np.zeros(tables * TABLE_BITS // 64, np.uint64)
-    if words:
-        line, hashed = b" ".join(words), xxhash.xxh64_intdigest
-        if len(words) <= shingle:
-            h = np.array([hashed(line, 42)], np.uint64)
-        else:
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = [0, *(ends[:-shingle] + 1).tolist()]
-            h = np.array(list({hashed(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)}), np.uint64)
+    h = hashes_of(text, shingle)
+    if len(h):
         for k in range(len(out)):
             x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -240,7 +247,10 @@ def sketches(batches: Iterator[pa.RecordBatch], tables: int, shingle: int) -> It
 
 
 def to_table_slices(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(slice, key, id) for each slice of each table that the ball of radius 1 enters; a slice is table << bits | leading bits."""
+    """(slice, key, other, id) for each slice of each table that the ball of radius 1 enters.
+
+    A slice is table << bits | leading bits; other: the bits of the next two tables.
+    """
     mask = masks(bits, 1)
     for batch in batches:
         ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -249,16 +259,38 @@ def to_table_slices(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -
             part = words[lo : lo + 4000]
             cuts = (part >> np.uint64(TABLE_BITS - bits))[:, :, None] ^ mask | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
             key = np.broadcast_to(part[:, :, None], cuts.shape).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(cuts.ravel().astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(np.repeat(ids[lo : lo + 4000], tables * len(mask)))], names=["slice", "key", "id"])
+            other = np.broadcast_to((np.roll(part, -1, axis=1) << np.uint64(32) | np.roll(part, -2, axis=1))[:, :, None], cuts.shape).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(cuts.ravel().astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(other.view(np.int64)), pa.array(np.repeat(ids[lo : lo + 4000], tables * len(mask)))], names=["slice", "key", "other", "id"])
+
+
+def tree(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> list[int]:
+    """Positions of a minimum spanning forest's links; links over 24 of 64 bits, which chance alone gives, don't count."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for i in np.argsort(distance, kind="stable").tolist():
+        if distance[i] > 24:
+            break
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return kept
 
 
 def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that meet in a variant of a slice: neighbours in order of id, and each with the smallest."""
+    """A spanning forest (a, b) of each slice: of its variants' neighbours in order of id, and of each with the smallest."""
     rest = TABLE_BITS - bits
 
-    def made(cut: int, keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        key, node = np.concatenate(keys).view(np.uint64), np.concatenate(ids)
-        key, node = key[np.argsort(node, kind="stable")], np.sort(node, kind="stable")
+    def made(cut: int, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, other, node = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(node, kind="stable")
+        key, other, node = key[order].view(np.uint64), other[order].view(np.uint64), node[order]
         own = np.uint64(cut & ((1 << bits) - 1))
         inside = key >> np.uint64(rest) == own
         low = key & np.uint64((1 << rest) - 1)
@@ -273,31 +305,52 @@ def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch
         follow = np.flatnonzero(~first)
         pairs = np.concatenate([np.stack([o[follow - 1], o[follow]]), np.stack([least[follow], o[follow]])], axis=1)
         pairs = np.unique(pairs[0] * len(node) + pairs[1]) if len(node) else np.zeros(0, np.int64)
-        a, b = node[pairs // len(node)], node[pairs % len(node)]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        a, b = pairs // len(node), pairs % len(node)
+        kept = tree(a, b, np.bitwise_count(other[a] ^ other[b])) if len(a) else []
+        return pa.RecordBatch.from_arrays([pa.array(node[a[kept]], pa.int64()), pa.array(node[b[kept]], pa.int64())], names=["a", "b"])
 
-    now, keys, ids = None, [], []
+    now, held = None, []
     for batch in batches:
-        cuts, key, one = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "id"))
+        cuts, key, other, one = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "other", "id"))
         if not len(cuts):
             continue
         edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if now is not None and cuts[lo] != now:
-                yield made(int(now), keys, ids)
-                keys, ids = [], []
+                yield made(int(now), held)
+                held = []
             now = cuts[lo]
-            keys.append(key[lo:hi])
-            ids.append(one[lo:hi])
-    if keys:
-        yield made(int(now), keys, ids)
+            held.append((key[lo:hi], other[lo:hi], one[lo:hi]))
+    if held:
+        yield made(int(now), held)
 
 
-def near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def near(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of which at most `most` bits differ, and whether so few that it is sure."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-        close = np.bitwise_count(x ^ y).sum(axis=1) <= most if batch.num_rows else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(close))
+        n = np.bitwise_count(x ^ y).sum(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n <= sure)], names=["a", "b", "sure"]).filter(pa.array(n <= most))
+
+
+def shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in spans_of_bytes(batch):
+            raw = data.tobytes()
+            sets = [hashes_of(raw[a:b], shingle).view(np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["node", "shingles"])
+
+
+def settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity. nodes: id, text_hash of one of its texts."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = asked.join(nodes.select(F.col("id").alias("node"), F.col("text_hash").alias("__hash")), "node")
+    text = docs.join(asked, F.col("text_hash") == F.col("__hash")).dropDuplicates(["node"]).select("node", "text")
+    sets = materialize(text.mapInArrow(lambda it: shingled(it, shingle), "node long, shingles array<long>"), "sets")
+    of = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, tables: int = TABLES) -> DataFrame:
@@ -305,20 +358,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     its doc_id is the group's smallest. A written table; text_hash is xxhash64 of the text, '' for null.
 
     Equal texts are linked always. Texts of Jaccard similarity s over their sets of 5-word shingles meet in one of 32
-    tables with probability 0.98 at 0.8 and nearly 1 from 0.85; the share of differing bits, of 1024, decides. Candidates
-    are star and chain pairs of each variant, so a group of n gives no n * n pairs.
+    tables with probability 0.98 at 0.8 and nearly 1 from 0.85. Of 1024 bits the share that differs decides, but near the
+    limit the sets do. Each slice of a table gives a forest, so a group of n gives no n * n pairs.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
-    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least")).select(F.xxhash64("bits").alias("id"), "bits", "least"), "nodes")
+    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("bits").alias("id"), "bits", "least", "text_hash"), "nodes")
     n = distinct.count()
     bits = max(2, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / VARIANTS_A_SLICE + 1)))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 2)
-    sent = distinct.select("id", "bits").mapInArrow(lambda it: to_table_slices(it, tables, bits), "slice long, key long, id long")
+    sent = distinct.select("id", "bits").mapInArrow(lambda it: to_table_slices(it, tables, bits), "slice long, key long, other long, id long")
     pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
     of = lambda node, name: distinct.select(F.col("id").alias(node), F.col("bits").alias(name))
-    judged = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, most_differing(similarity, tables * TABLE_BITS)), "a long, b long")
-    groups = components(judged)
+    sure, most = (differing(similarity, tables * TABLE_BITS, x) for x in (-SURE, HOPELESS))
+    judged = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, sure, most), "a long, b long, sure boolean"), "judged")
+    links = judged.filter("sure").select("a", "b").unionByName(settled(hashed, distinct, judged.filter("not sure").select("a", "b"), similarity, shingle))
+    groups = components(links)
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     of_node = rooted.join(first, "root").select("id", "root", "keep")
