@@ -246,72 +246,79 @@ def sketches(batches: Iterator[pa.RecordBatch], tables: int, shingle: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "bits"])
 
 
-def to_table_slices(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(slice, key, other, id) for each slice of each table that the ball of radius 1 enters.
+def to_table_slices(batches: Iterator[pa.RecordBatch], some: list[int], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(slice, key, other, id, root) for each slice of `some` tables that the ball of radius 1 enters.
 
-    A slice is table << bits | leading bits; other: the bits of the next two tables.
+    A slice is table << bits | leading bits; other: the bits of the next table.
     """
     mask = masks(bits, 1)
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, tables).astype(np.uint64)
+        ids, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root"))
+        words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, tables)
         for lo in range(0, len(ids), 4000):
             part = words[lo : lo + 4000]
-            cuts = (part >> np.uint64(TABLE_BITS - bits))[:, :, None] ^ mask | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
-            key = np.broadcast_to(part[:, :, None], cuts.shape).ravel()
-            other = np.broadcast_to((np.roll(part, -1, axis=1) << np.uint64(32) | np.roll(part, -2, axis=1))[:, :, None], cuts.shape).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(cuts.ravel().astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(other.view(np.int64)), pa.array(np.repeat(ids[lo : lo + 4000], tables * len(mask)))], names=["slice", "key", "other", "id"])
+            for t in some:
+                key = part[:, t]
+                lead = key.astype(np.uint64) >> np.uint64(TABLE_BITS - bits)
+                cuts = ((lead[:, None] ^ mask) | np.uint64(t << bits)).ravel()
+                columns = (cuts.astype(np.int32), np.repeat(key.view(np.int32), len(mask)), np.repeat(part[:, (t + 1) % tables].view(np.int32), len(mask)), np.repeat(ids[lo : lo + 4000], len(mask)), np.repeat(roots[lo : lo + 4000], len(mask)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slice", "key", "other", "id", "root"])
 
 
-def tree(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> list[int]:
-    """Positions of a minimum spanning forest's links; links over 24 of 64 bits, which chance alone gives, don't count."""
-    root: dict[int, int] = {}
+def tree(a: np.ndarray, b: np.ndarray, distance: np.ndarray, root: np.ndarray) -> list[int]:
+    """Positions of a minimum spanning forest's links between nodes; nodes of one root are joined before, so only links across count.
+
+    Links over 12 of 32 bits, which chance alone gives, don't count.
+    """
+    up: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
         return x
 
+    x, y = root[a], root[b]
+    use = np.flatnonzero((x != y) & (distance <= 12))
     kept = []
-    for i in np.argsort(distance, kind="stable").tolist():
-        if distance[i] > 24:
-            break
-        x, y = find(int(a[i])), find(int(b[i]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
+    for i in use[np.argsort(distance[use], kind="stable")].tolist():
+        p, q = find(int(x[i])), find(int(y[i]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
             kept.append(i)
     return kept
 
 
-def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest (a, b) of each slice: of its variants' neighbours in order of id, and of each with the smallest."""
+def links_of_table_slice(cut: int, key: np.ndarray, other: np.ndarray, node: np.ndarray, root: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of what meets in the variants of a slice: neighbours in order of id, and each with the smallest."""
     rest = TABLE_BITS - bits
+    order = np.argsort(node, kind="stable")
+    key, other, node, root = key[order].view(np.uint32), other[order].view(np.uint32), node[order], root[order]
+    inside = key.astype(np.uint64) >> np.uint64(rest) == np.uint64(cut & ((1 << bits) - 1))
+    low = key.astype(np.uint64) & np.uint64((1 << rest) - 1)
+    who = np.flatnonzero(inside)
+    met_at = np.concatenate([((low[who][:, None] ^ masks(rest, 1)) << np.uint64(32) | who[:, None].astype(np.uint64)).ravel(), low[~inside] << np.uint64(32) | np.flatnonzero(~inside).astype(np.uint64)])
+    met_at.sort()
+    v, o = (met_at >> np.uint64(32)).astype(np.uint32), (met_at & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    first = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
+    follow = np.flatnonzero(~first)
+    begins = np.flatnonzero(first)
+    least = o[begins[np.searchsorted(begins, follow, side="right") - 1]]
+    pairs = np.unique(np.concatenate([o[follow - 1].astype(np.uint64) << np.uint64(32) | o[follow], least.astype(np.uint64) << np.uint64(32) | o[follow]]))
+    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    kept = tree(a, b, np.bitwise_count(other[a] ^ other[b]), root)
+    return node[a[kept]], node[b[kept]]
 
-    def made(cut: int, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, other, node = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(node, kind="stable")
-        key, other, node = key[order].view(np.uint64), other[order].view(np.uint64), node[order]
-        own = np.uint64(cut & ((1 << bits) - 1))
-        inside = key >> np.uint64(rest) == own
-        low = key & np.uint64((1 << rest) - 1)
-        mask = masks(rest, 1)
-        who = np.flatnonzero(inside)
-        v = np.concatenate([(low[who][:, None] ^ mask).ravel(), low[~inside]])
-        o = np.concatenate([np.repeat(who, len(mask)), np.flatnonzero(~inside)])
-        order = np.lexsort((o, v))
-        v, o = v[order], o[order]
-        first = np.concatenate([[True], v[1:] != v[:-1]])
-        least = o[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        follow = np.flatnonzero(~first)
-        pairs = np.concatenate([np.stack([o[follow - 1], o[follow]]), np.stack([least[follow], o[follow]])], axis=1)
-        pairs = np.unique(pairs[0] * len(node) + pairs[1]) if len(node) else np.zeros(0, np.int64)
-        a, b = pairs // len(node), pairs % len(node)
-        kept = tree(a, b, np.bitwise_count(other[a] ^ other[b])) if len(a) else []
-        return pa.RecordBatch.from_arrays([pa.array(node[a[kept]], pa.int64()), pa.array(node[b[kept]], pa.int64())], names=["a", "b"])
+
+def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each slice; rows come sorted by slice."""
+
+    def made(cut: int, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b = links_of_table_slice(cut, *(np.concatenate(x) for x in zip(*rows, strict=True)), bits)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     now, held = None, []
     for batch in batches:
-        cuts, key, other, one = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "other", "id"))
+        cuts, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "other", "id", "root"))
         if not len(cuts):
             continue
         edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
@@ -320,7 +327,7 @@ def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch
                 yield made(int(now), held)
                 held = []
             now = cuts[lo]
-            held.append((key[lo:hi], other[lo:hi], one[lo:hi]))
+            held.append(tuple(c[lo:hi] for c in columns))
     if held:
         yield made(int(now), held)
 
@@ -365,14 +372,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
     distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("bits").alias("id"), "bits", "least", "text_hash"), "nodes")
     n = distinct.count()
-    bits = max(2, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / VARIANTS_A_SLICE + 1)))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 2)
-    sent = distinct.select("id", "bits").mapInArrow(lambda it: to_table_slices(it, tables, bits), "slice long, key long, other long, id long")
-    pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
+    bits = max(0, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / (2 * VARIANTS_A_SLICE))))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 1)
     of = lambda node, name: distinct.select(F.col("id").alias(node), F.col("bits").alias(name))
     sure, most = (differing(similarity, tables * TABLE_BITS, x) for x in (-SURE, HOPELESS))
-    judged = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, sure, most), "a long, b long, sure boolean"), "judged")
-    links = judged.filter("sure").select("a", "b").unionByName(settled(hashed, distinct, judged.filter("not sure").select("a", "b"), similarity, shingle))
+
+    def judged(some: list[int], rooted: DataFrame) -> DataFrame:
+        sent = rooted.mapInArrow(lambda it: to_table_slices(it, some, tables, bits), "slice int, key int, other int, id long, root long")
+        pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
+        return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, sure, most), "a long, b long, sure boolean"), "judged")
+
+    # a quarter of the tables links what is dense; the others then only look for links between its groups
+    first = judged(list(range(tables // 4)), distinct.select("id", "bits", F.col("id").alias("root")))
+    dense = components(first.filter("sure"))
+    rooted = distinct.join(dense, distinct.id == dense.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
+    both = first.unionByName(judged(list(range(tables // 4, tables)), rooted)).distinct()
+    links = both.filter("sure").select("a", "b").unionByName(settled(hashed, distinct, both.filter("not sure").select("a", "b"), similarity, shingle))
     groups = components(links)
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
