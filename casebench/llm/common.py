@@ -112,14 +112,14 @@ def starts_of_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts
 
 
-def count_words(batches: Iterator[pa.RecordBatch], carried: list[str]) -> Iterator[pa.RecordBatch]:
+def count_words(batches: Iterator[pa.RecordBatch], carried: list[str], out: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [sums_by_row(starts_of_words(data, offsets), offsets) for _, _, data, offsets in spans_of_bytes(batch)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())], names=[*carried, "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())], names=[*carried, out])
 
 
-def with_words(docs: DataFrame, *carried: str) -> DataFrame:
-    """The carried columns and size, the number of words of the text (null: 0)."""
+def with_words(docs: DataFrame, *carried: str, out: str = "size") -> DataFrame:
+    """The carried columns and `out`, the number of words of the text (null: 0)."""
     given = docs.select(*carried, *([] if "text" in carried else [F.col("text").cast("string").alias("text")]))
     fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes if n in carried)
-    return given.mapInArrow(lambda it: count_words(it, list(carried)), f"{fields}, size long")
+    return given.mapInArrow(lambda it: count_words(it, list(carried), out), f"{fields}, `{out}` long")

@@ -19,8 +19,9 @@ from casebench.llm.common import materialize, with_words
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Documents of a source that one task's flight takes, on average.
 BLOCK = 4000
-#: Documents of a source, of sizes up to its third quartile, that don't fly in the last round but are landed with what it leaves.
-RESERVE = 10
+#: Documents, of sizes up to the third quartile, that each block of an earlier round leaves to the next, and that the last
+#: doesn't fly but lands with what it leaves.
+SPARE, RESERVE = 4, 10
 EPS = 1e-9
 
 
@@ -102,7 +103,7 @@ def flown_block(seed: int, rnd: int, last: bool) -> Callable[[pd.DataFrame], pd.
         key = f"{seed}|{rnd}|{pdf['source'].iloc[0]}|{pdf['__block'].iloc[0]}".encode()
         rng = np.random.default_rng(np.frombuffer(key + b" " * (-len(key) % 4), np.uint32))
         size = pdf["size"].to_numpy(float)
-        p = flight(pdf["p"].to_numpy(), size, rng, RESERVE if last else 0)
+        p = flight(pdf["p"].to_numpy(), size, rng, RESERVE if last else SPARE)
         return pdf.assign(p=landing(p, size) if last else p, round=rnd)[["doc_id", "source", "size", "source_size", "target", "whole", "p", "blocks", "round"]]
 
     return fly
@@ -140,9 +141,9 @@ def mixed(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         done = ended if done is None else done.unionByName(ended)
         if last:
             break
-        # a block leaves two at most
-        blocks, rnd = max(1, -(-2 * blocks // block)), rnd + 1
-        flying = flown.filter(still).drop("round").withColumn("blocks", F.greatest(F.lit(1), F.ceil(2 * F.col("blocks") / block)).cast("int"))
+        left = 2 + SPARE  # of a block, at most
+        blocks, rnd = max(1, min(blocks // 2, -(-left * blocks // block))), rnd + 1
+        flying = flown.filter(still).drop("round").withColumn("blocks", F.greatest(F.lit(1), F.least(F.floor(F.col("blocks") / 2), F.ceil(left * F.col("blocks") / block))).cast("int"))
     copies = (F.col("whole") + F.round("p").cast("int")).cast("int")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 

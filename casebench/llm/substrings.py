@@ -325,6 +325,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_c
     schema = "key long, tag long, start long, stop long"
     few = sides.filter(F.col("contexts") <= most_contexts).drop("contexts").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: compared(it, length, gram), schema)
     strings = sides.filter(F.col("contexts") > most_contexts).mapInArrow(lambda it: windows(it, length, gram), "string binary, weight long, key long, tag long, start long")
+    # a string may hold several such anchors; each of its places counts once
+    strings = strings.groupBy("key", "tag", "start").agg(F.min("string").alias("string"), F.max("weight").alias("weight"))
     twice = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
     rest = strings.join(twice, "string").select("key", "tag", "start", (F.col("start") + length).alias("stop"))
     spans = materialize(copies.unionByName(few).unionByName(rest), "spans")

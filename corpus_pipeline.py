@@ -45,9 +45,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sized = materialize(with_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "doc_id", "source"), "sources")
     taken = mixing.mixed(sized).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    own = with_words(docs, *docs.columns)
+    own = with_words(docs, *docs.columns, out="__words")
     # the decisions grow with the documents: a merge join at every size
-    both = own.join(taken.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")))
+    both = own.join(taken.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
