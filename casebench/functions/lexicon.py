@@ -62,7 +62,7 @@ def fold_native(c: Column) -> Column:
 
 def contained(terms: list[str] | tuple[str, ...], text: Column) -> Column:
     """Those of the terms (already folded) that the folded text holds, in their order."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms]))
 
 
 def obligation_markers(text: Column) -> Column:

@@ -90,8 +90,9 @@ def costed(usage: DataFrame, rates: DataFrame) -> DataFrame:
 
 def unfenced(c: Column) -> Column:
     """Text without the code fence around it."""
-    inner = F.regexp_replace(F.regexp_replace(F.trim(c), r"^`+|`+$", ""), r"(?i)^json", "")
-    return F.when(F.trim(c).startswith("```"), F.trim(inner)).otherwise(F.trim(c))
+    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, r"^`+|`+$", ""), r"(?i)^json", "")
+    return F.when(bare.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(bare)
 
 
 def complete_objects(text: str | None) -> list[str]:

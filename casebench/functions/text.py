@@ -18,6 +18,11 @@ PAGE_HEAD = r"(?m)^## Page (\d+)\s*$"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-ZÀ-Ý])"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends; trim() takes blanks only."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -65,8 +70,8 @@ def pages(text: Column) -> Column:
     """array<struct<page, body>> of text cut at '## Page N'; one page 1 without heads; blank pages are dropped."""
     heads = F.regexp_extract_all(text, F.lit(PAGE_HEAD), F.lit(1))
     bodies = F.slice(F.split(text, PAGE_HEAD, -1), 2, F.greatest(F.size(heads), F.lit(1)))
-    paged = F.zip_with(heads, bodies, lambda n, b: F.struct(n.cast("int").alias("page"), F.trim(b).alias("body")))
-    whole = F.array(F.struct(F.lit(1).alias("page"), F.trim(text).alias("body")))
+    paged = F.zip_with(heads, bodies, lambda n, b: F.struct(n.cast("int").alias("page"), stripped(b).alias("body")))
+    whole = F.array(F.struct(F.lit(1).alias("page"), stripped(text).alias("body")))
     return F.filter(F.when(F.size(heads) > 0, paged).otherwise(whole), lambda p: F.regexp_replace(p["body"], r"\s", "") != "")
 
 
@@ -185,7 +190,7 @@ def whole_words(mapping: dict[str, str]) -> F.Column:
             return s
         plain, origin = [], []
         for i, c in enumerate(s):
-            for x in folded(c) or (" " if c.isspace() else ""):
+            for x in folded(c) or (" " if c.isspace() and plain[-1:] != [" "] else ""):
                 plain.append(x)
                 origin.append(i)
         out, at = [], 0

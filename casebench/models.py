@@ -1,4 +1,7 @@
-"""Model calls behind one interface, with a deterministic stand-in that needs no network."""
+"""Model calls behind one interface, with a deterministic stand-in that needs no network.
+
+Calls are marked as not deterministic, so no filter on a result is moved below the join that keeps cached rows from a call.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 BATCH = 32
 
@@ -57,7 +61,7 @@ def embedded(df: DataFrame, text: str, provider: ModelProvider, out: str = "embe
         for s in batches:
             yield pd.Series([v for lo in range(0, len(s), BATCH) for v in provider.embed(s.iloc[lo : lo + BATCH].tolist())])
 
-    return df.withColumn(out, F.pandas_udf(run, "array<double>")(F.col(text)))
+    return df.withColumn(out, F.pandas_udf(run, "array<double>").asNondeterministic()(F.col(text)))
 
 
 def scored(df: DataFrame, query: str, text: str, provider: ModelProvider, out: str = "score") -> DataFrame:
@@ -65,7 +69,7 @@ def scored(df: DataFrame, query: str, text: str, provider: ModelProvider, out: s
         for q, t in batches:
             yield pd.Series(provider.score(list(zip(q, t, strict=True))), dtype=float)
 
-    return df.withColumn(out, F.pandas_udf(run, "double")(F.col(query), F.col(text)))
+    return df.withColumn(out, F.pandas_udf(run, "double").asNondeterministic()(F.col(query), F.col(text)))
 
 
 def completed(df: DataFrame, prompt: str, provider: ModelProvider, out: str = "answer") -> DataFrame:
@@ -73,7 +77,7 @@ def completed(df: DataFrame, prompt: str, provider: ModelProvider, out: str = "a
         for s in batches:
             yield pd.Series(provider.complete(s.tolist()))
 
-    return df.withColumn(out, F.pandas_udf(run, "string")(F.col(prompt)))
+    return df.withColumn(out, F.pandas_udf(run, StringType()).asNondeterministic()(F.col(prompt)))
 
 
 def cache_key(*parts: F.Column) -> F.Column:

@@ -67,7 +67,7 @@ def documents_to_read(documents: DataFrame, patterns: list[str] | None = None) -
     if patterns:
         named = F.lit(False)
         for p in patterns:
-            named = named | F.col("doc_id").rlike(glob_column(F.lit(p)))
+            named = named | F.rlike(F.col("doc_id"), glob_column(F.lit(p)))
         return marked.filter(named).orderBy(F.size("markers").desc(), "doc_id")
     return marked.filter(F.size("markers") > 0).orderBy(F.size("markers").desc(), "doc_id")
 

@@ -76,7 +76,7 @@ def citations(obligations: DataFrame, statute: DataFrame) -> DataFrame:
 def clause_citations(obligations: DataFrame, documents: DataFrame) -> DataFrame:
     """(obligation_id, problem) of clauses (doc_id_pattern, excerpt) over documents (doc_id, body): no such document, or the excerpt in none."""
     o = F.broadcast(obligations.select("obligation_id", "doc_id_pattern", fold(F.col("excerpt")).alias("x"))) if obligations.count() <= 10_000 else obligations.select("obligation_id", "doc_id_pattern", fold(F.col("excerpt")).alias("x"))
-    met = documents.join(o, F.col("doc_id").rlike(glob_column(F.col("doc_id_pattern")))).groupBy("obligation_id").agg(F.bool_or(F.contains(fold(F.col("body")), F.col("x"))).alias("found"))
+    met = documents.join(o, F.rlike(F.col("doc_id"), glob_column(F.col("doc_id_pattern")))).groupBy("obligation_id").agg(F.bool_or(F.contains(fold(F.col("body")), F.col("x"))).alias("found"))
     return obligations.select("obligation_id").join(met, "obligation_id", "left").withColumn("problem", F.when(F.col("found").isNull(), "no_document").when(~F.col("found"), "excerpt_not_found")).filter("problem IS NOT NULL").drop("found")
 
 

@@ -159,7 +159,7 @@ def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None) -> Dat
     docs = facts.select("doc_id").unionByName(known.select("doc_id")).distinct()
     globs = each.filter(F.size("doc_id_patterns") > 0).select("obligation_id", "foreach_key", F.explode("doc_id_patterns").alias("glob"))
     globs = F.broadcast(globs) if each.count() <= SMALL_CATALOG else globs
-    by_glob = docs.join(globs, F.col("doc_id").rlike(glob_column(F.col("glob")))).select("obligation_id", "foreach_key", "doc_id")
+    by_glob = docs.join(globs, F.rlike(F.col("doc_id"), glob_column(F.col("glob")))).select("obligation_id", "foreach_key", "doc_id")
     rest = each.filter(F.size("doc_id_patterns") == 0)
     by_role = rest.select("obligation_id", "foreach_key", F.explode("bearer_roles").alias("role")).join(facts.select("role", "doc_id").distinct(), "role").select("obligation_id", "foreach_key", "doc_id")
     by_trigger = rest.filter("trigger_doc IS NOT NULL").select("obligation_id", "foreach_key", F.col("trigger_doc").alias("doc_id"))

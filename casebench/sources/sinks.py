@@ -24,7 +24,13 @@ class VersionedTable:
 
     def _pointer(self) -> str | None:
         fs, p = _fs(self.spark, f"{self.root}/_CURRENT")
-        return self.spark.read.text(f"{self.root}/_CURRENT").first()[0] if fs.exists(p) else None
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)  # Spark's own readers pass over names that begin with _
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame | None:
         current = self._pointer()
