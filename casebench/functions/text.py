@@ -184,13 +184,19 @@ def whole_words(mapping: dict[str, str]) -> F.Column:
     keys = sorted({folded(k): v for k, v in mapping.items() if folded(k)}.items(), key=lambda x: (-len(x[0]), x[0]))
     pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(k) for k, _ in keys) + r")(?!\w)") if keys else None
     values = dict(keys)
+    seen: dict[str, str] = {}  # folded characters; text has few different ones
 
     def one(s: str | None) -> str | None:
         if not s or pattern is None:
             return s
         plain, origin = [], []
         for i, c in enumerate(s):
-            for x in folded(c) or (" " if c.isspace() and plain[-1:] != [" "] else ""):
+            f = seen.get(c)
+            if f is None:
+                f = seen[c] = folded(c) or (" " if c.isspace() else "")
+            if f == " " and plain[-1:] == [" "]:
+                continue
+            for x in f:
                 plain.append(x)
                 origin.append(i)
         out, at = [], 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from casebench.functions import scalars
@@ -52,8 +53,10 @@ def catalog(spark, entries: list[tuple[dict, list[dict]]]) -> tuple[DataFrame, D
 
 
 def prepared(facts: DataFrame) -> DataFrame:
-    """fact_id, doc_id, role, day and the folded fields, made once: the Python function stops Catalyst, so nothing is pushed below it later."""
-    return facts.select("fact_id", F.col("source_doc_id").alias("doc_id"), F.col("actor_role").alias("role"), scalars.iso_date(F.col("date")).alias("day"), *[fold(F.col(f)).alias(f) for f in MATCH_FIELDS])
+    """fact_id, doc_id, role, day and the folded fields, kept in memory and on disk: an evaluation reads them a dozen times, and the
+    Python function is the dearest part of it. unpersist() it when a cycle has ended.
+    """
+    return facts.select("fact_id", F.col("source_doc_id").alias("doc_id"), F.col("actor_role").alias("role"), scalars.iso_date(F.col("date")).alias("day"), *[fold(F.col(f)).alias(f) for f in MATCH_FIELDS]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _has_term(terms: Column, fields: Column) -> Column:
@@ -109,8 +112,10 @@ def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, covera
     facts = facts.join(unsure, "fact_id", "left")
     fired = triggers(obligations, facts.drop("unsure"))
     each = instances(obligations, person_roles).join(fired, "obligation_id", "left").withColumn("fires", F.col("trigger_terms").isNull() | F.col("trigger_id").isNotNull())
+    each = each.persist(StorageLevel.MEMORY_AND_DISK)  # a row an obligation and person; six branches of the plan begin with it
     key = ["obligation_id", "foreach_key"]
 
+    n_each = each.count()
     # an evidence leaf goes by its own roles, else by the bearers', else (any_actor) by none
     roles = F.when(F.size("actor_roles") > 0, F.col("actor_roles")).when(~F.col("any_actor"), F.col("bearer_roles")).otherwise(F.array().cast("array<string>"))
     asked = leaves.join(each.select(*key, "bearer_roles", "trigger_id", "trigger_day", "fires"), "obligation_id").filter("fires").withColumn("roles", roles)
@@ -118,7 +123,7 @@ def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, covera
     bound = near.join(person_facts.select(F.col("person_id").alias("__p"), F.col("fact_id").alias("__f")).distinct(), (F.col("foreach_key") == F.col("__p")) & (F.col("fact_id") == F.col("__f")), "left")
     bound = bound.filter(~F.col("bind_to_foreach") | F.col("__f").isNotNull())
     in_time = (~F.col("after_trigger") | scalars.after_or_unknown(F.col("day"), F.col("trigger_day"))) & (~F.col("before_or_at_trigger") | scalars.before_or_unknown(F.col("day"), F.col("trigger_day")))
-    bound = bound.filter(in_time)
+    bound = bound.filter(in_time).persist(StorageLevel.MEMORY_AND_DISK)
     term_hits = F.size(F.filter("any_terms", lambda t: F.contains(F.concat_ws(" ", *MATCH_FIELDS), t)))
     hit = _has_term(F.col("any_terms"), F.col("match_fields"))
     per_leaf = bound.groupBy(*key, "leaf").agg(F.count_if(hit).alias("hits"), F.collect_set(F.when(hit, F.col("fact_id"))).alias("ids"), F.min(F.when(hit, F.col("day"))).alias("first_day"))
@@ -131,7 +136,7 @@ def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, covera
     holding = F.coalesce("all_ok", F.lit(True)) & F.coalesce("any_ok", F.lit(True)) & ~F.coalesce("none_hit", F.lit(False))
     cand = bound.select(*key, "fact_id", term_hits.alias("th")).groupBy(*key, "fact_id").agg(F.max("th").alias("th"))
     top = cand.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(F.col("th").desc(), "fact_id"))).filter(F.col("__n") <= MAX_CANDIDATES).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "fact_id"))), lambda x: x["fact_id"]).alias("candidates"))
-    out = _null_safe(_null_safe(_null_safe(each, verdict.withColumn("holds", holding), key), top, key), scoped(each, facts, coverage), key)
+    out = _null_safe(_null_safe(_null_safe(each, verdict.withColumn("holds", holding), key), top, key), scoped(each, facts, coverage, n_each), key)
     due = F.date_add("trigger_day", F.col("deadline_days"))
     late = F.col("deadline_days").isNotNull() & F.col("trigger_day").isNotNull() & ~F.coalesce("trigger_ambiguous", F.lit(False)) & (F.col("evidence_day") > due)
     status = F.when(~F.col("fires"), "not_triggered").when(F.col("holds"), F.when(F.coalesce(late, F.lit(False)), "window_breach").otherwise("satisfied")).when(F.coalesce("verified_docs", F.lit(0)) > 0, "gap").otherwise("unverifiable")
@@ -149,7 +154,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
 
 
-def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None) -> DataFrame:
+def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None, n_each: int) -> DataFrame:
     """(obligation_id, foreach_key, scope_docs, verified_docs): documents where the evidence would be, and those that passed the gate.
 
     By glob patterns over all documents if there are any; else those of the bearers' facts and of the trigger.
@@ -158,7 +163,7 @@ def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None) -> Dat
     known = coverage if coverage is not None else spark.createDataFrame([], "doc_id string, status string")
     docs = facts.select("doc_id").unionByName(known.select("doc_id")).distinct()
     globs = each.filter(F.size("doc_id_patterns") > 0).select("obligation_id", "foreach_key", F.explode("doc_id_patterns").alias("glob"))
-    globs = F.broadcast(globs) if each.count() <= SMALL_CATALOG else globs
+    globs = F.broadcast(globs) if n_each <= SMALL_CATALOG else globs
     by_glob = docs.join(globs, F.rlike(F.col("doc_id"), glob_column(F.col("glob")))).select("obligation_id", "foreach_key", "doc_id")
     rest = each.filter(F.size("doc_id_patterns") == 0)
     by_role = rest.select("obligation_id", "foreach_key", F.explode("bearer_roles").alias("role")).join(facts.select("role", "doc_id").distinct(), "role").select("obligation_id", "foreach_key", "doc_id")
