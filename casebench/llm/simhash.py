@@ -199,12 +199,12 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 # Near copies of a given similarity. One fingerprint of 64 bits can't tell 0.8 from 0.6 at a radius whose balls are small.
 # So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet). Each
 # slice sends a spanning forest of what meets in it, closest pairs first; the bits of all tables together tell the angle
-# between two shingle sets, and pairs too near the limit to tell are settled by their sets.
+# between two shingle sets, which only rules pairs out: what they leave is settled by the sets.
 
 TABLES, TABLE_BITS = 32, 32
 SIMILARITY, SHINGLE = 0.8, 5
-#: Standard deviations beyond which the bits settle a pair: fewer differ (linked), or more (not).
-SURE, HOPELESS = 2.0, 3.0
+#: Standard deviations beyond which the bits rule a pair out.
+HOPELESS = 3.0
 
 
 def differing(similarity: float, bits: int, deviations: float) -> int:
@@ -332,12 +332,12 @@ def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch
         yield made(int(now), held)
 
 
-def near(batches: Iterator[pa.RecordBatch], sure: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of which at most `most` bits differ, and whether so few that it is sure."""
+def near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of which at most `most` bits differ."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
         n = np.bitwise_count(x ^ y).sum(axis=1) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(n <= sure)], names=["a", "b", "sure"]).filter(pa.array(n <= most))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(n <= most))
 
 
 def shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -365,8 +365,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     its doc_id is the group's smallest. A written table; text_hash is xxhash64 of the text, '' for null.
 
     Equal texts are linked always. Texts of Jaccard similarity s over their sets of 5-word shingles meet in one of 32
-    tables with probability 0.98 at 0.8 and nearly 1 from 0.85. Of 1024 bits the share that differs decides, but near the
-    limit the sets do. Each slice of a table gives a forest, so a group of n gives no n * n pairs.
+    tables with probability 0.98 at 0.8 and nearly 1 from 0.85. The share of 1024 bits that differs only rules pairs out;
+    no pair is linked but by its sets. Each slice of a table gives a forest, so a group of n gives no n * n pairs.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
@@ -375,20 +375,19 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     bits = max(0, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / (2 * VARIANTS_A_SLICE))))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 1)
     of = lambda node, name: distinct.select(F.col("id").alias(node), F.col("bits").alias(name))
-    sure, most = (differing(similarity, tables * TABLE_BITS, x) for x in (-SURE, HOPELESS))
+    most = differing(similarity, tables * TABLE_BITS, HOPELESS)
 
     def judged(some: list[int], rooted: DataFrame) -> DataFrame:
         sent = rooted.mapInArrow(lambda it: to_table_slices(it, some, tables, bits), "slice int, key int, other int, id long, root long")
         pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
-        return materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, sure, most), "a long, b long, sure boolean"), "judged")
+        close = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, most), "a long, b long"), "judged")
+        return materialize(settled(hashed, distinct, close, similarity, shingle), "settled")
 
     # a quarter of the tables links what is dense; the others then only look for links between its groups
     first = judged(list(range(tables // 4)), distinct.select("id", "bits", F.col("id").alias("root")))
-    dense = components(first.filter("sure"))
+    dense = components(first)
     rooted = distinct.join(dense, distinct.id == dense.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
-    both = first.unionByName(judged(list(range(tables // 4, tables)), rooted)).distinct()
-    links = both.filter("sure").select("a", "b").unionByName(settled(hashed, distinct, both.filter("not sure").select("a", "b"), similarity, shingle))
-    groups = components(links)
+    groups = components(first.unionByName(judged(list(range(tables // 4, tables)), rooted)))
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     of_node = rooted.join(first, "root").select("id", "root", "keep")
