@@ -10,6 +10,7 @@ of one variant are within r of each other, so a star to the smallest links them;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -197,14 +198,17 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 # Near copies of a given similarity. One fingerprint of 64 bits can't tell 0.8 from 0.6 at a radius whose balls are small.
-# So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet). Each
-# slice sends a spanning forest of what meets in it, closest pairs first; the bits of all tables together tell the angle
-# between two shingle sets, which only rules pairs out: what they leave is settled by the sets.
+# So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet). The bits
+# of all tables together go along: they tell the angle between two shingle sets, which only rules pairs out, and every pair
+# that meets and that they leave is settled by the sets. A first round over few tables, with a forest of likely links a
+# slice, joins what is dense, so that a group of n leaves few pairs; what it doesn't find the second round does.
 
 TABLES, TABLE_BITS = 32, 32
 SIMILARITY, SHINGLE = 0.8, 5
 #: Standard deviations beyond which the bits rule a pair out.
 HOPELESS = 3.0
+#: Rows of a document that one round of tables shuffles, and pairs that are judged at once.
+ROWS_A_ROUND, PAIRS_AT_ONCE = 16, 100_000
 
 
 def differing(similarity: float, bits: int, deviations: float) -> int:
@@ -246,30 +250,97 @@ def sketches(batches: Iterator[pa.RecordBatch], tables: int, shingle: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "bits"])
 
 
-def to_table_slices(batches: Iterator[pa.RecordBatch], some: list[int], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(slice, key, other, id, root) for each slice of `some` tables that the ball of radius 1 enters.
+def words_of(column: pa.Array) -> np.ndarray:
+    """The bits of each row as 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
-    A slice is table << bits | leading bits; other: the bits of the next table.
+
+def to_table_slices(batches: Iterator[pa.RecordBatch], some: list[int], bits: int) -> Iterator[pa.RecordBatch]:
+    """(slice, key, bits, id, root) for each slice of `some` tables that the ball of radius 1 enters.
+
+    A slice is table << bits | leading bits.
     """
     mask = masks(bits, 1)
     for batch in batches:
         ids, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root"))
-        words = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, tables)
+        words = words_of(batch.column("bits")) if len(ids) else np.zeros((0, 1), np.uint64)
         for lo in range(0, len(ids), 4000):
             part = words[lo : lo + 4000]
             for t in some:
-                key = part[:, t]
+                key = part.view(np.uint32)[:, t]
                 lead = key.astype(np.uint64) >> np.uint64(TABLE_BITS - bits)
                 cuts = ((lead[:, None] ^ mask) | np.uint64(t << bits)).ravel()
-                columns = (cuts.astype(np.int32), np.repeat(key.view(np.int32), len(mask)), np.repeat(part[:, (t + 1) % tables].view(np.int32), len(mask)), np.repeat(ids[lo : lo + 4000], len(mask)), np.repeat(roots[lo : lo + 4000], len(mask)))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slice", "key", "other", "id", "root"])
+                sent = np.repeat(part, len(mask), axis=0)
+                ends = np.arange(len(sent) + 1, dtype=np.int32) * (8 * sent.shape[1])
+                columns = [pa.array(x) for x in (cuts.astype(np.int32), np.repeat(key.view(np.int32), len(mask)), np.repeat(ids[lo : lo + 4000], len(mask)), np.repeat(roots[lo : lo + 4000], len(mask)))]
+                columns.insert(2, pa.Array.from_buffers(pa.binary(), len(sent), [None, pa.py_buffer(ends), pa.py_buffer(sent)]))
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "key", "bits", "id", "root"])
+
 
+def meeting(cut: int, key: np.ndarray, root: np.ndarray, bits: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of different roots that share a variant of the slice, some at a time: all of them, or the
+    neighbours in a variant only. Rows come in order of root. Pairs of one key come once, others up to twice."""
+    rest = TABLE_BITS - bits
+    key = key.view(np.uint32).astype(np.uint64)
+    low = key & np.uint64((1 << rest) - 1)
+    inside = key >> np.uint64(rest) == np.uint64(cut & ((1 << bits) - 1))
+    who = np.flatnonzero(inside)
+    met_at = low[who][:, None] ^ masks(rest, 1)
+    met_at <<= np.uint64(32)
+    met_at |= who[:, None].astype(np.uint64)
+    met_at = met_at.ravel()
+    if len(who) < len(low):
+        met_at = np.concatenate([met_at, low[~inside] << np.uint64(32) | np.flatnonzero(~inside).astype(np.uint64)])
+    met_at.sort()
+    v = (met_at >> np.uint64(32)).astype(np.uint32)
+    same = v[1:] == v[:-1]
+    shared = np.zeros(len(v), bool)  # most variants have one row, which meets none
+    shared[1:] = same
+    shared[:-1] |= same
+    v, o = v[shared], (met_at[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del met_at
+    if not len(v):
+        return
+    ends = np.append(np.flatnonzero(v[1:] != v[:-1]) + 1, len(v))
+    runs = np.append(np.flatnonzero((v[1:] != v[:-1]) | (root[o[1:]] != root[o[:-1]])) + 1, len(v))
+    at = np.arange(len(v))
+    run = runs[np.searchsorted(runs, at, side="right")]
+    count = ends[np.searchsorted(ends, at, side="right")] - run
+    if not whole:
+        count = np.minimum(count, run == at + 1)
+    at = at[count > 0]
+    run, count = run[at], count[at]
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        n = count[lo:hi]
+        i = np.repeat(at[lo:hi], n)
+        j = np.repeat(run[lo:hi] - np.cumsum(n) + n, n) + np.arange(len(i))
+        a, b = o[i], o[j]
+        once = (key[a] != key[b]) | (v[i] == low[a])
+        yield a[once], b[once]
+        lo = hi
+
+
+def links_of_table_slice(cut: int, key: np.ndarray, words: np.ndarray, node: np.ndarray, root: np.ndarray, bits: int, most: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a < b) of different roots that meet in a slice and of whose bits at most `most` differ, or a forest of neighbours."""
+    order = np.lexsort((node, root))
+    key, words, node, root = key[order], words[order], node[order], root[order]
+    for a, b in meeting(cut, key, root, bits, whole):
+        close = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
+        a, b = node[a[close]], node[b[close]]
+        if not len(a):
+            continue
+        if whole:
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        else:
+            a, b = spanning(a, b)
+        yield a, b
 
-def tree(a: np.ndarray, b: np.ndarray, distance: np.ndarray, root: np.ndarray) -> list[int]:
-    """Positions of a minimum spanning forest's links between nodes; nodes of one root are joined before, so only links across count.
 
-    Links over 12 of 32 bits, which chance alone gives, don't count.
-    """
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links a-b that join two components of the ones before."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -277,67 +348,37 @@ def tree(a: np.ndarray, b: np.ndarray, distance: np.ndarray, root: np.ndarray) -
             up[x] = x = up.get(y, y)
         return x
 
-    x, y = root[a], root[b]
-    use = np.flatnonzero((x != y) & (distance <= 12))
     kept = []
-    for i in use[np.argsort(distance[use], kind="stable")].tolist():
-        p, q = find(int(x[i])), find(int(y[i]))
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(x), find(y)
         if p != q:
             up[max(p, q)] = min(p, q)
             kept.append(i)
-    return kept
+    return np.minimum(a, b)[kept], np.maximum(a, b)[kept]
 
 
-def links_of_table_slice(cut: int, key: np.ndarray, other: np.ndarray, node: np.ndarray, root: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of what meets in the variants of a slice: neighbours in order of id, and each with the smallest."""
-    rest = TABLE_BITS - bits
-    order = np.argsort(node, kind="stable")
-    key, other, node, root = key[order].view(np.uint32), other[order].view(np.uint32), node[order], root[order]
-    inside = key.astype(np.uint64) >> np.uint64(rest) == np.uint64(cut & ((1 << bits) - 1))
-    low = key.astype(np.uint64) & np.uint64((1 << rest) - 1)
-    who = np.flatnonzero(inside)
-    met_at = np.concatenate([((low[who][:, None] ^ masks(rest, 1)) << np.uint64(32) | who[:, None].astype(np.uint64)).ravel(), low[~inside] << np.uint64(32) | np.flatnonzero(~inside).astype(np.uint64)])
-    met_at.sort()
-    v, o = (met_at >> np.uint64(32)).astype(np.uint32), (met_at & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    first = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-    follow = np.flatnonzero(~first)
-    begins = np.flatnonzero(first)
-    least = o[begins[np.searchsorted(begins, follow, side="right") - 1]]
-    pairs = np.unique(np.concatenate([o[follow - 1].astype(np.uint64) << np.uint64(32) | o[follow], least.astype(np.uint64) << np.uint64(32) | o[follow]]))
-    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    kept = tree(a, b, np.bitwise_count(other[a] ^ other[b]), root)
-    return node[a[kept]], node[b[kept]]
-
-
-def met(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def met(batches: Iterator[pa.RecordBatch], bits: int, most: int, whole: bool) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each slice; rows come sorted by slice."""
 
-    def made(cut: int, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b = links_of_table_slice(cut, *(np.concatenate(x) for x in zip(*rows, strict=True)), bits)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def made(cut: int, rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        for a, b in links_of_table_slice(cut, *(np.concatenate(x) for x in zip(*rows, strict=True)), bits, most, whole):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     now, held = None, []
     for batch in batches:
-        cuts, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "other", "id", "root"))
-        if not len(cuts):
+        if not batch.num_rows:
             continue
+        cuts, key, ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "key", "id", "root"))
+        columns = (key, words_of(batch.column("bits")), ids, roots)
         edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if now is not None and cuts[lo] != now:
-                yield made(int(now), held)
+                yield from made(int(now), held)
                 held = []
             now = cuts[lo]
             held.append(tuple(c[lo:hi] for c in columns))
     if held:
-        yield made(int(now), held)
-
-
-def near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of which at most `most` bits differ."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-        n = np.bitwise_count(x ^ y).sum(axis=1) if batch.num_rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(n <= most))
+        yield from made(int(now), held)
 
 
 def shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -366,28 +407,30 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 
     Equal texts are linked always. Texts of Jaccard similarity s over their sets of 5-word shingles meet in one of 32
     tables with probability 0.98 at 0.8 and nearly 1 from 0.85. The share of 1024 bits that differs only rules pairs out;
-    no pair is linked but by its sets. Each slice of a table gives a forest, so a group of n gives no n * n pairs.
+    no pair is linked but by its sets, and of texts that meet none is left out unless both are in one group already. A group
+    of n gives few pairs; a family of n texts that are alike but less than `similarity` gives up to n * n.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
     distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("bits").alias("id"), "bits", "least", "text_hash"), "nodes")
     n = distinct.count()
     bits = max(0, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / (2 * VARIANTS_A_SLICE))))))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits >> 1)
-    of = lambda node, name: distinct.select(F.col("id").alias(node), F.col("bits").alias(name))
-    most = differing(similarity, tables * TABLE_BITS, HOPELESS)
-
-    def judged(some: list[int], rooted: DataFrame) -> DataFrame:
-        sent = rooted.mapInArrow(lambda it: to_table_slices(it, some, tables, bits), "slice int, key int, other int, id long, root long")
-        pairs = sent.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda it: met(it, bits), "a long, b long").distinct()
-        close = materialize(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(lambda it: near(it, most), "a long, b long"), "judged")
-        return materialize(settled(hashed, distinct, close, similarity, shingle), "settled")
-
-    # a quarter of the tables links what is dense; the others then only look for links between its groups
-    first = judged(list(range(tables // 4)), distinct.select("id", "bits", F.col("id").alias("root")))
+    likely, most = (differing(similarity, tables * TABLE_BITS, x) for x in (0, HOPELESS))
+
+    def candidates(some: list[int], rooted: DataFrame, limit: int, whole: bool) -> DataFrame:
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(some) << bits >> 1)
+        sent = rooted.mapInArrow(lambda it: to_table_slices(it, some, bits), "slice int, key int, bits binary, id long, root long")
+        dealt = sent.repartition(parts, "slice").sortWithinPartitions("slice")
+        return materialize(dealt.mapInArrow(lambda it: met(it, bits, limit, whole), "a long, b long").distinct(), "met")
+
+    # an eighth of the tables links what is dense; all of them then look for every link between its groups
+    of = lambda pairs: materialize(settled(hashed, distinct, pairs, similarity, shingle), "settled")
+    first = of(candidates(list(range(max(1, tables // 8))), distinct.select("id", "bits", F.col("id").alias("root")), likely, False))
     dense = components(first)
-    rooted = distinct.join(dense, distinct.id == dense.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root"))
-    groups = components(first.unionByName(judged(list(range(tables // 4, tables)), rooted)))
+    rooted = materialize(distinct.join(dense, distinct.id == dense.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root")), "rooted")
+    step = max(1, ROWS_A_ROUND // (bits + 1))
+    met_in = [candidates(list(range(t, min(t + step, tables))), rooted, most, True) for t in range(0, tables, step)]
+    groups = components(first.unionByName(of(reduce(DataFrame.unionByName, met_in).distinct())))
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     of_node = rooted.join(first, "root").select("id", "root", "keep")

@@ -59,3 +59,12 @@ def test_no_chance_links(spark):
     got = found(spark, texts)
     false = (got[:, None] == got) & (true[:, None] != true)
     assert not false.any()
+
+
+def test_copies_within_a_family(spark):
+    texts = family(1000, 400, 10, 100, 6)
+    close = similarities(texts)
+    assert np.triu(close[:1000, :1000], 1).max() < 0.8 and all(close[i, 1000 + i] >= 0.85 for i in range(100))
+    got = found(spark, texts)
+    assert (got[:100] == got[1000:]).sum() >= 99
+    assert len(set(got.tolist())) >= 1000
