@@ -92,6 +92,45 @@ def ratio(token: Column, ratios: Ratios) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), F.lit(0.0), lambda total, i: total + F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int")))
 
 
+def segment(token: Column, ratios: Ratios) -> Column:
+    """struct<best, start, stop> of the token's segment of the largest log-likelihood ratio (positions from 0)."""
+    table = F.lit(np.array(ratios.table))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    state = lambda total, begin, best, start, stop: F.struct(total.alias("total"), begin.alias("begin"), best.alias("best"), start.alias("start"), stop.alias("stop"))
+
+    def step(acc: Column, i: Column) -> Column:
+        add = F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int"))
+        total = F.greatest(acc["total"], F.lit(0.0)) + add
+        begin = F.when(acc["total"] > 0, acc["begin"]).otherwise(i - 1)
+        more = total > acc["best"]
+        return state(total, begin, F.greatest(total, acc["best"]), F.when(more, begin).otherwise(acc["start"]), F.when(more, i + 1).otherwise(acc["stop"]))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0)), step)
+
+
+def within(s: Column, ratios: Ratios, prior: float) -> Column:
+    """The spans (start, stop, value) of a token: the whole if it is random, else its most random segment, out to the next of / . = _ -"""
+    kind = "array<struct<start:int,stop:int,value:string>>"
+    value = s["value"]
+    distinct = lambda v: F.size(F.array_distinct(F.split(v, "")))
+
+    def cut(best: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(value, F.lit(1), best["start"]), r"[^/._=-]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(value, best["stop"] + 1, F.length(value)), r"^[^/._=-]*", 0))
+        # the first piece of a segment that is ordinary as a whole isn't of the key
+        wide = F.substring(value, best["start"] - before + 1, F.length(value))
+        head = F.regexp_extract(wide, r"^([^/._=-]*)[/._=-]+", 0)
+        first = F.regexp_extract(wide, r"^([^/._=-]*)[/._=-]+", 1)
+        ordinary = (F.length(first) < 3) | (ratio(F.rpad(first, F.greatest(F.length(first), F.lit(3)), "-"), ratios) < 0)
+        start = best["start"] - before + F.when(ordinary, F.length(head)).otherwise(0)
+        stop = best["stop"] + after
+        one = F.struct((s["start"] + start).alias("start"), (s["start"] + stop).alias("stop"), F.substring(value, start + 1, stop - start).alias("value"))
+        return F.when(best["best"] > prior, F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))).otherwise(F.array().cast(kind))
+
+    part = F.flatten(F.transform(F.array(segment(value, ratios)), cut))
+    return F.when(distinct(value) < LEAST_DISTINCT, F.array().cast(kind)).when(ratio(value, ratios) > prior, F.array(s)).otherwise(part)
+
+
 def spans(found: Column, text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value>> of the matches `found`, in code points, from the lengths between them."""
     between = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x))
@@ -108,7 +147,8 @@ def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[s
     """doc_id, the carried columns, the text ('' for null) and its spans: array<struct<start, rank, stop>> by start, then kind (rank in KINDS, from 1).
 
     Base spans are leftmost and don't overlap within a kind; a match whose value is too short is dropped after it is found.
-    A token that overlaps no base span is a span of kind random if its log-likelihood ratio is over the prior. Nothing is
+    A token that overlaps no base span is a span of kind random if its log-likelihood ratio is over the prior, or else its
+    most random segment is, out to the next separator, if that one's is. Nothing is
     shuffled; null doc_ids and repeated rows are scanned like others.
     """
     text = F.col("text")
@@ -122,7 +162,7 @@ def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[s
     out = out.withColumn("base", F.array_sort(F.concat(as_kind(long_enough, 1), as_kind("__access", 2), as_kind("__hex", 3))))
     clear = F.filter("__token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     out = out.withColumn("__token", clear)
-    out = out.withColumn("__token", F.filter("__token", lambda s: (F.size(F.array_distinct(F.split(s["value"], ""))) >= LEAST_DISTINCT) & (ratio(s["value"], ratios) > prior)))
+    out = out.withColumn("__token", F.flatten(F.transform("__token", lambda s: within(s, ratios, prior))))
     return out.select("doc_id", *carried, "text", "base", F.array_sort(F.concat("base", as_kind("__token", 4))).alias("spans"))
 
 

@@ -69,3 +69,14 @@ def test_models_tell_apart(spark, ratios):
     score = lambda t: ratios.score("".join(c for c in t if c in secrets.ALPHABET))
     assert sum(score(r.text) > 0 for r in rows_ if r.random) >= 0.98 * 400
     assert sum(score(r.text) < 0 for r in rows_ if not r.random) >= 0.98 * 400
+
+
+def test_key_at_the_end_of_a_path(spark, ratios):
+    key = "q7Zk2VxR9mTb4LwYc8Hd"
+    before = ["", "//storage.example.com/container/download/", "internal.service.client.session=", "src/main/resources/config/settings/"]
+    docs = spark.createDataFrame([(i, f"see {b}{key} now") for i, b in enumerate(before)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(docs, ratios).collect()}
+    for i, b in enumerate(before):  # the whole key, and at most the last piece before it
+        kind, start, stop = got[i].split(":")
+        at = 4 + len(b)
+        assert kind == "random" and at - len(b.rstrip("/=").split("/")[-1].split(".")[-1]) - 1 <= int(start) <= at and int(stop) == at + len(key)
