@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from casebench.llm.common import materialize, with_words
@@ -95,16 +96,25 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def flown_block(seed: int, rnd: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The flight of one block of a source, and the landing after the last; seeded by what the block is."""
+FLOWN = ("doc_id", "source", "size", "source_size", "target", "whole", "p", "blocks", "round")
 
-    def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], kind="stable", na_position="last")
-        key = f"{seed}|{rnd}|{pdf['source'].iloc[0]}|{pdf['__block'].iloc[0]}".encode()
+
+def flown_block(seed: int, rnd: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """The flight of one block of a source, and the landing after the last; seeded by what the block is.
+
+    Ids stay in Arrow: beside a null, pandas would turn them into floats.
+    """
+
+    def fly(block: pa.Table) -> pa.Table:
+        order = pc.sort_indices(block, sort_keys=[("doc_id", "ascending"), ("size", "ascending"), ("p", "ascending")], null_placement="at_end")
+        block = block.take(order)
+        key = f"{seed}|{rnd}|{block.column('source')[0].as_py()}|{block.column('__block')[0].as_py()}".encode()
         rng = np.random.default_rng(np.frombuffer(key + b" " * (-len(key) % 4), np.uint32))
-        size = pdf["size"].to_numpy(float)
-        p = flight(pdf["p"].to_numpy(), size, rng, RESERVE if last else SPARE)
-        return pdf.assign(p=landing(p, size) if last else p, round=rnd)[["doc_id", "source", "size", "source_size", "target", "whole", "p", "blocks", "round"]]
+        size = block.column("size").to_numpy().astype(float)
+        p = flight(block.column("p").to_numpy(), size, rng, RESERVE if last else SPARE)
+        out = {name: block.column(name) for name in FLOWN if name not in ("p", "round")}
+        out |= {"p": pa.array(landing(p, size) if last else p, pa.float64()), "round": pa.array(np.full(len(p), rnd), pa.int32())}
+        return pa.table({name: out[name] for name in FLOWN})
 
     return fly
 
@@ -112,7 +122,8 @@ def flown_block(seed: int, rnd: int, last: bool) -> Callable[[pd.DataFrame], pd.
 def mixed(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 9, block: int = BLOCK) -> DataFrame:
     """sized (doc_id, source, size) with source_size, target, copies and taken; sized should be a written table.
 
-    Null is a source, the last; a document of size 0 takes nothing; null doc_ids and repeated rows fly like others. The
+    Null is a source, the last; a document of size 0 takes nothing; null doc_ids and repeated rows fly like others, and ids
+    come back as given; a text's length only matters as its size; columns but the three are dropped. The
     driver gets one row a source. Flights are seeded and run in order of doc_id, so reruns agree.
     """
     spark = sized.sparkSession
@@ -135,7 +146,7 @@ def mixed(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         last = blocks == 1
 
         dealt = flying.withColumn("__block", F.pmod(F.xxhash64(F.lit(rnd), "doc_id", "size"), F.col("blocks")))
-        flown = materialize(dealt.groupBy("source", "__block").applyInPandas(flown_block(seed, rnd, last), schema), "flight")
+        flown = materialize(dealt.groupBy("source", "__block").applyInArrow(flown_block(seed, rnd, last), schema), "flight")
         still = (F.col("p") > 0) & (F.col("p") < 1)
         ended = flown if last else flown.filter(~still)
         done = ended if done is None else done.unionByName(ended)

@@ -55,3 +55,36 @@ def test_odd_rows(spark):
     assert len(got) == 14 and all(r.taken <= 2 * r["size"] for r in got)
     assert {r.source for r in got} == {"a", "b", "c", "d", None}
     assert mixing.mix_documents(none(spark)).count() == 0
+
+
+def test_ids_come_back_as_given(spark):
+    """A null id beside ids that a double can't hold."""
+    big = 2**53
+    given = [(big + 1, "a b c", "s"), (None, "d e", "s"), (big + 3, "f g h i", "s"), (-big - 1, "j", None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string")
+    got = rows(mixing.mix_documents(docs), "doc_id", "size")
+    assert got == sorted(((i, len(t.split())) for i, t, _ in given), key=lambda r: [(x is not None, x) for x in r])
+
+
+def test_query_by_brute_force(spark, sf):
+    """Sizes, source sizes and targets worked out in plain Python; what is taken is 0, 1 or 2 times the size, near the target."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in docs}
+    source = {r.doc_id: r.source for r in docs}
+    names = sorted(set(source.values()), key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(total.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * total[s]}
+        target |= {s: 2.0 * total[s] for s in over} if over else share
+        left -= sum(2 * total[s] for s in over)
+        open_ = open_ - over if over else set()
+    got = mixing.op9_mix_sources(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    for r in got:
+        assert (r["size"], r.source_size) == (size[r.doc_id], total[source[r.doc_id]]) and r.target == pytest.approx(target[source[r.doc_id]])
+        assert r.taken in (0, r["size"], 2 * r["size"])
+    for s in names:
+        assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - target[s]) <= max(size[i] for i in size if source[i] == s)
