@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
 Each tree hashes a vector to a string of LEVELS bits, the sides of random hyperplanes, and keeps its vectors as an array
-sorted by string. A query descends each tree to the longest prefix that it shares with any vector, then ascends all trees
-together, one bit at a time, until the subtrees above it hold `least` vectors; those are its candidates, a range of each
-array. Arrays are cut into pages of bounded size; a query is sent to the pages that its ranges touch and scored there
-against the slice in range, and the best of its pages are merged. How many vectors a query must see is measured: true
-neighbours of a bounded sample of queries, found against all rows, tell the recall of every choice of `least`.
+sorted by string. The array's directory is a trie of prefixes: one that holds many vectors is split by further bits, as
+often as the data ask for it. A query descends each tree to the longest prefix that it shares, then ascends all trees
+together, one bit at a time, until the subtrees above it hold `least` vectors and one of them holds all that are asked
+for; those are its candidates, a range of each array. Arrays are cut into pages of bounded size; a query is sent to the
+pages that its ranges touch and scored there against the slice in range, and the best of its pages are merged. How many
+vectors a query must see is measured: true neighbours of a bounded sample of queries, found against all rows, tell the
+recall of every choice of `least`.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from casebench.llm.common import materialize
+from casebench.llm.common import materialize, release
 
-TREES, LEVELS, SEED = 8, 12, 5
+TREES, LEVELS, SEED = 8, 48, 5
+#: Bits by which the directory's prefixes are split first, and then; vectors that a prefix holds unsplit, and how many
+#: prefixes a tree's directory may have, on average, before those hold more: its size stays bounded.
+FIRST_BITS, MORE_BITS, UNSPLIT, MOST_PREFIXES = 12, 3, 64, 1 << 14
 #: Vectors of a page; queries of the sample, and the recall that `least` has to reach on it.
 PAGE, SAMPLE_QUERIES, RECALL = 16_384, 128, 0.95
 #: Rows from which the centre is estimated.
@@ -28,20 +33,30 @@ CENTRE_ROWS = 10_000
 
 @dataclass(frozen=True)
 class Planes:
-    """Hyperplanes [tree * LEVELS, dim + 1] of vectors lifted to one length, so the largest product is the least angle."""
+    """Hyperplanes [tree * LEVELS, dim + 1] of vectors lifted to one length, so the largest product is the least angle.
+
+    A shorter vector is one with zeros at its end.
+    """
 
     normals: np.ndarray
     centre: np.ndarray
     longest: float
+    lift: float
+    query_lift: float
 
     def leaves(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        """[row, tree] of hash strings. A query is scaled to the lifted length and has no lift."""
+        """[row, tree] of hash strings. A query is scaled to the lifted length; its lift is that of a long vector."""
         square = np.einsum("ij,ij->i", vectors, vectors)
         scale = np.sqrt(square)[:, None] if query else self.longest
-        lift = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(1 - square / self.longest**2, 0))
-        lifted = np.concatenate([vectors / scale - self.centre, lift[:, None]], axis=1)
+        lift = np.full(len(vectors), self.query_lift) if query else lifts(square, self.longest)
+        lifted = np.concatenate([vectors / scale - self.centre, lift[:, None] - self.lift], axis=1)
         bits = (lifted @ self.normals.T > 0).reshape(len(vectors), TREES, LEVELS)
-        return bits @ (1 << np.arange(LEVELS)[::-1])
+        return bits @ (1 << np.arange(LEVELS, dtype=np.int64)[::-1])
+
+
+def lifts(square: np.ndarray, longest: float) -> np.ndarray:
+    """The coordinate that brings a vector of this squared length to the longest one's, as a share of that."""
+    return np.sqrt(np.maximum(1 - square / longest**2, 0))
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -50,23 +65,63 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part, all of the commonest length."""
+    """vec_id and embedding (doubles) of the vectors that take part, with zeros at the end up to the longest one's length."""
     good = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = good.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(finite & F.exists("embedding", lambda x: x != 0))
-    lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("embedding") == (lengths["n"] if lengths else 0))
+    low, high = good.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    return good if low == high else good.withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(high) - F.size("embedding"))))
 
 
-def counted(batches: Iterator[pa.RecordBatch], planes: Planes) -> Iterator[pa.RecordBatch]:
-    """How many vectors each leaf of each tree has, summed over a task."""
-    n = np.zeros(TREES << LEVELS, np.int64)
+def strings(batches: Iterator[pa.RecordBatch], planes: Planes) -> Iterator[pa.RecordBatch]:
+    """Of each vector the list of its strings, one a tree."""
     for batch in batches:
         if batch.num_rows:
-            leaves = planes.leaves(matrix_of(batch.column("embedding")), query=False)
-            n += np.bincount((leaves + (np.arange(TREES) << LEVELS)).ravel(), minlength=len(n))
-    at = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["leaf", "n"])
+            flat = planes.leaves(matrix_of(batch.column("embedding")), query=False).ravel()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES), pa.int32()), pa.array(flat, pa.int64()))], names=["strings"])
+
+
+def prefix_counts(batches: Iterator[pa.RecordBatch], depth: int, wanted: list[np.ndarray] | None, more: int) -> Iterator[pa.RecordBatch]:
+    """(tree, prefix, n) of a task: the prefixes of depth + more bits, of those vectors whose first `depth` bits are wanted."""
+    seen: list[dict[int, int]] = [{} for _ in range(TREES)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = batch.column("strings").flatten().to_numpy().reshape(-1, TREES)
+        for t in range(TREES):
+            own = m[:, t]
+            if wanted is not None:
+                head = own >> (LEVELS - depth)
+                at = np.minimum(np.searchsorted(wanted[t], head), max(len(wanted[t]) - 1, 0))
+                own = own[wanted[t][at] == head] if len(wanted[t]) else own[:0]
+            for p, c in zip(*(x.tolist() for x in np.unique(own >> (LEVELS - depth - more), return_counts=True)), strict=True):
+                seen[t][p] = seen[t].get(p, 0) + c
+    for t, counts in enumerate(seen):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), t), pa.int32()), pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["tree", "prefix", "n"])
+
+
+def directory(hashed: DataFrame, total: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each tree the first strings of its prefixes, ascending, and how many vectors each holds.
+
+    A prefix with more than `most` vectors is split by further bits, each time in one pass over the strings, until none is or
+    they have no more bits. `most` follows the table, so the directory has a bounded number of prefixes.
+    """
+    most = max(UNSPLIT, total // MOST_PREFIXES)
+    starts: list[dict[int, int]] = [{} for _ in range(TREES)]
+    depth, more, wanted = 0, FIRST_BITS, None
+    while True:
+        asked = (depth, wanted, more)
+        found = hashed.mapInArrow(lambda it, asked=asked: prefix_counts(it, *asked), "tree int, prefix long, n long").groupBy("tree", "prefix").agg(F.sum("n").alias("n")).toArrow()
+        depth += more
+        more = min(MORE_BITS, LEVELS - depth)
+        tree, prefix, n = (found.column(c).to_numpy() for c in ("tree", "prefix", "n"))
+        heavy = (n > most) & (more > 0)
+        for t, p, c in zip(tree[~heavy].tolist(), prefix[~heavy].tolist(), n[~heavy].tolist(), strict=True):
+            starts[t][p << (LEVELS - depth)] = c
+        wanted = [np.sort(prefix[heavy & (tree == t)]) for t in range(TREES)]
+        if not heavy.any():
+            first = [np.array(sorted(x), np.int64) for x in starts]
+            return first, [np.array([x[k] for k in f.tolist()], np.int64) for x, f in zip(starts, first, strict=True)]
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -114,12 +169,14 @@ def against_all(batches: Iterator[pa.RecordBatch], qid: np.ndarray, queries: np.
 
 
 def merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each qid, of lists that come sorted by qid; an id found in several trees counts once."""
+    """The k best of each qid, of lists that come sorted by qid; an id found several times counts once, with its best score."""
     now, ids, scores = None, [], []
 
     def done() -> tuple[np.ndarray, np.ndarray]:
-        i, first = np.unique(np.concatenate(ids), return_index=True)
-        s = np.concatenate(scores)[first]
+        i, s = np.concatenate(ids), np.concatenate(scores)
+        order = np.lexsort((-s, i))
+        i, first = np.unique(i[order], return_index=True)
+        s = s[order][first]
         order = np.lexsort((i, -s))[:k]
         return i[order], s[order]
 
@@ -141,46 +198,57 @@ def merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 
 @dataclass(frozen=True)
 class Forest:
-    """The planes, the number of vectors up to each leaf of each tree, and the first page of each leaf; all of fixed size."""
+    """The planes and each tree's directory: the first string of each prefix, and the number of vectors before it."""
 
     planes: Planes
-    before: np.ndarray  # [tree, 2**LEVELS + 1]
+    starts: list[np.ndarray]
+    before: list[np.ndarray]  # one longer than starts
     least: int
-
-    def pages(self) -> tuple[np.ndarray, np.ndarray]:
-        """[tree, leaf]: first page, and number of pages. A leaf over a page's size has pages of its own."""
-        n = np.diff(self.before, axis=1)
-        many = np.maximum(1, -(-n // PAGE))
-        first = np.zeros_like(n)
-        page = 0
-        for t in range(TREES):
-            held = 0
-            for leaf in range(1 << LEVELS):
-                if held and held + n[t, leaf] > PAGE:
+    enough: int  # vectors that one tree's range must hold, so that a query gets so many different ones
+
+    def pages(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each tree and prefix the first page, and the number of pages. A prefix over a page's size has pages of its own."""
+        first, many, page = [], [], 0
+        for before in self.before:
+            n = np.diff(before)
+            many.append(np.maximum(1, -(-n // PAGE)))
+            own, held = [], 0
+            for size, wide in zip(n.tolist(), many[-1].tolist(), strict=True):
+                if held and held + size > PAGE:
                     page, held = page + 1, 0
-                first[t, leaf] = page
-                held += int(n[t, leaf])
-                if many[t, leaf] > 1:
-                    page, held = page + int(many[t, leaf]), 0
+                own.append(page)
+                held += size
+                if wide > 1:
+                    page, held = page + wide, 0
+            first.append(np.array(own, np.int64))
             page += 1
         return first, many
 
-    def depths(self, leaves: np.ndarray, least: int | None = None) -> np.ndarray:
-        """The level at which each query stops: the deepest at which its subtrees of all trees hold `least` vectors."""
-        least = self.least if least is None else least
-        out = np.zeros(len(leaves), np.int64)
-        for level in range(1, LEVELS + 1):
-            lo = leaves >> (LEVELS - level) << (LEVELS - level)
-            tree = np.arange(TREES)
-            held = self.before[tree, lo + (1 << (LEVELS - level))] - self.before[tree, lo]
-            out[held.sum(axis=1) >= max(least, 1)] = level
-        return out
+    def ranges(self, leaves: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """[query, tree]: the first and last prefix of the range at the deepest level where the ranges hold enough."""
+        least = max(self.least if least is None else least, 1)
+        lo, hi = np.zeros(leaves.shape, np.int64), np.zeros(leaves.shape, np.int64)
+        todo = np.arange(len(leaves))
+        for level in range(LEVELS, -1, -1):
+            low = leaves[todo] >> (LEVELS - level) << (LEVELS - level)
+            high = low | ((1 << (LEVELS - level)) - 1)
+            a, b, held = np.zeros_like(low), np.zeros_like(low), np.zeros_like(low)
+            for t in range(TREES):
+                # a level within a prefix takes the whole prefix
+                a[:, t] = np.maximum(np.searchsorted(self.starts[t], low[:, t], side="right") - 1, 0)
+                b[:, t] = np.maximum(np.searchsorted(self.starts[t], high[:, t], side="right") - 1, a[:, t])
+                held[:, t] = self.before[t][b[:, t] + 1] - self.before[t][a[:, t]]
+            full = ((held.sum(axis=1) >= least) & (held.max(axis=1) >= self.enough)) if level else np.ones(len(todo), bool)
+            lo[todo[full]], hi[todo[full]] = a[full], b[full]
+            todo = todo[~full]
+            if not len(todo):
+                break
+        return lo, hi
 
 
 def to_pages(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """(page, lo, hi, id, embedding): a vector once a tree, with lo = its leaf and hi null; a query once a page, with its range."""
+    """(page, lo, hi, id, embedding): a vector once a tree, with lo = its prefix and hi null; a query once a page, with its range."""
     first, many = forest.pages()
-    tree = np.arange(TREES)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -191,20 +259,20 @@ def to_pages(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.R
             if not len(rows):
                 continue
             leaves = forest.planes.leaves(vectors[rows], query)
-            if not query:
-                page = first[tree, leaves] + ids[rows][:, None] % many[tree, leaves]
-                take, page, lo, hi = np.repeat(rows, TREES), page.ravel(), leaves.ravel(), None
-            else:
-                shift = LEVELS - forest.depths(leaves)[:, None]
-                low = leaves >> shift << shift
-                high = low + (1 << shift) - 1
-                start, stop = first[tree, low], first[tree, high] + many[tree, high]
-                width = (stop - start).ravel()
-                page = np.repeat(start.ravel(), width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-                take = np.repeat(np.repeat(rows, TREES), width)
-                lo, hi = np.repeat(low.ravel(), width), pa.array(np.repeat(high.ravel(), width), pa.int32())
-            hi = pa.nulls(len(take), pa.int32()) if hi is None else hi
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(lo, pa.int32()), hi, pa.array(ids[take]), batch.column("embedding").take(pa.array(take))], names=["page", "lo", "hi", "id", "embedding"])
+            low, high = forest.ranges(leaves) if query else (None, None)
+            for t in range(TREES):
+                if not query:
+                    lo = np.searchsorted(forest.starts[t], leaves[:, t], side="right") - 1
+                    page, take, hi = first[t][lo] + ids[rows] % many[t][lo], rows, pa.nulls(len(rows), pa.int64())
+                else:
+                    a, b = low[:, t], high[:, t]
+                    start, stop = first[t][a], first[t][b] + many[t][b]
+                    width = stop - start
+                    page = np.repeat(start, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+                    take, lo, hi = np.repeat(rows, width), np.repeat(a, width), pa.array(np.repeat(b, width), pa.int64())
+                for at in range(0, len(take), 20_000):
+                    part = slice(at, at + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(page[part], pa.int64()), pa.array(lo[part], pa.int64()), hi[part], pa.array(ids[take[part]]), batch.column("embedding").take(pa.array(take[part]))], names=["page", "lo", "hi", "id", "embedding"])
 
 
 def searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -244,21 +312,20 @@ LISTS = "qid long, ids array<long>, scores array<double>"
 
 
 def grow(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, sample_queries: int = SAMPLE_QUERIES) -> Forest:
-    """Planes, the leaves' counts over all vectors, and the smallest `least` that reaches the recall on a sample of queries."""
+    """Planes, the directory over all vectors, and the smallest `least` that reaches the recall on a sample of queries."""
     sc = vectors.sparkSession.sparkContext
     some = np.array([r.embedding for r in vectors.select("embedding").limit(CENTRE_ROWS).collect()])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    longest = vectors.agg(F.max(norm)).first()[0]
+    longest, total = vectors.agg(F.max(norm), F.count(F.lit(1))).first()
     dim = some.shape[1]
-    planes = Planes(np.random.default_rng(SEED).normal(size=(TREES * LEVELS, dim + 1)), some.mean(axis=0) / longest, longest)
+    lift = lifts(np.einsum("ij,ij->i", some, some), longest)
+    planes = Planes(np.random.default_rng(SEED).normal(size=(TREES * LEVELS, dim + 1)), some.mean(axis=0) / longest, longest, float(lift.mean()), float(np.quantile(lift, 0.1)))
     sent = sc.broadcast(planes)
-    rows = vectors.mapInArrow(lambda it: counted(it, sent.value), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(TREES << LEVELS, np.int64)
-    for r in rows:
-        n[r["leaf"]] = r["n"]
-    before = np.concatenate([np.zeros((TREES, 1), np.int64), np.cumsum(n.reshape(TREES, -1), axis=1)], axis=1)
-    total = int(before[0, -1])
-    forest = Forest(planes, before, TREES * total)
+    hashed = materialize(vectors.select("embedding").mapInArrow(lambda it: strings(it, sent.value), "strings array<long>"), "strings")
+    starts, counts = directory(hashed, total)
+    release(hashed)
+    before = [np.concatenate([[0], np.cumsum(n)]) for n in counts]
+    forest = Forest(planes, starts, before, TREES * total, min(k, total))
     sample = queries.orderBy(F.xxhash64("qid")).limit(sample_queries).collect()
     qid, q = np.array([r.qid for r in sample]), np.array([r.embedding for r in sample])
     asked = sc.broadcast((qid, q))
@@ -270,23 +337,27 @@ def grow(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL,
     place = {int(x): i for i, x in enumerate(qid)}
     at = np.array([place[r.qid] for r in pairs])
     mine = planes.leaves(q, query=True)
-    differ = mine[at] ^ planes.leaves(np.array([r.embedding for r in pairs]), query=False)
-    shared = (LEVELS - np.ceil(np.log2(differ + 1)).astype(int)).max(axis=1)
+    theirs = planes.leaves(np.array([r.embedding for r in pairs]), query=False)
+    where = np.stack([np.searchsorted(starts[t], theirs[:, t], side="right") - 1 for t in range(TREES)], axis=1)
     least = TREES * total
     for step in range(1, 4 * LEVELS):
         fewer = int(TREES * total / 2 ** (step / 4))
-        if (forest.depths(mine, fewer)[at] <= shared).mean() < recall:
+        lo, hi = forest.ranges(mine, fewer)
+        if not fewer or ((where >= lo[at]) & (where <= hi[at])).any(axis=1).mean() < recall:
             break
         least = fewer
-    return Forest(planes, before, least)
+    for one in (sent, asked):
+        one.unpersist()
+    return Forest(planes, starts, before, least, min(k, total))
 
 
 def nearest(table: DataFrame, is_query: F.Column, k: int = 20, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each query, its own row excepted.
+    """query_id, rank, vec_id and score of the k nearest found of each query, its own row excepted; all others, if fewer.
 
-    Takes part: a vector without null or non-finite components, not zero, of the commonest length, with an id. Of equal
-    vectors the k + 1 with the smallest ids are indexed; no result needs more. Equal queries are searched once. Ties go to
-    the smaller id; an empty table gives an empty one. The driver gets counts of leaves, of fixed number, and the sample.
+    Takes part: a vector without null or non-finite components, not zero, with an id; a shorter vector counts as one with
+    zeros at its end. Of equal vectors the k + 1 with the smallest ids are indexed; no result needs more. Equal queries are
+    searched once. Ties go to the smaller id; of rows that share an id the nearest counts; an empty table gives an empty one; other
+    columns are ignored. The driver gets the directory, of bounded size, and the sample.
     """
     good = materialize(usable(table), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
@@ -298,7 +369,7 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 20, recall: float = R
     queries = materialize(asked.groupBy("embedding").agg(F.min("vec_id").alias("qid")).select("qid", "embedding"), "queries")
     forest = table.sparkSession.sparkContext.broadcast(grow(kept, queries, k + 1, recall))
     both = kept.select(F.col("vec_id").alias("id"), F.lit(False).alias("is_query"), "embedding").unionByName(queries.select(F.col("qid").alias("id"), F.lit(True).alias("is_query"), "embedding"))
-    paged = both.select("id", "is_query", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lambda it: to_pages(it, forest.value), "page long, lo int, hi int, id long, embedding array<double>")
+    paged = both.select("id", "is_query", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(lambda it: to_pages(it, forest.value), "page long, lo long, hi long, id long, embedding array<double>")
     dealt = paged.repartition("page").sortWithinPartitions("page", F.col("hi").isNotNull(), "lo", "hi")
     lists_ = dealt.mapInArrow(lambda it: searched(it, k + 1), LISTS).repartition("qid").sortWithinPartitions("qid").mapInArrow(lambda it: merged(it, k + 1), LISTS)
     of = queries.join(lists_, "qid").select(F.col("embedding").alias("__vector"), "ids", "scores")
