@@ -5,6 +5,10 @@ variants within r/2 bits is shuffled by variant and whatever meets there is link
 they aren't sent. The space of variants is cut into slices by its leading bits, each fingerprint is sent once to each
 slice that its ball enters, and the slice makes the variants that lie in it, sorts them and links what is equal. Members
 of one variant are within r of each other, so a star to the smallest links them; each slice sends on a spanning forest.
+
+Fingerprints of a large family of near copies share their leading bits and crowd one slice. Slices are counted first; a
+crowded one is cut into parts by a linear hash of the variant. H(fp ^ mask) = H(fp) ^ H(mask), so a part knows which masks
+lead into it and makes only those variants: each variant is still made once, and parts are alike whatever the family.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from casebench.llm.common import materialize, release, spans_of_bytes, texts
 
-#: Variants that one slice makes on average; with it grows the memory of a task.
-VARIANTS_A_SLICE = 4_000_000
+#: Variants that one slice makes on average; with it grows the memory of a task. A slice of CROWDED times as many is cut.
+VARIANTS_A_SLICE, CROWDED = 4_000_000, 4
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -93,8 +97,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def links_of_slice(cut: int, fp: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links that fingerprints make through variants within one slice, as a forest."""
+def syndromes(words: np.ndarray, parts: int) -> np.ndarray:
+    """A linear hash of each word to parts bits: the parities of the word under fixed random masks."""
+    rng = np.random.default_rng(64)
+    checks = rng.integers(0, 1 << 63, parts, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, parts, dtype=np.uint64)
+    out = np.zeros(len(words), np.int64)
+    for k, check in enumerate(checks):
+        out |= (np.bitwise_count(words & check) & 1).astype(np.int64) << k
+    return out
+
+
+def variants_of(low: np.ndarray, mask: np.ndarray, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(variant, position in low) of the variants whose syndrome is `part`."""
+    if not parts:
+        return (low[:, None] ^ mask).ravel(), np.repeat(np.arange(len(low)), len(mask))
+    of = syndromes(mask, parts)
+    order = np.argsort(of, kind="stable")
+    mask, of = mask[order], of[order]
+    needed = syndromes(low, parts) ^ part
+    first, last = np.searchsorted(of, needed, side="left"), np.searchsorted(of, needed, side="right")
+    count = last - first
+    who = np.repeat(np.arange(len(low)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    return low[who] ^ mask[at], who
+
+
+def links_of_slice(cut: int, fp: np.ndarray, bits: int, half: int, part: int = 0, parts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The links that fingerprints make through variants within one slice, or one of its 2**parts parts, as a forest."""
     rest = 64 - bits
     away = np.bitwise_count((fp >> np.uint64(rest)) ^ np.uint64(cut))
     low = fp & np.uint64((1 << rest) - 1)
@@ -102,9 +131,9 @@ def links_of_slice(cut: int, fp: np.ndarray, bits: int, half: int) -> tuple[np.n
     for d in range(half + 1):
         who = np.flatnonzero(away == d)
         if len(who):
-            mask = masks(rest, half - d)
-            variants.append((low[who][:, None] ^ mask).ravel())
-            owners.append(np.repeat(who, len(mask)))
+            v, o = variants_of(low[who], masks(rest, half - d), part, parts)
+            variants.append(v)
+            owners.append(who[o])
     v, o = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(v)
     v, o = v[order], o[order]
@@ -115,27 +144,29 @@ def links_of_slice(cut: int, fp: np.ndarray, bits: int, half: int) -> tuple[np.n
 
 
 def linked(batches: Iterator[pa.RecordBatch], bits: int, half: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by slice; a slice may go over several batches."""
+    """Rows (slice, part, parts, fp) come sorted by slice and part; one may go over several batches."""
     names = ["a", "b"]
 
-    def made(cut: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = links_of_slice(cut, np.unique(np.concatenate(parts)), bits, half)
+    def made(where: tuple[int, int, int], held: list[np.ndarray]) -> pa.RecordBatch:
+        cut, part, parts = where
+        a, b = links_of_slice(cut, np.unique(np.concatenate(held)), bits, half, part, parts)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
 
     now, held = None, []
     for batch in batches:
-        cuts, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "fp"))
+        cuts, part, parts, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "part", "parts", "fp"))
         if not len(cuts):
             continue
-        edges = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(cuts)]
+        edges = [0, *(np.flatnonzero((np.diff(cuts) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(cuts)]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            if now is not None and cuts[lo] != now:
-                yield made(int(now), held)
+            here = int(cuts[lo]), int(part[lo]), int(parts[lo])
+            if now is not None and here != now:
+                yield made(now, held)
                 held = []
-            now = cuts[lo]
+            now = here
             held.append(fp[lo:hi].view(np.uint64))
     if held:
-        yield made(int(now), held)
+        yield made(now, held)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -164,7 +195,8 @@ def components(links: DataFrame) -> DataFrame:
 def simhash_links(prints: DataFrame, radius: int = 4, variants_a_slice: int = VARIANTS_A_SLICE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within `radius` (even) bits.
 
-    prints: fp, one row for each. The number of slices follows the number of fingerprints, so a slice's memory doesn't grow.
+    prints: fp, one row for each. The number of slices follows the number of fingerprints, and a crowded slice is cut, so a
+    task's memory doesn't grow.
     """
     half = radius // 2
     n = prints.count()
@@ -172,7 +204,13 @@ def simhash_links(prints: DataFrame, radius: int = 4, variants_a_slice: int = VA
     spark = prints.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(64, half)) // 40_000_000)
     sent = prints.select("fp").mapInArrow(lambda it: to_slices(it, bits, half), "slice long, fp long")
-    dealt = sent.repartition(parts, "slice").sortWithinPartitions("slice")
+    # the slices are counted with sums a task; only crowded ones go on, a few in all that there are
+    made = F.col("n") * len(masks(64 - bits, half))
+    crowded = sent.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).filter(made > CROWDED * variants_a_slice)
+    crowded = materialize(crowded.select(F.col("slice").alias("__slice"), F.ceil(F.log2(made / variants_a_slice)).cast("int").alias("parts")), "crowded")
+    sent = sent.join(crowded, F.col("slice") == F.col("__slice"), "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    sent = sent.select("slice", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, parts)") - 1)).alias("part"), "parts", "fp")
+    dealt = sent.repartition(parts, "slice", "part").sortWithinPartitions("slice", "part")
     return dealt.mapInArrow(lambda it: linked(it, bits, half), "a long, b long")
 
 
@@ -182,7 +220,8 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFr
     The component_id is the smallest doc_id reachable over links of at most `radius` bits. A null or empty text, or one
     without words, has fingerprint zero and is linked like any other; a null doc_id is carried but never is an id, so a
     component of such rows alone has a null id; repeated rows share a fingerprint. Copies aren't expanded into pairs:
-    links are between distinct fingerprints. An empty table gives an empty one.
+    links are between distinct fingerprints. Texts of any length are read whole; columns but doc_id and text are ignored. An
+    empty table gives an empty one.
     """
     prints = materialize(texts(docs).mapInArrow(lambda it: fingerprints(it, shingle), "doc_id long, fp long"), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")

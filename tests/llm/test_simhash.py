@@ -81,3 +81,33 @@ def test_forest_keeps_components():
     a, b = np.array([5, 9, 1, 7]), np.array([9, 2, 3, 7])
     member, root = simhash.forest(a, b)
     assert dict(zip(member.tolist(), root.tolist(), strict=True)) == {5: 2, 9: 2, 3: 1}
+
+
+def test_a_crowded_slice_is_cut(spark):
+    """A family that shares its leading bits, with slices so small that it is cut into many parts: every link is found."""
+    rng = np.random.default_rng(8)
+    centre = np.uint64(0xDEADBEEF12345678)
+    family = np.unique(np.array([centre ^ np.uint64(sum(1 << int(k) for k in rng.choice(48, rng.integers(1, 9), replace=False))) for _ in range(400)], np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in family.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.simhash_links(df, variants_a_slice=3000)).collect()}
+    signed = family.view(np.int64).tolist()
+    root = list(range(len(family)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(family):
+        for j in np.flatnonzero(np.bitwise_count(family ^ x) <= 4).tolist():
+            root[find(i)] = find(j)
+    want = {signed[i]: min(signed[j] for j in range(len(family)) if find(j) == find(i)) for i in range(len(family))}
+    assert {x: got.get(x, x) for x in signed} == want
+
+
+def test_parts_make_each_variant_once():
+    fp = np.random.default_rng(1).integers(0, 1 << 40, 9, dtype=np.uint64)
+    mask = simhash.masks(40, 2)
+    whole = sorted(zip(*(x.tolist() for x in simhash.variants_of(fp, mask, 0, 0)), strict=True))
+    cut = sorted(pair for part in range(8) for pair in zip(*(x.tolist() for x in simhash.variants_of(fp, mask, part, 3)), strict=True))
+    assert whole == cut
