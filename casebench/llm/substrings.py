@@ -9,24 +9,27 @@ the repeat is maximal. Every member of an interval is looked at, not just neighb
 
 Suffixes whose surroundings are equal on all sides are copies: they are counted, not compared, so a passage in a third of
 all documents is one suffix with a count. A gram with very many different surroundings (the ends of a very common passage)
-that exceed MOST_CONTEXTS is resolved by counting whole strings instead, which splits over any number of tasks.
+would be one large task, so it is cut: two suffixes match if for some p between `gram` and `length` they share p bytes from
+the anchor on and length - p before it, and those with p in a range agree on the range's least shares. A crowded group is
+dealt anew by these bytes for each half of its range, and those again if need be. Each part goes to the tree; a range of
+one p is a single string, whose members are one interval without comparing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casebench.llm.common import materialize, release, spans_of_bytes, texts
 
 LENGTH, GRAM = 200, 56
-#: Different surroundings of one gram that one task compares.
-MOST_CONTEXTS = 100_000
+#: Different surroundings that one group of the tree has; one with more is cut.
+MOST_CONTEXTS = 20_000
 #: Windows that are hashed at once; bits of a place among them.
 PIECE, PLACE = 1 << 19, 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,17 +139,17 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def surroundings(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(h, many, key, at, left, right) for each wanted anchor: the bytes before it, last first, and from it on."""
+    """(h, c, many, key, at, left, right) for each wanted anchor: the bytes before it, last first, and from it on."""
     before = length - gram
     for batch in sliced(batches, 256):
         out: list[tuple] = []
         for key, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "tag", "bytes", "wanted")), strict=True):
             for w in wanted:
                 p = w["place"]
-                out.append((w["h"], w["many"], w["contexts"], key, tag << 32 | p, text[max(0, p - before) : p][::-1], text[p : p + length]))
+                out.append((w["h"], w["c"], w["many"], key, tag << 32 | p, text[max(0, p - before) : p][::-1], text[p : p + length]))
         cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["h", "many", "contexts", "key", "at", "left", "right"])
+        types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["h", "c", "many", "key", "at", "left", "right"])
 
 
 def padded(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,26 +210,64 @@ def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> It
             yield int(inner.min()), shared, members[lo : hi + 1], most
 
 
+def maximal(left: list[bytes], right: list[bytes], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(before, after, members) of every maximal repeat through one anchor: an interval of the tree of what follows, and
+    within it one of the tree of what stands before, whose members don't all share more on either side.
+    """
+    lm, ll = padded(left, length - gram)
+    rm, rl = padded(right, length)
+    order = order_of(rm, rl)
+    place = np.empty(len(left), np.int64)
+    place[order] = np.arange(len(left))
+    prefix = common(rm[order[:-1]], rm[order[1:]], rl[order[:-1]], rl[order[1:]])
+    rank = np.empty(len(left), np.int64)
+    rank[order_of(lm, ll)] = np.arange(len(left))
+    for first, last, shared in intervals(prefix.tolist()):
+        members = order[first : last + 1]
+        members = members[np.argsort(rank[members])]
+        reach = common(lm[members[:-1]], lm[members[1:]], ll[members[:-1]], ll[members[1:]])
+        for lo, hi, before in intervals(reach.tolist()):
+            if before + shared >= length:
+                own = members[lo : hi + 1]
+                at = place[own]
+                if prefix[at.min() : at.max()].min() == shared:
+                    yield before, shared, own
+
+
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """(first, end) of each run of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(key, tag, start, stop) of what repeats; rows come sorted by h. Groups of two are compared all at once."""
+def groups_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[list]]:
+    """The named columns of rows that come sorted by the first name, as lists, so that no group is cut in two."""
+    held: list[list] = [[] for _ in names]
+    for batch in batches:
+        for part, name in zip(held, names, strict=True):
+            part += batch.column(name).to_pylist()
+        if not held[0]:
+            continue
+        # the last group may go on in the next batch
+        done = held[0].index(held[0][-1]) if held[0][0] != held[0][-1] else 0
+        if done:
+            yield [x[:done] for x in held]
+            held = [x[done:] for x in held]
+    if held[0]:
+        yield held
+
+
+def edges_of(column: list) -> list[tuple[int, int]]:
+    cuts = [0, *(i for i in range(1, len(column)) if column[i] != column[i - 1]), len(column)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
-    def emit(keys_: list, ats: list, before: list, after: list) -> pa.RecordBatch:
-        at = np.array(ats, np.int64)
-        place = at & 0xFFFFFFFF
-        return pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(at >> 32), pa.array(place - np.array(before, np.int64)), pa.array(place + np.array(after, np.int64))], names=["key", "tag", "start", "stop"])
 
-    def settled(rows: list[list]) -> Iterator[pa.RecordBatch]:
-        """rows: h, many, key, at, left, right of whole groups."""
-        h = np.array(rows[0], np.int64)
-        edges = [0, *(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]
-        twos = [a for a, b in zip(edges, edges[1:], strict=False) if b - a == 2]
+def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(key, tag, start, stop) of what repeats; rows come sorted by group. Groups of two are compared all at once."""
+    for rows in groups_of(batches, ("group", "many", "key", "at", "left", "right")):
         got: tuple[list, list, list, list] = ([], [], [], [])
+        edges = edges_of(rows[0])
+        twos = [a for a, b in edges if b - a == 2]
         for lo in range(0, len(twos), 4096):
             pair = twos[lo : lo + 4096]
             x, y = ([padded([rows[c][a + d] for a in pair], w) for d in (0, 1)] for c, w in ((4, length - gram), (5, length)))
@@ -236,7 +277,7 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
                     if not rows[1][a]:
                         for part, v in zip(got, (rows[2][a], rows[3][a], int(before[i]), int(after[i])), strict=True):
                             part.append(v)
-        for a, b in zip(edges, edges[1:], strict=False):
+        for a, b in edges:
             if b - a > 2:
                 # all repeats of a suffix hold its anchor, so together they are one range
                 most = np.full((2, b - a), -1)
@@ -247,34 +288,46 @@ def compared(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
                     if not rows[1][a + m]:
                         for part, v in zip(got, (rows[2][a + m], rows[3][a + m], int(most[0, m]), int(most[1, m])), strict=True):
                             part.append(v)
-        yield emit(*got)
+        at = np.array(got[1], np.int64)
+        place = at & 0xFFFFFFFF
+        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(at >> 32), pa.array(place - np.array(got[2], np.int64)), pa.array(place + np.array(got[3], np.int64))], names=["key", "tag", "start", "stop"])
 
-    names = ("h", "many", "key", "at", "left", "right")
-    held: list[list] = [[] for _ in names]
-    for batch in batches:
-        for part, name in zip(held, names, strict=True):
-            part += batch.column(name).to_pylist()
-        if not held[0]:
-            continue
-        # the last group may go on in the next batch
-        done = held[0].index(held[0][-1]) if held[0][0] != held[0][-1] else 0
-        if done:
-            yield from settled([x[:done] for x in held])
-            held = [x[done:] for x in held]
-    if held[0]:
-        yield from settled(held)
 
+def owned(string: bytes, place: int, length: int, gram: int) -> bool:
+    """Whether a window of the string has its anchor at this place. Only then has every place of the string an anchor there."""
+    return bool((anchors(np.frombuffer(string, np.uint8), np.array([0, len(string)]), length, gram)[0] == place).any())
 
-def windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(string, weight, key, tag, start): each string of `length` bytes through an anchor with very many surroundings."""
-    for batch in sliced(batches, 256):
+
+def grouped(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(repeat, before, after, h, c) of each maximal repeat and each of its members' surroundings; rows come sorted by group."""
+    names = ["repeat", "before", "after", "h", "c"]
+    for rows in groups_of(batches, ("group", "h", "c", "left", "right", "many")):
+        out: list[tuple] = []
+        for a, b in edges_of(rows[0]):
+            # surroundings that occur several times are a repeat, alone or of those that the tree finds
+            found = [(len(rows[3][k]), len(rows[4][k]), [k - a]) for k in range(a, b) if rows[5][k]]
+            if b - a > 1:
+                found += maximal(rows[3][a:b], rows[4][a:b], length, gram)
+            for before, after, members in found:
+                m = a + int(members[0])
+                string = rows[3][m][:before][::-1] + rows[4][m][:after]
+                if owned(string, before, length, gram):
+                    name = xxhash.xxh3_128_hexdigest(string)
+                    out += [(name, before, after, rows[1][a + int(k)], rows[2][a + int(k)]) for k in members]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+
+def named(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(repeat, before, after, h, c) of rows whose bytes `before` and `after` the anchor are a repeat."""
+    for batch in sliced(batches, 4096):
         out: list[tuple] = []
-        for many, key, at, left, right in zip(*(batch.column(c).to_pylist() for c in ("many", "key", "at", "left", "right")), strict=True):
-            whole, p = left[::-1] + right, at & 0xFFFFFFFF
-            for s in range(max(0, len(whole) - length + 1)):
-                out.append((xxhash.xxh3_128_digest(whole[s : s + length]), 1 + many, key, at >> 32, p - len(left) + s))
+        for x, y, i, k, h, c in zip(*(batch.column(n).to_pylist() for n in ("left", "right", "before", "after", "h", "c")), strict=True):
+            string = x[:i][::-1] + y[:k]
+            if owned(string, i, length, gram):
+                out.append((xxhash.xxh3_128_hexdigest(string), i, k, h, c))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["string", "weight", "key", "tag", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["repeat", "before", "after", "h", "c"])
 
 
 def united(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -305,42 +358,114 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(key, tag, start, stop) of byte ranges that strings of `length` bytes which also start elsewhere cover."""
-    before = length - gram
+def placed() -> Column:
+    """The place in the text, of `at`."""
+    return F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+
+def surrounded(docs: DataFrame, length: int, gram: int, copies: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: anchors (key, at, h, c) whose gram occurs again; contexts (h, c, n, one) of the different surroundings;
+    and sides (h, c, many, key, at, left, right), the bytes of one place of each of those whose gram has several, or with
+    `copies` also of those that occur several times.
+    """
     found = texts(docs).mapInArrow(lambda it: anchored(it, length, gram), "key long, at long, h long, c long")
     # written first, so that the join's sides are plain shuffles, of which skewed partitions can be split; so are copies' below
     again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "grams")
     found = materialize(found.join(again, "h"), "anchors")
+    release(again)
     contexts = materialize(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one")), "contexts")
-    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    tag = F.shiftright("at", 32)
-    copies = found.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"]).select("key", tag.alias("tag"), (place - before).alias("start"), (place + length).alias("stop"))
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    wanted = contexts.join(several, "h").select("h", (F.col("n") > 1).alias("many"), "contexts", F.col("one.key").alias("key"), F.col("one.at").alias("at"))
-    wanted = wanted.select("key", tag.alias("tag"), F.struct(place.alias("place"), "h", "many", "contexts").alias("w")).groupBy("key", "tag").agg(F.collect_list("w").alias("wanted"))
+    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most")).filter("contexts > 1 OR most > 1" if copies else "contexts > 1").select("h")
+    wanted = contexts.join(several, "h").select("h", "c", (F.col("n") > 1).alias("many"), F.col("one.key").alias("key"), F.col("one.at").alias("at"))
+    wanted = wanted.select("key", F.shiftright("at", 32).alias("tag"), F.struct(placed().alias("place"), "h", "c", "many").alias("w")).groupBy("key", "tag").agg(F.collect_list("w").alias("wanted"))
     at_hand = texts(docs).mapInArrow(keyed, "key long, tag long, doc_id long, bytes binary").select("key", "tag", "bytes")
-    sides = at_hand.join(wanted, ["key", "tag"]).mapInArrow(lambda it: surroundings(it, length, gram), "h long, many boolean, contexts long, key long, at long, left binary, right binary").dropDuplicates(["key", "at"])
-    sides = materialize(sides, "surroundings")
-    schema = "key long, tag long, start long, stop long"
-    few = sides.filter(F.col("contexts") <= most_contexts).drop("contexts").repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: compared(it, length, gram), schema)
-    strings = sides.filter(F.col("contexts") > most_contexts).mapInArrow(lambda it: windows(it, length, gram), "string binary, weight long, key long, tag long, start long")
-    # a string may hold several such anchors; each of its places counts once
-    strings = strings.groupBy("key", "tag", "start").agg(F.min("string").alias("string"), F.max("weight").alias("weight"))
-    twice = strings.groupBy("string").agg(F.sum("weight").alias("n")).filter("n > 1").select("string")
-    rest = strings.join(twice, "string").select("key", "tag", "start", (F.col("start") + length).alias("stop"))
-    spans = materialize(copies.unionByName(few).unionByName(rest), "spans")
-    for done in (again, found, contexts, sides):
+    sides = at_hand.join(wanted, ["key", "tag"]).mapInArrow(lambda it: surroundings(it, length, gram), "h long, c long, many boolean, key long, at long, left binary, right binary").dropDuplicates(["key", "at"])
+    return found, contexts, materialize(sides, "surroundings")
+
+
+def resolved(sides: DataFrame, length: int, gram: int, most_contexts: int, tree: Callable[[DataFrame], DataFrame], single: Callable[[DataFrame], DataFrame], weight: Column | None = None) -> DataFrame:
+    """The union of tree(groups of at most most_contexts sides) and single(the members of one string, split at byte p).
+
+    A group is what its range lo to hi of p says that the members share: the gram at first. A crowded group's range is halved
+    and its members dealt by what each half asks for, all ranges of a level in one table; who is alone in a group drops out.
+    Without a crowded group nothing is written. weight: how many a side counts for, 1 by default.
+    """
+    part = sides.withColumns({"group": F.encode(F.col("h").cast("string"), "UTF-8"), "lo": F.lit(gram), "hi": F.lit(length)})
+    done, before = None, None
+    while True:
+        sizes = part.groupBy("group").agg(F.sum(weight if weight is not None else F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")).filter("n > 1")
+        crowded = materialize(sizes.filter((F.col("n") > most_contexts) & (F.col("lo") < F.col("hi"))).select("group"), "crowded")
+        last = crowded.isEmpty()
+        if last and before is None:
+            return tree(part)
+        many = sizes.filter((F.col("n") <= most_contexts) | (F.col("lo") == F.col("hi"))).select("group")
+        kept = part.join(many, "group", "left_semi")
+        out = tree(kept.filter("lo < hi")).unionByName(single(kept.filter("lo = hi").withColumn("p", F.col("lo"))))
+        out = materialize(out, "resolved")
+        done = out if done is None else done.unionByName(out)
+        rest = None if last else materialize(part.join(crowded, "group", "left_semi").drop("group"), "rest")
+        for table in (crowded, before):
+            if table is not None:
+                release(table)
+        if last:
+            return done
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct("lo", middle.alias("hi")), F.struct((middle + 1).alias("lo"), "hi"))
+        part = rest.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+        part = part.filter((F.octet_length("right") >= F.col("lo")) & (F.octet_length("left") >= length - F.col("hi")))
+        shared = F.concat(F.encode(F.concat_ws("|", F.col("h").cast("string"), F.col("lo").cast("string"), F.col("hi").cast("string"), F.lit("")), "UTF-8"), F.substring("right", F.lit(1), F.col("lo")), F.substring("left", F.lit(1), length - F.col("hi")))
+        part, before = part.withColumn("group", F.unhex(F.sha2(shared, 256))), rest
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """(key, tag, start, stop) of byte ranges that strings of `length` bytes which also start elsewhere cover."""
+    found, contexts, sides = surrounded(docs, length, gram)
+    tag = F.shiftright("at", 32)
+    copies = found.join(contexts.filter("n > 1").select("h", "c"), ["h", "c"]).select("key", tag.alias("tag"), (placed() - (length - gram)).alias("start"), (placed() + length).alias("stop"))
+
+    def tree(part: DataFrame) -> DataFrame:
+        rows = part.select("group", "many", "key", "at", "left", "right").repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(lambda it: compared(it, length, gram), "key long, tag long, start long, stop long")
+
+    def single(part: DataFrame) -> DataFrame:
+        return part.filter("not many").select("key", tag.alias("tag"), (placed() - (length - F.col("p"))).alias("start"), (placed() + F.col("p")).alias("stop"))
+
+    spans = materialize(copies.unionByName(resolved(sides, length, gram, most_contexts, tree, single)), "spans")
+    for done in (found, contexts, sides):
         release(done)
     return spans
 
 
+def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+    """(repeat, size, key, tag, start): the maximal repeats of at least `length` bytes, and every place of each.
+
+    repeat is a digest of the repeated bytes, key and tag name the row (see keys()), start is a byte. A repeat is looked at
+    length - gram bytes before an anchor and `length` after it; what goes on beyond is told by the repeats of its next
+    anchors, so a long passage is a chain of overlapping repeats. Strings of a cut group are repeats of exactly `length` bytes
+    where the range came down to one p.
+    """
+    found, _, sides = surrounded(docs, length, gram, copies=True)
+    schema = "repeat string, before long, after long, h long, c long"
+
+    def tree(part: DataFrame) -> DataFrame:
+        rows = part.select("group", "h", "c", "left", "right", "many").repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(lambda it: grouped(it, length, gram), schema)
+
+    def single(part: DataFrame) -> DataFrame:
+        return part.withColumns({"before": length - F.col("p"), "after": F.col("p")}).mapInArrow(lambda it: named(it, length, gram), schema)
+
+    every = resolved(sides, length, gram, most_contexts, tree, single, 1 + F.col("many").cast("int"))
+    start = placed() - F.col("before")
+    return every.distinct().join(found, ["h", "c"]).select("repeat", (F.col("before") + F.col("after")).alias("size"), "key", F.shiftright("at", 32).alias("tag"), start.alias("start")).distinct()
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed ranges and the kept bytes of every text.
 
     A byte goes if a string of `length` bytes over it also starts anywhere else, in the same text or another, as the input
     stands. A null text is empty. Rows with a null doc_id are texts of their own; repeated rows are copies of each other.
-    length - gram must be at least 1, gram a multiple of 8. Texts are shuffled twice, by row; all else is short rows.
+    length - gram must be at least 1, gram a multiple of 8. Copies are told by 64 bits of the gram and 64 of its
+    surroundings, all else by its bytes. Texts of any length are read whole; columns but doc_id and text are ignored. Texts
+    are shuffled twice, by row; all else is short rows.
     """
     spans = repeat_spans(docs, length, gram, most_contexts)
     of = spans.groupBy("key", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))

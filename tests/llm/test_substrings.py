@@ -38,9 +38,9 @@ def test_odd_rows(spark):
     assert substrings.without_repeats(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("most_contexts", [substrings.MOST_CONTEXTS, 1])
+@pytest.mark.parametrize("most_contexts", [substrings.MOST_CONTEXTS, 1, 6])
 def test_planted_passages(spark, most_contexts):
-    """Passages with varied edges, periodic text and two symbols; also by counting strings, which takes what has many surroundings."""
+    """Passages with varied edges, periodic text and two symbols; also with groups cut, once or down to single strings."""
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passages = [word(n) for n in (39, 40, 41, 90, 300)]
@@ -69,3 +69,36 @@ def test_interval_tree_finds_all_maximal_repeats():
         for i, pairs in got.items():
             assert all((i, a) in want for _, a in pairs if a >= 14)
     assert substrings.intervals([2, 5, 5, 0, 3]) == [(1, 3, 5), (0, 3, 2), (4, 5, 3), (0, 5, 0)]
+
+
+@pytest.mark.parametrize("most_contexts", [substrings.MOST_CONTEXTS, 4])
+def test_groups_have_every_place(spark, most_contexts):
+    """Each repeat's places hold one string, all of them; and the places together cover what is removed."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [word(n) for n in (41, 60, 90)]
+    docs = [(i, word(rng.randrange(40)) + rng.choice(passages) + word(rng.randrange(40)) + rng.choice(passages)[rng.randrange(12) :]) for i in range(40)]
+    docs += [(50, passages[2]), (51, passages[2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    text = {i: t.encode() for i, t in docs}
+    groups = {}
+    for r in substrings.repeat_groups(df, length=40, gram=16, most_contexts=most_contexts).collect():
+        groups.setdefault(r.repeat, set()).add((r.key, r.start, r.size))
+    covered = {i: set() for i in text}
+    for places in groups.values():
+        strings = {text[k][s : s + n] for k, s, n in places}
+        assert len(strings) == 1 and len(places) > 1 and len(next(iter(strings))) >= 40
+        one = next(iter(strings))
+        assert {(k, s) for k, s, _ in places} == {(k, s) for k, b in text.items() for s in range(len(b)) if b.startswith(one, s)}
+        for k, s, n in places:
+            covered[k] |= set(range(s, s + n))
+    assert {i: len(c) for i, c in covered.items()} == {r[0]: r[2] for r in brute(docs, 40)}
+
+
+def test_one_gram_with_very_many_surroundings(spark):
+    """A passage whose ends all differ, in more texts than a group of the tree takes at once."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(230))
+    docs = [(i, "".join(rng.choice("klmnopqrstuvw ") for _ in range(60)) + passage + "".join(rng.choice("klmnopqrstuvw ") for _ in range(60))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(substrings.without_repeats(df, most_contexts=50), *NAMES) == brute(docs, 200)
