@@ -8,6 +8,7 @@ characters, and the table of log ratios, of fixed size, is a literal in the plan
 from __future__ import annotations
 
 import math
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,12 @@ WORDS = (
     "gesellschaft verantwortung entwicklung einrichtung freundlich wirtschaftlich geschwindigkeit möglichkeiten zwischen verständlich "
     "établissement développement connaissance gouvernement particulièrement vraiment nouvelle beaucoup information responsabilidad desarrollo comunicaciones administración conocimiento nuestro"
 ).split()
+#: Noncharacters that stand for what a base span covers: a digit, a to f, a capital, anything else. A text has none of them.
+COVERED = "\ufdd0\ufdd1\ufdd2\ufdd3"
+COVERED_ACCESS = r"AKIA[A-Z0-9\x{FDD0}\x{FDD2}]{16,}"
+COVERED_HEX = r"[0-9a-f\x{FDD0}\x{FDD1}]{24,}"
+#: Entries of an array that one step sums up.
+STEP = 256
 #: Log of the odds that a token is ordinary before it is looked at.
 PRIOR = math.log(10_000)
 
@@ -46,7 +53,7 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     style = F.col("id") % 7
     raw = F.unhex(digest)
     encoded = F.when(style < 4, F.translate(F.base64(raw), "=", "")).when(style == 4, F.substring(digest, 1, 40)).when(style == 5, F.upper(F.substring(other, 1, 32))).otherwise(F.translate(F.regexp_replace(F.base64(raw), "[+/=]", ""), "0O1lI", "23456"))
-    words = F.array(*[F.lit(w.encode("ascii", "ignore").decode()) for w in WORDS])
+    words = F.array(*[F.lit(unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode()) for w in WORDS])
     picked = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), k), F.lit(len(WORDS))) + 1).cast("int")))
     title = F.transform(picked, lambda w: F.initcap(w))
     styles = [F.array_join(picked, "_"), F.array_join(title, ""), F.concat(F.element_at(picked, 1), F.array_join(F.slice(title, 2, 3), "")), F.array_join(picked, "-"), F.upper(F.array_join(picked, "_")), F.array_join(picked, "."), F.array_join(picked, "/"), F.array_join(picked, ""), F.concat(F.array_join(F.slice(picked, 1, 3), "_"), F.lit("_"), (F.col("id") % 2000).cast("string")), F.upper(F.array_join(picked, ""))]
@@ -110,7 +117,6 @@ def segment(token: Column, ratios: Ratios) -> Column:
 
 def within(s: Column, ratios: Ratios, prior: float) -> Column:
     """The spans (start, stop, value) of a token: the whole if it is random, else its most random segment, out to the next of / . = _ -"""
-    kind = "array<struct<start:int,stop:int,value:string>>"
     value = s["value"]
     distinct = lambda v: F.size(F.array_distinct(F.split(v, "")))
 
@@ -125,45 +131,94 @@ def within(s: Column, ratios: Ratios, prior: float) -> Column:
         start = best["start"] - before + F.when(ordinary, F.length(head)).otherwise(0)
         stop = best["stop"] + after
         one = F.struct((s["start"] + start).alias("start"), (s["start"] + stop).alias("stop"), F.substring(value, start + 1, stop - start).alias("value"))
-        return F.when(best["best"] > prior, F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))).otherwise(F.array().cast(kind))
+        return F.when(best["best"] > prior, F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))).otherwise(F.array().cast(SPAN))
 
     part = F.flatten(F.transform(F.array(segment(value, ratios)), cut))
-    return F.when(distinct(value) < LEAST_DISTINCT, F.array().cast(kind)).when(ratio(value, ratios) > prior, F.array(s)).otherwise(part)
+    return F.when(distinct(value) < LEAST_DISTINCT, F.array().cast(SPAN)).when(ratio(value, ratios) > prior, F.array(s)).otherwise(part)
+
+
+SPAN = "array<struct<start:int,stop:int,value:string>>"
+
+
+def running(lengths: Column) -> Column:
+    """The sums of all entries before each entry. Sums of STEP entries first, so that no long array is copied entry by entry."""
+    def sums(parts: Column, first: Column) -> Column:
+        return F.aggregate(parts, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(STEP))
+    blocks = F.transform(starts, lambda i: F.slice(lengths, i, F.lit(STEP)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+    return F.flatten(F.zip_with(blocks, sums(totals, F.lit(0)), sums))
+
+
+def gaps(text: Column, pattern: str) -> Column:
+    """What stands before each match, and after the last."""
+    return F.split(text, pattern, -1)
 
 
 def spans(found: Column, text: Column, pattern: str) -> Column:
     """array<struct<start, stop, value>> of the matches `found`, in code points, from the lengths between them."""
-    between = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda x: F.length(x))
-    step = F.zip_with(between, found, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    kind = "array<struct<start:int,stop:int,value:string>>"
-    walked = F.aggregate(
-        step, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("stop"), x["value"].alias("value")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(kind))
+    between = F.transform(F.slice(gaps(text, pattern), 1, F.size(found)), lambda x: F.length(x))
+    both = F.zip_with(between, found, lambda gap, value: gap + F.length(value))
+    made = F.zip_with(F.zip_with(running(both), between, lambda a, b: a + b), found, lambda start, value: F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value")))
+    return F.when(F.size(found) > 0, made).otherwise(F.array().cast(SPAN))
+
+
+def cover(value: Column) -> Column:
+    """As many noncharacters, of the same classes."""
+    digits, small, capitals = "0123456789", "abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    classed = F.translate(value, digits + small + capitals, COVERED[0] * len(digits) + COVERED[1] * len(small) + COVERED[2] * len(capitals))
+    return F.regexp_replace(classed, r"[^\x{FDD0}-\x{FDD3}]", COVERED[3])
+
+
+def covered(text: Column, pattern: str, keep=None) -> Column:
+    """The text with each match of the pattern (that `keep` says) covered."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    apart = gaps(text, pattern)
+    hide = lambda m: cover(m) if keep is None else F.when(keep(m), cover(m)).otherwise(m)
+    # one piece more than matches: the last has none after it
+    joined = F.zip_with(apart, found, lambda gap, m: F.concat(gap, F.coalesce(hide(m), F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(joined, "")).otherwise(text)
 
 
 def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, the text ('' for null) and its spans: array<struct<start, rank, stop>> by start, then kind (rank in KINDS, from 1).
+    """doc_id, the carried columns, the text ('' for null), its base spans and all spans, array<struct<start, rank, stop>> by
+    start, then kind (rank in KINDS, from 1), and `hidden`: the text with noncharacters where a span is.
 
     Base spans are leftmost and don't overlap within a kind; a match whose value is too short is dropped after it is found.
-    A token that overlaps no base span is a span of kind random if its log-likelihood ratio is over the prior, or else its
-    most random segment is, out to the next separator, if that one's is. Nothing is
-    shuffled; null doc_ids and repeated rows are scanned like others.
+    What base spans leave of a token, if still long enough, is a span of kind random if its log-likelihood ratio is over the
+    prior, or else its most random segment is, out to the next separator, if that one's is. Time grows with the text and its
+    spans: no array or text is copied for each. Nothing is shuffled; null doc_ids and repeated rows are scanned like others,
+    texts of any length whole; a carried column must not be named text, base, spans or hidden, nor __ and assign, access,
+    hex, left, tokens, token or random.
     """
     text = F.col("text")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
+    base = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
+    long_value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
+    for name, pattern in base:
         out = out.withColumn(f"__{name}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
+    # covered in turn: the classes let what is left of an overlapping match be found as it was
+    some = F.size("__assign") + F.size("__access") + F.size("__hex") > 0
+    out = out.withColumn("__left", F.when(F.size("__assign") > 0, covered(text, ASSIGN, long_value)).otherwise(text))
+    out = out.withColumn("__left", F.when(some, covered(F.col("__left"), COVERED_ACCESS)).otherwise(F.col("__left")))
+    out = out.withColumn("__left", F.when(some, covered(F.col("__left"), COVERED_HEX)).otherwise(F.col("__left")))
+    out = out.withColumn("__tokens", F.regexp_extract_all(F.col("__left"), F.lit(TOKEN), F.lit(0)))
+    for name, pattern in base:
         out = out.withColumn(f"__{name}", spans(F.col(f"__{name}"), text, pattern))
-    long_enough = F.filter("__assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= LEAST_VALUE)
+    out = out.withColumn("__token", spans(F.col("__tokens"), F.col("__left"), TOKEN))
     as_kind = lambda column, rank: F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop")))
-    out = out.withColumn("base", F.array_sort(F.concat(as_kind(long_enough, 1), as_kind("__access", 2), as_kind("__hex", 3))))
-    clear = F.filter("__token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    out = out.withColumn("__token", clear)
-    out = out.withColumn("__token", F.flatten(F.transform("__token", lambda s: within(s, ratios, prior))))
-    return out.select("doc_id", *carried, "text", "base", F.array_sort(F.concat("base", as_kind("__token", 4))).alias("spans"))
+    out = out.withColumn("base", F.array_sort(F.concat(as_kind(F.filter("__assign", lambda s: long_value(s["value"])), 1), as_kind("__access", 2), as_kind("__hex", 3))))
+    out = out.withColumn("__random", F.transform("__token", lambda s: within(s, ratios, prior)))
+
+    def hide(token: Column, found: Column) -> Column:
+        one = F.element_at(found, 1)
+        at, size, value = one["start"] - token["start"], one["stop"] - one["start"], token["value"]
+        return F.when(F.size(found) == 0, value).otherwise(F.concat(F.substring(value, F.lit(1), at), F.repeat(F.lit(COVERED[3]), size), F.substring(value, at + size + 1, F.length(value))))
+
+    pieces = F.zip_with(gaps(F.col("__left"), TOKEN), F.zip_with("__token", "__random", hide), lambda gap, token: F.concat(gap, F.coalesce(token, F.lit(""))))
+    hidden = F.when(F.size("__token") > 0, F.array_join(pieces, "")).otherwise(F.col("__left"))
+    return out.select("doc_id", *carried, "text", "base", F.array_sort(F.concat("base", as_kind(F.flatten("__random"), 4))).alias("spans"), hidden.alias("hidden"))
 
 
 def written(spans: Column) -> Column:
@@ -172,13 +227,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, as the mark. Spans by start."""
-    done = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["stop"] <= acc["at"], acc).when(s["start"] < acc["at"], F.struct(s["stop"].alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def redacted(hidden: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each span, or run of spans that overlap or touch, as the mark."""
+    return F.regexp_replace(hidden, r"[\x{FDD0}-\x{FDD3}]+", mark)
 
 
 def secret_spans(docs: DataFrame, ratios: Ratios | None = None) -> DataFrame:
