@@ -9,35 +9,42 @@ exchanged, and each permutes again.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from casebench.llm.common import materialize, numbered
 
 SHARDS, SEED = 40, 20_240
-#: Rows of a logical partition, on average; and the most partitions, which bounds the matrix on the driver.
-ROWS_A_PART, MOST_PARTS = 250_000, 20_000
+#: Rows of a logical partition, on average; and groups of partitions, whose lines of the matrix the driver draws.
+ROWS_A_PART, GROUPS = 250_000, 1024
 
 
 def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One hypergeometric draw; beyond the generator's range of 10**9 by a rounded normal law within the same bounds."""
+    """One hypergeometric draw, by inversion where a population is beyond the generator's range of 10**9: the law is the same.
+
+    The chances go from one count to the next by an exact ratio; those 40 deviations off the mode are below any double.
+    """
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
+    least, most = max(0, n - bad), min(n, good)
     total = good + bad
-    mean = n * good / total
-    sd = (mean * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), n - bad, 0), n, good))
-
-
-def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
-    """counts[partition, shard]: lines sum to the partitions' sizes, columns to totals at most one apart."""
-    rng = np.random.default_rng(seed)
-    n = sum(sizes)
-    left = np.full(shards, n // shards, np.int64)
-    left[rng.permutation(shards)[: n % shards]] += 1
-    out = np.zeros((len(sizes), shards), np.int64)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), least), most)
+    wide = 50 + int(40 * (n * (good / total) * (bad / total) * ((total - n) / max(total - 1, 1))) ** 0.5)
+    lo, hi = max(least, mode - wide), min(most, mode + wide)
+    x = np.arange(lo, hi, dtype=np.float64)
+    steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1)
+    chance = np.concatenate([[0.0], np.cumsum(steps)])
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return lo + int(np.searchsorted(chance, rng.random() * chance[-1], side="right"))
+
+
+def matrix(sizes: list[int], shards: list[int], rng: np.random.Generator) -> np.ndarray:
+    """counts[partition, shard] of a uniform shuffle: lines sum to the partitions' sizes, columns to the shards'."""
+    left = np.array(shards, np.int64)
+    out = np.zeros((len(sizes), len(left)), np.int64)
     for p, size in enumerate(sizes):
-        rest, todo = int(left.sum()), size
-        for k in range(shards):
+        rest, todo = int(left.sum()), int(size)
+        for k in range(len(left)):
             rest -= int(left[k])
             out[p, k] = drawn(rng, int(left[k]), rest, todo) if todo else 0
             todo -= int(out[p, k])
@@ -45,6 +52,35 @@ def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def even(n: int, shards: int, rng: np.random.Generator) -> list[int]:
+    """Shard sizes at most one apart; which ones are larger is drawn."""
+    left = np.full(shards, n // shards, np.int64)
+    left[rng.permutation(shards)[: n % shards]] += 1
+    return left.tolist()
+
+
+def lines(counts: DataFrame, shards: int, seed: int, groups: int) -> DataFrame:
+    """(__p, __ends) of counts (__part, n): up to which rank a partition's rows go to each shard.
+
+    Drawn in two steps, which gives the same law: the driver draws how many rows of each group of partitions go to each
+    shard, `groups` lines whatever the table; each group then draws its partitions' lines where it lies.
+    """
+    grouped = counts.withColumn("__group", F.col("__part") % groups)
+    sizes = {r["__group"]: r["n"] for r in grouped.groupBy("__group").agg(F.sum("n").alias("n")).collect()}
+    rng = np.random.default_rng(seed)
+    top = matrix([sizes.get(g, 0) for g in range(groups)], even(sum(sizes.values()), shards, rng), rng)
+    table = counts.sparkSession.createDataFrame([(g, line) for g, line in enumerate(top.tolist())], "__g int, __line array<long>")
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__part")
+        own = np.random.default_rng([seed, int(pdf["__group"].iloc[0]) + 1])
+        ends = np.cumsum(matrix(pdf["n"].tolist(), list(pdf["__line"].iloc[0]), own), axis=1)
+        return pd.DataFrame({"__p": pdf["__part"].to_numpy(), "__ends": ends.tolist()})
+
+    joined = grouped.join(F.broadcast(table), F.col("__group") == F.col("__g")).select("__group", "__part", "n", "__line")
+    return joined.groupBy("__group").applyInPandas(of_group, "__p long, __ends array<long>")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16) and text_crc32; a null text counts as empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -55,16 +91,17 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, key: tuple
     """rows with shard and slot (gapless from 0 in each shard); rows is read several times, so it should be a written table.
 
     Partitions are logical: a hash of the key, not of where a row lies, so reruns and lost executors change nothing. Rows
-    with one key are alike and may swap places. Null keys are hashed like others. An empty table gives an empty one.
+    with one key are alike and may swap places; a key with a third of all rows makes its partition as large. Null keys are
+    hashed like others. An empty table gives an empty one.
     """
     n = rows.count()
-    parts = max(16, min(MOST_PARTS, n // ROWS_A_PART))
-    rows = rows.withColumns({"__part": F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int"), "__r1": F.xxhash64(F.lit(seed + 1), *key), "__r2": F.xxhash64(F.lit(seed + 2), *key)})
-    sizes = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
-    ends = np.cumsum(matrix([sizes.get(p, 0) for p in range(parts)], shards, seed), axis=1)
-    lines = rows.sparkSession.createDataFrame([(p, e) for p, e in enumerate(ends.tolist())], "__p int, __ends array<long>")
+    parts = max(16, n // ROWS_A_PART)
+    rows = rows.withColumns({"__part": F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)), "__r1": F.xxhash64(F.lit(seed + 1), *key), "__r2": F.xxhash64(F.lit(seed + 2), *key)})
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    # written: a plain shuffle joins it where it is too large to be sent
+    ends = materialize(lines(counts, shards, seed, min(parts, GROUPS)), "lines")
     ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy("__part").orderBy("__r1", *key)) - 1)
-    dealt = ranked.join(F.broadcast(lines), F.col("__part") == F.col("__p")).withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
+    dealt = ranked.join(ends, F.col("__part") == F.col("__p")).withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
     sent = materialize(dealt.drop("__part", "__p", "__ends", "__rank", "__r1"), "sharded")
     return numbered(sent, ["shard"], ["__r2", *key], "slot", shards=max(8, parts // shards), key="__r2").drop("__r2")
 
