@@ -45,7 +45,8 @@ def grams(data: np.ndarray, n: int = NGRAM) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filters:
-    """The bit-sliced table, its languages (bit i is language i), their false-positive rates, and the commonest language."""
+    """The bit-sliced table [slot, word], its languages (language i is bit i % wide of word i // wide), their false-positive
+    rates, and the commonest language."""
 
     table: np.ndarray
     languages: tuple[str, ...]
@@ -55,10 +56,10 @@ class Filters:
     hashes: int = HASHES
 
     def slots(self, g: np.ndarray, k: int) -> np.ndarray:
-        return ((g * np.uint64(_MULTIPLIERS[k])) >> np.uint64(64 - (len(self.table).bit_length() - 1))).astype(np.int64)
+        return ((g * np.uint64(_MULTIPLIERS[k])) >> np.uint64(64 - (self.table.shape[0].bit_length() - 1))).astype(np.int64)
 
     def containing(self, g: np.ndarray) -> np.ndarray:
-        """For each n-gram the mask of the languages that contain it."""
+        """[n-gram, word]: for each n-gram the mask of the languages that contain it."""
         found = self.table[self.slots(g, 0)]
         for k in range(1, self.hashes):
             found = found & self.table[self.slots(g, k)]
@@ -71,33 +72,35 @@ def fit(rows: list[tuple[str, str]], n: int = NGRAM, table_bits: int = TABLE_BIT
     sizes: how many texts each language has in the corpus; the commonest answers for texts without an n-gram.
     """
     languages = tuple(sorted({lang for lang, _ in rows}))
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask has room for 64")
-    kind = next(t for t, w in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= w)
-    empty = Filters(np.zeros(1 << table_bits, kind), languages, (0.0,) * len(languages), 0, n, hashes)
+    kind, wide = next((t, w) for t, w in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= w or w == 64)
+    empty = Filters(np.zeros((1 << table_bits, max(1, -(-len(languages) // wide))), kind), languages, (0.0,) * len(languages), 0, n, hashes)
     sizes = sizes or {x: sum(x == y for y, _ in rows) for x in languages}
     for i, lang in enumerate(languages):
         own = [letters((t or "").encode()) for x, t in rows if x == lang]
         found, counts = np.unique(np.concatenate([grams(np.frombuffer(x, np.uint8), n) for x in own]), return_counts=True)
         kept = found[counts >= min(min_count, 1 + len(own) // 10)]
         for k in range(hashes):
-            np.bitwise_or.at(empty.table, empty.slots(kept, k), kind(1 << i))
-    fill = [float(np.mean((empty.table >> kind(i)) & kind(1))) for i in range(len(languages))]
+            empty.table[np.unique(empty.slots(kept, k)), i // wide] |= kind(1 << i % wide)
+    fill = [float(np.mean((empty.table[:, i // wide] >> kind(i % wide)) & kind(1))) for i in range(len(languages))]
     return Filters(empty.table, languages, tuple(f**hashes for f in fill), max(range(len(languages)), key=lambda i: sizes[languages[i]], default=0), n, hashes)
 
 
 def identify(rows: list[bytes], filters: Filters) -> tuple[list[str], list[float]]:
-    """The language and the corrected share of n-grams of each text, in one pass over their joined letters."""
+    """The language and the corrected share of n-grams of each text, in one pass over their joined letters.
+
+    Of languages with equal shares the first by name is taken.
+    """
     cleaned = [letters(x) for x in rows]
     lengths = np.array([len(x) for x in cleaned], np.int64)
     ends = np.cumsum(lengths)
-    hits = filters.containing(grams(np.frombuffer(b"".join(cleaned) + b" " * (filters.n - 1), np.uint8), filters.n)) if len(rows) else np.zeros(0, np.uint8)
+    hits = filters.containing(grams(np.frombuffer(b"".join(cleaned) + b" " * (filters.n - 1), np.uint8), filters.n)) if len(rows) else np.zeros((0, 1), np.uint8)
+    wide = 8 * hits.dtype.itemsize
     counts = np.maximum(lengths - filters.n + 1, 0)
     starts, stops = ends - lengths, ends - lengths + counts
     shares = np.zeros((len(rows), max(len(filters.languages), 1)))
     for i, wrong in enumerate(filters.errors):
         total = np.zeros(len(hits) + 1, np.int64)
-        np.cumsum((hits >> hits.dtype.type(i)) & hits.dtype.type(1), dtype=np.int64, out=total[1:])
+        np.cumsum((hits[:, i // wide] >> hits.dtype.type(i % wide)) & hits.dtype.type(1), dtype=np.int64, out=total[1:])
         got = total[stops] - total[starts]
         shares[:, i] = (got - wrong * counts) / np.maximum((1 - wrong) * counts, 1e-9)
     shares = np.clip(shares, 0, 1)
@@ -132,8 +135,9 @@ def identify_languages(docs: DataFrame, filters: Filters, *carried: str) -> Data
     """doc_id (and the carried columns), lang_pred and score of every text, from its whole text alone.
 
     `und` with score 0: a null text, or one without a letter, or nothing learned. A text too short for an n-gram gets the
-    commonest learned language with score 0. Null doc_ids and repeated rows are carried. One pass, no shuffle; the table
-    that goes to the executors has a fixed size.
+    commonest learned language with score 0; of equal shares the first language by name wins. Null doc_ids and repeated rows
+    are carried, texts of any length read whole; no column but doc_id, text and the carried ones is read. One pass, no
+    shuffle; the table that goes to the executors has a fixed size for each 64 languages.
     """
     table = docs.sparkSession.sparkContext.broadcast(filters)
     names = ["doc_id", *carried]

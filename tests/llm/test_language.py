@@ -36,6 +36,51 @@ def test_filters_hold_every_learned_ngram():
 
     for i, (_, text) in enumerate(rows_):
         g = language.grams(np.frombuffer(language.letters(text.encode()), np.uint8))
-        assert ((f.containing(g) >> i) & 1).all()
+        assert ((f.containing(g)[:, 0] >> i) & 1).all()
     lang, score = language.identify([b"brown fox over the dog", "faulen Hund über".encode(), b"12 !!"], f)
     assert lang == ["aa", "bb", "und"] and score[2] == 0
+
+
+def test_more_languages_than_a_word_has_bits():
+    import random
+
+    rng = random.Random(1)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)] for k in range(130)}
+    f = language.fit([(lang, " ".join(w * 3)) for lang, w in words.items()], min_count=1)
+    assert len(f.languages) == 130 and f.table.shape[1] == 3
+    got, score = language.identify([" ".join(w[:12]).encode() for w in words.values()], f)
+    assert got == list(words) and min(score) > 0.9
+
+
+def test_predictions_by_brute_force(spark, sf):
+    """The query against sets of n-grams, and a Bloom filter of one Python number a language."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    train = [(r.lang, r.text) for r in docs.filter(~language.held_out()).filter("lang is not null and text is not null").collect()]
+    langs = sorted({x for x, _ in train})
+    size, mult = 1 << language.TABLE_BITS, language._MULTIPLIERS[: language.HASHES]
+    slot = lambda g, m: int.from_bytes(g, "big") * m % 2**64 >> 64 - language.TABLE_BITS
+    cut = lambda b: [b[i : i + language.NGRAM] for i in range(len(b) - language.NGRAM + 1)]
+    slots, kept = {}, {}
+    for lang in langs:
+        own = [language.letters(t.encode()) for x, t in train if x == lang]
+        counts = {}
+        for b in own:
+            for g in cut(b):
+                counts[g] = counts.get(g, 0) + 1
+        kept[lang] = {g for g, c in counts.items() if c >= min(language.MIN_COUNT, 1 + len(own) // 10)}
+        slots[lang] = {slot(g, m) for g in kept[lang] for m in mult}
+    got = {r.doc_id: r for r in language.op3_language_id(spark, sf).collect()}
+    commonest = max(langs, key=lambda x: sum(y == x for y, _ in train))
+    for r in docs.collect():
+        grams = cut(language.letters((r.text or "").encode()))
+        share = {}
+        for lang in langs:
+            wrong = (len(slots[lang]) / size) ** len(mult)
+            hit = sum(all(slot(g, m) in slots[lang] for m in mult) for g in grams)
+            share[lang] = min(1, max(0, (hit - wrong * len(grams)) / ((1 - wrong) * len(grams)))) if grams else 0
+        want = max(langs, key=lambda x: share[x])
+        if not language.letters((r.text or "").encode()):
+            want, share[want] = "und", 0
+        elif not share[want]:
+            want = commonest
+        assert got[r.doc_id].lang_pred == want and abs(got[r.doc_id].score - share.get(want, 0)) < 1e-9
