@@ -19,6 +19,8 @@ from casebench.llm.language import letters
 
 #: Most labelled texts that the model is fitted on; hashed features; word beginnings, in bytes (8 also stands for the word).
 SAMPLE_ROWS, FEATURE_BITS, BEGINNINGS = 6000, 18, (4, 5, 6, 7, 8)
+#: In a run of letters of more bytes (a script without spaces) a word may begin at any character.
+LONG_RUN = 24
 STEPS, L1 = 200, 1e-4
 #: Features that fewer sampled texts have aren't used; of the others the so many that go most with the grade are.
 MIN_TEXTS, MOST_FEATURES = 3, 4096
@@ -30,6 +32,12 @@ def features(rows: list[bytes], bits: int = FEATURE_BITS, beginnings: tuple[int,
     lengths = np.array([len(x) for x in cleaned], np.int64)
     data = np.frombuffer(b"".join(cleaned) + b" " * 9, np.uint8)
     start = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
+    size = np.flatnonzero((data[:-1] != 32) & (data[1:] == 32)) + 1 - start
+    if (size > LONG_RUN).any():
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[start[size > LONG_RUN]], edge[(start + size)[size > LONG_RUN]] = 1, -1
+        within = np.flatnonzero((np.cumsum(edge[:-1], dtype=np.int8) > 0) & (data & 0xC0 != 0x80))
+        start = np.union1d(start, within)
     row = np.searchsorted(np.cumsum(lengths), start, side="right")
     head = np.zeros(len(start), np.uint64)
     open_word = np.ones(len(start), bool)
@@ -150,8 +158,8 @@ def scored(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.Rec
 def grade_documents(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, severity (the mean grade), grade (the likeliest) and toxic (over the lowest grade with even odds or more).
 
-    A null or empty text has no features and gets what the cuts alone say. Null doc_ids and repeated rows are graded each.
-    With fewer than two grades among the labels every text has the one there is (0 without labels). One pass, no shuffle.
+    A null or empty text has no features and gets what the cuts alone say; of equally likely grades the lowest is taken. Null
+    doc_ids and repeated rows are graded each, texts of any length whole; columns but doc_id and text are ignored. With fewer than two grades among the labels every text has the one there is (0 without labels). One pass, no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return texts(docs).mapInArrow(lambda it: scored(it, sent.value), "doc_id long, severity double, grade int, toxic boolean")
