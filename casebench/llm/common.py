@@ -17,21 +17,28 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset a local session (tests) gets a
+    temporary one; on a cluster, whose machines don't share such a folder, that is an error.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="casebench-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: the work is done once and a lost executor costs no recomputation."""
+    """df written to the shared folder and read back: the work is done once and a lost executor costs no recomputation.
+
+    All of an application's tables are below one folder, to be deleted when it has ended; release() deletes one sooner.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/casebench-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/casebench-{spark.sparkContext.applicationId}/casebench-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()  # lets the context cleaner delete the shuffle files of what has been written
+    spark._jvm.System.gc()  # the context cleaner deletes shuffle files only of plans that were collected: disk would fill up
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -168,7 +168,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     base_failed: fewer than min_words words, or more than max_repeat of 100 words in repeated 3-word windows. kept: neither
     base_failed nor rejected by a rule. A null text has no words and fails; a null doc_id is carried; repeated rows are
     judged each; an empty table gives an empty one. `sample_rows` bounds the sample that orders the cascade: the verdict
-    doesn't depend on it, only rejected_by does. One pass over the texts, no shuffle but the sample's top rows.
+    doesn't depend on it, only rejected_by does: costs are seconds, so of two rules that reject a text the one that is named may
+    change from run to run. Columns but doc_id and text are ignored. One pass over the texts, no shuffle but the sample's top rows.
     """
     docs = texts(docs)
     # one text of so many that the first twentieth of the partitions fills the sample; the count comes from the footers
