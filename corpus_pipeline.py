@@ -12,8 +12,13 @@ LEAST_SHARE, LONG_ENOUGH = 0.2, 40
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or long ones in no learned language, go; a null lang is filled in."""
+    """Language ID: documents without a letter, or long ones in no learned language, go; a null lang is filled in.
+
+    Where no document has a language to learn from, only those without a letter go.
+    """
     filters = language.learned(docs.select("doc_id", "text", "lang"))
+    if not filters.languages:
+        return docs.filter(F.rlike(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\p{L}")))
     carried = [c for c in docs.columns if c != "doc_id"]
     found = language.identify_languages(docs.select("doc_id", *carried), filters, *carried)
     bad = (F.col("lang_pred") == language.UND) | ((F.col("score") < LEAST_SHARE) & (F.length("text") >= LONG_ENOUGH))
@@ -31,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ratios = secrets.fit(secrets.samples(spark))
     found = secrets.scan(given, ratios, carried=("__row",))
     fields = {c: F.col(f"__row.{c}") for c in docs.columns}
-    clean = secrets.redacted(F.col("text"), F.col("spans"))
+    clean = secrets.redacted(F.col("hidden"))
     fields["text"] = F.when(F.col("__row.text").isNotNull(), clean).alias("text")
     if "n_chars" in fields:
         fields["n_chars"] = F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col("__row.n_chars")).alias("n_chars")
@@ -41,7 +46,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a document stands as often as the mix takes it, 0 to 2 times.
 
-    Rows that share doc_id and size get the largest number of copies among them.
+    Rows that share doc_id and size get the largest number of copies among them. Columns must not be named __words, __id,
+    __size, __copies or __copy.
     """
     sized = materialize(with_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "doc_id", "source"), "sources")
     taken = mixing.mixed(sized).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
