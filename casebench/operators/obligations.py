@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from casebench.functions import scalars
@@ -11,8 +10,6 @@ from casebench.functions.text import glob_column, template
 
 MATCH_FIELDS = ("action", "target", "verbatim_quote", "distilled_context")
 MAX_CANDIDATES = 8
-#: Catalogue rows a cycle; a leaf table is sent to every task only up to this size.
-SMALL_CATALOG = 10_000
 
 LEAF = ("obligation_id string, leaf int, branch string, actor_roles array<string>, any_actor boolean, any_terms array<string>, match_fields array<string>, "
         "after_trigger boolean, before_or_at_trigger boolean, bind_to_foreach boolean, min_count int")
@@ -53,10 +50,8 @@ def catalog(spark, entries: list[tuple[dict, list[dict]]]) -> tuple[DataFrame, D
 
 
 def prepared(facts: DataFrame) -> DataFrame:
-    """fact_id, doc_id, role, day and the folded fields, kept in memory and on disk: an evaluation reads them a dozen times, and the
-    Python function is the dearest part of it. unpersist() it when a cycle has ended.
-    """
-    return facts.select("fact_id", F.col("source_doc_id").alias("doc_id"), F.col("actor_role").alias("role"), scalars.iso_date(F.col("date")).alias("day"), *[fold(F.col(f)).alias(f) for f in MATCH_FIELDS]).persist(StorageLevel.MEMORY_AND_DISK)
+    """fact_id, doc_id, role, day and the folded fields. An evaluation reads them three times; write them first where there are many."""
+    return facts.select("fact_id", F.col("source_doc_id").alias("doc_id"), F.col("actor_role").alias("role"), scalars.iso_date(F.col("date")).alias("day"), *[fold(F.col(f)).alias(f) for f in MATCH_FIELDS])
 
 
 def _has_term(terms: Column, fields: Column) -> Column:
@@ -65,83 +60,100 @@ def _has_term(terms: Column, fields: Column) -> Column:
     return (F.size(terms) == 0) | F.exists(terms, lambda t: F.contains(blob, t))
 
 
-def _by_role(catalog_rows: DataFrame, facts: DataFrame, roles: str) -> DataFrame:
-    """Catalogue rows with the facts of their roles: an equi-join on role; rows with no roles meet all facts, the tiny side sent to the tasks."""
-    named = catalog_rows.filter(F.size(roles) > 0).withColumn("__role", F.explode(F.array_distinct(F.col(roles)))).join(facts, F.col("__role") == F.col("role")).drop("__role")
-    free = catalog_rows.filter(F.size(roles) == 0)
-    free = F.broadcast(free) if free.count() <= SMALL_CATALOG else free
-    return named.unionByName(facts.crossJoin(free), allowMissingColumns=True)
+#: The role that stands for any, where a catalogue row names none; no role is written so.
+ANY = "*"
+
+
+def _roles_of(roles: Column) -> Column:
+    return F.explode(F.when(F.size(roles) > 0, F.array_distinct(roles)).otherwise(F.array(F.lit(ANY))))
+
+
+def _by_any(facts: DataFrame) -> DataFrame:
+    """Each fact under its role and under ANY, so that one equi-join serves both; the optimiser sends a small catalogue to the tasks."""
+    return facts.withColumn("__of", F.explode(F.array(F.col("role"), F.lit(ANY))))
 
 
 def triggers(obligations: DataFrame, facts: DataFrame) -> DataFrame:
     """Of each obligation with a trigger that fires: trigger_id, trigger_day, trigger_doc, trigger_ambiguous (more than one date).
 
-    The dated fact chosen by trigger_select, smallest id on ties; without dates the smallest id, with no day.
+    The dated fact chosen by trigger_select, smallest id on ties; without dates the smallest id, with no day. One join, one
+    aggregation.
     """
-    asked = obligations.filter("trigger_terms IS NOT NULL").select("obligation_id", "trigger_roles", "trigger_terms", "trigger_fields", "trigger_select")
-    met = _by_role(asked, facts, "trigger_roles").filter(_has_term(F.col("trigger_terms"), F.col("trigger_fields")))
-    one = F.struct("fact_id", "day", "doc_id")
-    dated = F.col("day").isNotNull()
-    got = met.groupBy("obligation_id").agg(
-        F.min(F.when(dated, F.struct("day", "fact_id", "doc_id"))).alias("first"),
-        F.max(F.when(dated, F.col("day"))).alias("last_day"), F.min_by(one, "fact_id").alias("any"), F.first("trigger_select").alias("sel"), F.count_distinct("day").alias("days"))
-    last = met.filter(dated).join(got.select("obligation_id", "last_day"), "obligation_id").filter(F.col("day") == F.col("last_day")).groupBy("obligation_id").agg(F.min(F.struct("day", "fact_id", "doc_id")).alias("last"))
-    pick = F.when(F.col("sel") == "latest", F.col("last")).otherwise(F.col("first"))
-    out = got.join(last, "obligation_id", "left").withColumn("t", pick)
-    return out.select("obligation_id", F.coalesce("t.fact_id", "any.fact_id").alias("trigger_id"), F.col("t.day").alias("trigger_day"), F.coalesce("t.doc_id", "any.doc_id").alias("trigger_doc"), (F.col("days") > 1).alias("trigger_ambiguous"))
-
-
-def instances(obligations: DataFrame, person_roles: DataFrame) -> DataFrame:
+    asked = obligations.filter("trigger_terms IS NOT NULL").select("obligation_id", _roles_of(F.col("trigger_roles")).alias("__of"), "trigger_terms", "trigger_fields", "trigger_select")
+    met = _by_any(facts).join(asked, "__of").filter(_has_term(F.col("trigger_terms"), F.col("trigger_fields")))
+    # a later day comes first for 'latest'; undated facts come last
+    rank = F.when(F.col("trigger_select") == "latest", -F.unix_date("day")).otherwise(F.unix_date("day"))
+    first = F.min(F.struct(F.col("day").isNull().alias("undated"), rank.alias("rank"), "fact_id", "day", "doc_id"))
+    got = met.groupBy("obligation_id").agg(first.alias("t"), (F.min("day") != F.max("day")).alias("several"))
+    return got.select("obligation_id", F.col("t.fact_id").alias("trigger_id"), F.col("t.day").alias("trigger_day"), F.col("t.doc_id").alias("trigger_doc"), F.coalesce("several", F.lit(False)).alias("trigger_ambiguous"))
+
+
+def instances(obligations: DataFrame, person_roles: DataFrame | None) -> DataFrame:
     """A row an obligation, or with a foreach a row for each person (person_id, role) of its roles; foreach_role is the person's smallest."""
     plain = obligations.filter("foreach_roles IS NULL").withColumns({"foreach_key": F.lit(None).cast("string"), "foreach_role": F.lit(None).cast("string")})
+    if person_roles is None:
+        return plain
     each = obligations.filter("foreach_roles IS NOT NULL").withColumn("__r", F.explode("foreach_roles")).join(person_roles.select("person_id", F.col("role").alias("__pr")), F.col("__r") == F.col("__pr"))
-    keyed = each.withColumn("__n", F.row_number().over(W.partitionBy("obligation_id", "person_id").orderBy("__pr"))).filter("__n = 1")
-    return plain.unionByName(keyed.select(*obligations.columns, F.col("person_id").alias("foreach_key"), F.col("__pr").alias("foreach_role")))
+    keyed = each.groupBy(*[c for c in obligations.columns if c in KEPT], F.col("person_id").alias("foreach_key")).agg(F.min("__pr").alias("foreach_role"))
+    return plain.select(*keyed.columns).unionByName(keyed)
+
+
+#: What an instance needs of its obligation before its facts are met.
+KEPT = ("obligation_id", "bearer_roles", "trigger_terms", "doc_id_patterns", "require_gate_status")
 
 
 def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, coverage: DataFrame | None = None, person_facts: DataFrame | None = None, person_roles: DataFrame | None = None, ambiguous: DataFrame | None = None) -> DataFrame:
     """One row an obligation and foreach instance: status, matched, candidates, breach_days, scope and coverage.
 
     facts: prepared(); coverage (doc_id, status); person_facts (person_id, fact_id); ambiguous (fact_id): left out where a
-    leaf goes by role. An undated fact satisfies any before/after condition but makes no deadline late.
+    leaf goes by role. An undated fact satisfies any before/after condition but makes no deadline late. Facts meet the leaves
+    in one join by role and are summed up by instance; nothing is kept in memory.
     """
-    spark = facts.sparkSession
-    person_roles = person_roles if person_roles is not None else spark.createDataFrame([], "person_id string, role string")
-    person_facts = person_facts if person_facts is not None else spark.createDataFrame([], "person_id string, fact_id string")
-    unsure = (ambiguous if ambiguous is not None else spark.createDataFrame([], "fact_id string")).select(F.col("fact_id"), F.lit(True).alias("unsure")).distinct()
-    facts = facts.join(unsure, "fact_id", "left")
-    fired = triggers(obligations, facts.drop("unsure"))
-    each = instances(obligations, person_roles).join(fired, "obligation_id", "left").withColumn("fires", F.col("trigger_terms").isNull() | F.col("trigger_id").isNotNull())
-    each = each.persist(StorageLevel.MEMORY_AND_DISK)  # a row an obligation and person; six branches of the plan begin with it
-    key = ["obligation_id", "foreach_key"]
+    if ambiguous is not None:
+        facts = facts.join(ambiguous.select("fact_id", F.lit(True).alias("unsure")).distinct(), "fact_id", "left").withColumn("unsure", F.coalesce("unsure", F.lit(False)))
+    else:
+        facts = facts.withColumn("unsure", F.lit(False))
+    fired = triggers(obligations, facts)
+    instance = F.concat_ws("|", "obligation_id", F.concat(F.lit("="), "foreach_key")).alias("__i")
+    each = instances(obligations, person_roles).select(*KEPT, "foreach_key", "foreach_role", instance).join(fired, "obligation_id", "left")
+    each = each.withColumn("fires", F.col("trigger_terms").isNull() | F.col("trigger_id").isNotNull())
 
-    n_each = each.count()
     # an evidence leaf goes by its own roles, else by the bearers', else (any_actor) by none
     roles = F.when(F.size("actor_roles") > 0, F.col("actor_roles")).when(~F.col("any_actor"), F.col("bearer_roles")).otherwise(F.array().cast("array<string>"))
-    asked = leaves.join(each.select(*key, "bearer_roles", "trigger_id", "trigger_day", "fires"), "obligation_id").filter("fires").withColumn("roles", roles)
-    near = _by_role(asked, facts, "roles").filter(~((F.size("roles") > 0) & F.coalesce("unsure", F.lit(False))))
-    bound = near.join(person_facts.select(F.col("person_id").alias("__p"), F.col("fact_id").alias("__f")).distinct(), (F.col("foreach_key") == F.col("__p")) & (F.col("fact_id") == F.col("__f")), "left")
-    bound = bound.filter(~F.col("bind_to_foreach") | F.col("__f").isNotNull())
+    asked = leaves.join(each, "obligation_id").withColumn("roles", roles)
+    asked = asked.select("*", _roles_of(F.col("roles")).alias("__of"))
+    near = _by_any(facts).withColumnRenamed("__of", "__fact_of")
+    if person_facts is not None:
+        bound = person_facts.select(F.col("person_id").alias("__p"), F.col("fact_id").alias("__f")).groupBy("__f").agg(F.collect_set("__p").alias("__persons"))
+        near = near.join(bound, F.col("fact_id") == F.col("__f"), "left").drop("__f")
+    else:
+        near = near.withColumn("__persons", F.lit(None).cast("array<string>"))
+    own = ~F.col("bind_to_foreach") | F.coalesce(F.array_contains("__persons", F.col("foreach_key")), F.lit(False))
     in_time = (~F.col("after_trigger") | scalars.after_or_unknown(F.col("day"), F.col("trigger_day"))) & (~F.col("before_or_at_trigger") | scalars.before_or_unknown(F.col("day"), F.col("trigger_day")))
-    bound = bound.filter(in_time).persist(StorageLevel.MEMORY_AND_DISK)
+    met = (F.col("__of") == F.col("__fact_of")) & F.col("fires") & ((F.col("__of") == ANY) | ~F.col("unsure")) & own & in_time
     term_hits = F.size(F.filter("any_terms", lambda t: F.contains(F.concat_ws(" ", *MATCH_FIELDS), t)))
-    hit = _has_term(F.col("any_terms"), F.col("match_fields"))
-    per_leaf = bound.groupBy(*key, "leaf").agg(F.count_if(hit).alias("hits"), F.collect_set(F.when(hit, F.col("fact_id"))).alias("ids"), F.min(F.when(hit, F.col("day"))).alias("first_day"))
-    judged = _null_safe(asked.select(*key, "leaf", "branch", "min_count"), per_leaf, [*key, "leaf"])
-    holds = F.coalesce("hits", F.lit(0)) >= F.col("min_count")
-    counts = F.col("branch") != "none_of"
-    verdict = judged.groupBy(*key).agg(
-        F.bool_and(F.when(F.col("branch") == "all_of", holds)).alias("all_ok"), F.bool_or(F.when(F.col("branch") == "any_of", holds)).alias("any_ok"), F.bool_or(F.when(F.col("branch") == "none_of", holds)).alias("none_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(counts, F.coalesce("ids", F.array().cast("array<string>"))))))).alias("matched"), F.min(F.when(counts, F.col("first_day"))).alias("evidence_day"))
-    holding = F.coalesce("all_ok", F.lit(True)) & F.coalesce("any_ok", F.lit(True)) & ~F.coalesce("none_hit", F.lit(False))
-    cand = bound.select(*key, "fact_id", term_hits.alias("th")).groupBy(*key, "fact_id").agg(F.max("th").alias("th"))
-    top = cand.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(F.col("th").desc(), "fact_id"))).filter(F.col("__n") <= MAX_CANDIDATES).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "fact_id"))), lambda x: x["fact_id"]).alias("candidates"))
-    out = _null_safe(_null_safe(_null_safe(each, verdict.withColumn("holds", holding), key), top, key), scoped(each, facts, coverage, n_each), key)
+    hit = F.col("fact_id").isNotNull() & _has_term(F.col("any_terms"), F.col("match_fields"))
+    head = ["obligation_id", "foreach_key", "foreach_role", "trigger_id", "trigger_day", "trigger_ambiguous", "fires"]
+    # a row an instance and fact (or one without a fact), with the leaves that it hits
+    per_fact = asked.join(near, met, "left").groupBy("__i", "fact_id").agg(F.any_value(F.struct(*head)).alias("e"), F.max(term_hits).alias("th"), F.collect_set(F.when(hit, F.col("leaf"))).alias("hits"), F.any_value("day").alias("day"))
+    ranked = per_fact.withColumn("__n", F.row_number().over(W.partitionBy("__i").orderBy(F.col("fact_id").isNull(), F.col("th").desc(), "fact_id")))
+    got = ranked.groupBy("__i").agg(
+        F.any_value("e").alias("e"), F.array_sort(F.collect_list(F.when(F.size("hits") > 0, F.struct("fact_id", "day", "hits")))).alias("hits"),
+        F.transform(F.array_sort(F.collect_list(F.when((F.col("__n") <= MAX_CANDIDATES) & F.col("fact_id").isNotNull(), F.struct("__n", "fact_id")))), lambda x: x["fact_id"]).alias("candidates"))
+    rules = leaves.groupBy("obligation_id").agg(F.collect_list(F.struct("leaf", "branch", "min_count")).alias("leaves"))
+    out = got.select("__i", "e.*", "hits", "candidates").join(rules, "obligation_id").join(obligations, "obligation_id")
+    out = out.join(scoped(each, facts, coverage, obligations.filter(F.size("doc_id_patterns") > 0).isEmpty()), "__i", "left")
+    holds = lambda x: F.size(F.filter("hits", lambda h: F.array_contains(h["hits"], x["leaf"]))) >= x["min_count"]
+    of = lambda branch: F.filter("leaves", lambda x: x["branch"] == branch)
+    all_ok, any_ok, none_hit = F.forall(of("all_of"), holds), (F.size(of("any_of")) == 0) | F.exists(of("any_of"), holds), F.exists(of("none_of"), holds)
+    counted = F.transform(F.filter("leaves", lambda x: x["branch"] != "none_of"), lambda x: x["leaf"])
+    used = F.filter("hits", lambda h: F.arrays_overlap(h["hits"], counted))
+    out = out.withColumns({"holds": all_ok & any_ok & ~none_hit, "used": used}).withColumns({"matched": F.transform("used", lambda h: h["fact_id"]), "evidence_day": F.array_min(F.transform("used", lambda h: h["day"]))})
     due = F.date_add("trigger_day", F.col("deadline_days"))
     late = F.col("deadline_days").isNotNull() & F.col("trigger_day").isNotNull() & ~F.coalesce("trigger_ambiguous", F.lit(False)) & (F.col("evidence_day") > due)
     status = F.when(~F.col("fires"), "not_triggered").when(F.col("holds"), F.when(F.coalesce(late, F.lit(False)), "window_breach").otherwise("satisfied")).when(F.coalesce("verified_docs", F.lit(0)) > 0, "gap").otherwise("unverifiable")
     none = F.array().cast("array<string>")
-    return out.select(*key, "foreach_role", "rule_version", "title", "severity", "externalisable", "claim_template", "absence_tier_cap", "presence_tier_cap", status.alias("status"), F.coalesce("matched", none).alias("matched"), F.coalesce("candidates", none).alias("candidates"),
+    return out.select("obligation_id", "foreach_key", "foreach_role", "rule_version", "title", "severity", "externalisable", "claim_template", "absence_tier_cap", "presence_tier_cap", status.alias("status"), "matched", "candidates",
                       "trigger_id", "trigger_day", F.coalesce("trigger_ambiguous", F.lit(False)).alias("trigger_ambiguous"), F.when(status == "window_breach", F.datediff("evidence_day", due)).alias("breach_days"), F.coalesce("scope_docs", none).alias("scope_docs"), F.coalesce("verified_docs", F.lit(0)).cast("int").alias("verified_docs"), F.lit(coverage is not None).alias("coverage_known"))
 
 
@@ -154,22 +166,24 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, on, "left").drop(*[f"__{k}" for k in keys])
 
 
-def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None, n_each: int) -> DataFrame:
-    """(obligation_id, foreach_key, scope_docs, verified_docs): documents where the evidence would be, and those that passed the gate.
+def scoped(each: DataFrame, facts: DataFrame, coverage: DataFrame | None, no_patterns: bool) -> DataFrame:
+    """(__i, scope_docs, verified_docs) of instances: documents where the evidence would be, and those that passed the gate.
 
-    By glob patterns over all documents if there are any; else those of the bearers' facts and of the trigger.
+    By glob patterns over all documents if an obligation has any; else those of the bearers' facts and of the trigger: both are
+    looked up in one table of documents by role and by their own name.
     """
-    spark = facts.sparkSession
-    known = coverage if coverage is not None else spark.createDataFrame([], "doc_id string, status string")
-    docs = facts.select("doc_id").unionByName(known.select("doc_id")).distinct()
-    globs = each.filter(F.size("doc_id_patterns") > 0).select("obligation_id", "foreach_key", F.explode("doc_id_patterns").alias("glob"))
-    globs = F.broadcast(globs) if n_each <= SMALL_CATALOG else globs
-    by_glob = docs.join(globs, F.rlike(F.col("doc_id"), glob_column(F.col("glob")))).select("obligation_id", "foreach_key", "doc_id")
-    rest = each.filter(F.size("doc_id_patterns") == 0)
-    by_role = rest.select("obligation_id", "foreach_key", F.explode("bearer_roles").alias("role")).join(facts.select("role", "doc_id").distinct(), "role").select("obligation_id", "foreach_key", "doc_id")
-    by_trigger = rest.filter("trigger_doc IS NOT NULL").select("obligation_id", "foreach_key", F.col("trigger_doc").alias("doc_id"))
-    scope = by_glob.unionByName(by_role).unionByName(by_trigger).distinct().join(each.select("obligation_id", "require_gate_status").distinct(), "obligation_id")
-    return scope.join(known.select("doc_id", "status"), "doc_id", "left").groupBy("obligation_id", "foreach_key").agg(F.array_sort(F.collect_set("doc_id")).alias("scope_docs"), F.count_if(F.col("status") == F.col("require_gate_status")).alias("verified_docs"))
+    by = facts.select(F.explode(F.array(F.struct(F.lit("role").alias("kind"), F.col("role").alias("of"), "doc_id"), F.struct(F.lit("doc").alias("kind"), F.col("doc_id").alias("of"), "doc_id"))).alias("d")).select("d.*").distinct()
+    wants = F.concat(F.transform("bearer_roles", lambda r: F.struct(F.lit("role").alias("kind"), r.alias("of"))), F.array(F.struct(F.lit("doc").alias("kind"), F.col("trigger_doc").alias("of"))))
+    scope = each.filter(F.size("doc_id_patterns") == 0).select("__i", "require_gate_status", F.explode(wants).alias("w")).select("__i", "require_gate_status", "w.*").join(by, ["kind", "of"]).select("__i", "require_gate_status", "doc_id")
+    if not no_patterns:
+        docs = facts.select("doc_id") if coverage is None else facts.select("doc_id").unionByName(coverage.select("doc_id"))
+        globs = each.filter(F.size("doc_id_patterns") > 0).select("__i", "require_gate_status", F.explode("doc_id_patterns").alias("glob"))
+        # a catalogue's patterns: few, whatever the documents are; each document meets each
+        scope = scope.unionByName(docs.distinct().join(globs, F.rlike(F.col("doc_id"), glob_column(F.col("glob")))).select("__i", "require_gate_status", "doc_id"))
+    scope = scope.distinct()
+    if coverage is None:
+        return scope.groupBy("__i").agg(F.array_sort(F.collect_set("doc_id")).alias("scope_docs"), F.lit(0).alias("verified_docs"))
+    return scope.join(coverage.select("doc_id", "status"), "doc_id", "left").groupBy("__i").agg(F.array_sort(F.collect_set("doc_id")).alias("scope_docs"), F.count_if(F.col("status") == F.col("require_gate_status")).alias("verified_docs"))
 
 
 def latest_coverage(log: DataFrame) -> DataFrame:
@@ -192,13 +206,12 @@ def capped(tier: Column, basis: Column, adjudicated: Column, cap: Column) -> Col
 
 def findings(evaluations: DataFrame, facts: DataFrame, coverage: DataFrame | None = None, defective: DataFrame | None = None, adjudicated: DataFrame | None = None) -> DataFrame:
     """Findings of evaluations that were triggered: id, subject, claim, evidence, tier and basis, severity, confidence, pointers."""
-    spark = facts.sparkSession
-    bad = (defective if defective is not None else spark.createDataFrame([], "fact_id string")).select("fact_id").distinct().withColumn("bad", F.lit(1))
-    ok = (coverage if coverage is not None else spark.createDataFrame([], "doc_id string, status string")).filter("status = 'ok'").select("doc_id").distinct().withColumn("ok", F.lit(1))
     key = ["obligation_id", "foreach_key"]
     on = evaluations.filter("status <> 'not_triggered'")
     presence = F.col("status").isin("satisfied", "window_breach")
-    used = on.select(*key, F.explode_outer(F.when(presence, F.col("matched")).otherwise(F.col("candidates"))).alias("fact_id")).join(bad, "fact_id", "left").join(facts.select("fact_id", "doc_id"), "fact_id", "left").join(ok, "doc_id", "left")
+    used = on.select(*key, F.explode_outer(F.when(presence, F.col("matched")).otherwise(F.col("candidates"))).alias("fact_id")).join(facts.select("fact_id", "doc_id"), "fact_id", "left")
+    used = used.join(defective.select("fact_id", F.lit(1).alias("bad")).distinct(), "fact_id", "left") if defective is not None else used.withColumn("bad", F.lit(None).cast("int"))
+    used = used.join(coverage.filter("status = 'ok'").select("doc_id", F.lit(1).alias("ok")).distinct(), "doc_id", "left") if coverage is not None else used.withColumn("ok", F.lit(None).cast("int"))
     stats = used.groupBy(*key).agg(F.count("bad").alias("n_bad"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id") == F.count_distinct(F.when(F.col("ok") == 1, F.col("doc_id")))).alias("docs_ok"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
     j = _null_safe(on, stats, key)
     j = _null_safe(j, adjudicated.select(*key, F.lit(True).alias("__adj")).distinct(), key) if adjudicated is not None else j.withColumn("__adj", F.lit(False))
