@@ -60,6 +60,10 @@ def redact_exactly(s: pd.Series) -> pd.Series:
     return s.map(redacted)
 
 
+#: Stands for a moment where a citation is kept; a noncharacter, which no text has.
+KEPT = "\ufdd4"
+
+
 def redact(c: Column) -> Column:
     """The patterns as a chain of regexp_replace, inside the JVM; two use lookarounds for what they keep."""
     for name, pattern, flags, to in PII_PATTERNS:
@@ -68,9 +72,9 @@ def redact(c: Column) -> Column:
             pattern = rf"(?<![0-9A-Za-z])(?!{DATESTAMP}(?![0-9A-Za-z]))\d{{8,}}(?![0-9A-Za-z])"
         if name == "keep_law":
             # a citation is matched and put back, so that its number isn't matched apart
-            c = F.regexp_replace(c, head + r"\b((?:ordonnance|loi|d[ée]cret|arr[êe]t[ée]|r[èe]glement|directive|circulaire)\s+)(n)(°\s?[A-Z]?\d[\w/.-]{5,}\b)", "$1$2$3")
-            c = F.regexp_replace(c, head + r"(?<!)\bn°\s?[A-Z]?\d[\w/.-]{5,}\b", to)
-            c = F.replace(c, F.lit(""), F.lit(""))
+            c = F.regexp_replace(c, head + r"\b((?:ordonnance|loi|d[ée]cret|arr[êe]t[ée]|r[èe]glement|directive|circulaire)\s+)(n)(°\s?[A-Z]?\d[\w/.-]{5,}\b)", f"$1{KEPT}$2$3")
+            c = F.regexp_replace(c, head + f"(?<!{KEPT})" + r"\bn°\s?[A-Z]?\d[\w/.-]{5,}\b", to)
+            c = F.replace(c, F.lit(KEPT), F.lit(""))
             continue
         c = F.regexp_replace(c, head + pattern, to)
     return c

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -95,35 +97,29 @@ def unfenced(c: Column) -> Column:
     return F.when(bare.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(bare)
 
 
+_BRACE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.DOTALL)
+
+
 def complete_objects(text: str | None) -> list[str]:
-    """The outermost complete {...} of possibly truncated JSON, strings and escapes respected.
+    """The complete {...} of possibly truncated JSON at the shallowest depth where any can be read, as they are written.
 
-    Of nested objects the shallowest that close are taken, so a list cut in its last element gives all before it.
+    So a list cut in its last element gives all before it, and a wrapper that never closes gives what is in it. What can't be
+    read is left out.
     """
-    found: dict[int, list[str]] = {}
-    opened: list[int] = []
-    inside = escaped = False
-    for i, c in enumerate(text or ""):
-        if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                inside = False
-        elif c == '"':
-            inside = True
-        elif c == "{":
-            opened.append(i)
-        elif c == "}" and opened:
-            start = opened.pop()
-            found.setdefault(len(opened), []).append(text[start : i + 1])
-    for part in found[min(found)] if found else []:
-        try:
-            json.loads(part)
-        except ValueError:
-            return []
-    return found[min(found)] if found else []
+    text = text or ""
+    braces = [m for m in _BRACE.finditer(text) if m[0] in ("{", "}")]
+    depths = accumulate((1 if m[0] == "{" else -1 for m in braces), lambda depth, step: max(0, depth + step), initial=0)
+    opened = sorted((depth, m.start()) for depth, m in zip(depths, braces, strict=False) if m[0] == "{")
+    for _, level in groupby(opened, key=lambda x: x[0]):
+        found = []
+        for _, at in level:
+            try:
+                found.append(text[at : json.JSONDecoder().raw_decode(text, at)[1]])
+            except ValueError:
+                continue
+        if found:
+            return found
+    return []
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -79,46 +80,45 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE)
 
 
-def cut_words(text: str, size: int) -> list[str]:
-    """Pieces of about `size` characters, never within a word: a piece goes on to the next blank if it has none before."""
-    out, at = [], 0
-    while at < len(text):
-        end = at + size
-        if end < len(text):
-            blank = text.rfind(" ", at, end)
-            if blank <= at:
-                blank = text.find(" ", end)
-            end = blank if blank > at else len(text)
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
-        at = end
-    return out
+def words_of(text: str, size: int) -> list[str]:
+    """Pieces below `size` characters that end at a blank; the last may have `size`; a longer word is a piece of its own."""
+    piece = rf"(?s).{{1,{size}}}\Z|.{{1,{size - 1}}}(?= )|.{{{size},}}?(?= |\Z)"
+    return [p for p in map(str.strip, re.findall(piece, text)) if p]
+
+
+def sentences_of(text: str, size: int) -> list[str]:
+    return re.split(SENTENCE, text)
+
+
+def paragraphs_of(text: str, size: int) -> list[str]:
+    return [p for p in map(str.strip, re.split(r"\n\s*\n", text)) if p]
+
+
+def units_of(text: str, size: int, splitters=(paragraphs_of, sentences_of, words_of)) -> Iterator[str]:
+    """The text's parts by the first splitter; a part that is still too long by the next ones."""
+    split, *finer = splitters
+    for part in split(text, size):
+        yield from units_of(part, size, finer) if finer and len(part) > size else [part]
 
 
 def chunks_of(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
     """A page in chunks: whole if it fits; else paragraphs, sentences of what is too long, words of what still is, packed greedily.
 
-    Each chunk after the first begins with the last `overlap` characters of the one before, from their first blank on;
-    they don't count towards the next unit's fit.
+    Each chunk after the first begins with the last `overlap` characters of the one before, from their first blank on.
     """
     text = text.strip()
     if len(text) <= target:
         return [text] if text else []
-    units: list[str] = []
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        for sentence in [paragraph] if len(paragraph) <= target else re.split(SENTENCE, paragraph):
-            units += [sentence] if len(sentence) <= target else cut_words(sentence, target)
-    out, now = [], ""
-    for unit in units:
-        if now and len(now) + 2 + len(unit) > target:
-            out.append(now)
-            tail = now[-overlap:]
-            tail = tail[tail.find(" ") + 1 :] if " " in tail else ""
-            now = f"{tail}\n\n{unit}" if tail else unit
-        else:
-            now = f"{now}\n\n{unit}" if now else unit
-    return [*out, now] if now else out
+
+    def added(chunks: list[str], unit: str) -> list[str]:
+        *closed, now = chunks
+        if len(now) + len(unit) + 2 <= target:
+            return [*closed, f"{now}\n\n{unit}"]
+        repeated = now[-overlap:].partition(" ")[2]
+        return [*chunks, f"{repeated}\n\n{unit}" if repeated else unit]
+
+    first, *rest = units_of(text, target)
+    return reduce(added, rest, [first])
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -134,20 +134,18 @@ class ChunkText:
         yield from enumerate(chunks_of(text or ""), 1)
 
 
-def neighbourhood(text: str | None, quote: str | None, window: int = WINDOW) -> str:
+def around(text: Column, quote: Column, window: int = WINDOW) -> Column:
     """Half a window either side of the quote: found as it stands, else by its first 40 characters with any blanks; else the head."""
-    if not text:
-        return ""
-    at, size = (text.find(quote), len(quote)) if quote else (-1, 0)
-    if at < 0 and quote and quote[:40].split():
-        m = re.search(r"\s+".join(map(re.escape, quote[:40].split())), text)
-        at, size = (m.start(), len(m[0])) if m else (-1, 0)
-    return text[max(0, at - window // 2) : at + size + window // 2] if at >= 0 else text[:window]
-
-
-@F.pandas_udf(StringType())
-def around(text: pd.Series, quote: pd.Series) -> pd.Series:
-    return pd.Series([neighbourhood(t, q) for t, q in zip(text, quote, strict=True)])
+    body, half = F.coalesce(text, F.lit("")), window // 2
+    asked = F.coalesce(quote, F.lit(""))
+    words = F.filter(F.split(F.left(asked, F.lit(40)), r"(?U)\s+"), lambda w: w != "")
+    literal = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?U)"), F.array_join(literal, "\\s+"))
+    exact, loose = F.position(asked, body), F.regexp_substr(body, pattern)
+    at = F.when(asked == "", 0).when(exact > 0, exact).when(F.size(words) > 0, F.coalesce(F.position(loose, body), F.lit(0))).otherwise(0)
+    size = F.when(exact > 0, F.length(asked)).otherwise(F.length(loose))
+    start = F.greatest(at - 1 - half, F.lit(0))
+    return F.when(at > 0, F.substring(body, start + 1, at - 1 + size + half - start)).otherwise(F.left(body, F.lit(window)))
 
 
 def glob_regex(glob: str) -> str:

@@ -113,16 +113,20 @@ def chosen_role(roles: DataFrame, weak: tuple[str, ...]) -> DataFrame:
     return roles.groupBy("person_id").agg(F.min(F.struct(F.col("role").isin(*weak).alias("weak"), "role")).alias("r")).select("person_id", F.col("r.role").alias("role"))
 
 
-def personas(people: DataFrame, roster: DataFrame, pinned: DataFrame, pool: DataFrame) -> DataFrame:
-    """people (person_id) with persona: of the roster, else pinned before, else the next unused of pool (pos, persona), else made up.
-
-    roster and pinned: person_id, persona.
+def personas(people: DataFrame, roster: DataFrame, pinned: DataFrame, pool: DataFrame, label: str = "Personne") -> DataFrame:
+    """people (person_id) with persona: of the roster, else pinned before, else the next unused of pool (pos, persona), else the
+    label with the next unused of the letters A, B, ..., Z, AA, ... roster and pinned: person_id, persona.
     """
     given = people.select("person_id").join(roster.withColumnRenamed("persona", "__a"), "person_id", "left").join(pinned.withColumnRenamed("persona", "__b"), "person_id", "left").withColumn("persona", F.coalesce("__a", "__b"))
     used = given.filter("persona IS NOT NULL").select("persona")
-    rest = given.filter("persona IS NULL").select("person_id").withColumn("__n", F.row_number().over(W.orderBy("person_id")))  # persons of one case
-    free = pool.join(used, "persona", "left_anti").withColumn("__m", F.row_number().over(W.orderBy("pos")))
-    late = rest.join(free, F.col("__n") == F.col("__m"), "left").select("person_id", F.coalesce("persona", F.concat(F.lit("Personne "), F.col("__n").cast("string"))).alias("persona"))
+    rest = given.filter("persona IS NULL").select("person_id")
+    made_up = F.concat(F.lit(f"{label} "), F.upper(scalars.ordinal_letters(F.col("pos"))))
+    # enough letters even if all of them were used
+    letters = people.sparkSession.range(1, 1 + given.count()).withColumnRenamed("id", "pos").select(F.lit(1).alias("late"), "pos", made_up.alias("persona"))
+    free = pool.select(F.lit(0).alias("late"), F.col("pos").cast("long").alias("pos"), "persona").unionByName(letters).join(used, "persona", "left_anti")
+    # persons of one case are numbered in their order, which takes one window
+    free = free.withColumn("__m", F.row_number().over(W.orderBy("late", "pos")))
+    late = rest.withColumn("__n", F.row_number().over(W.orderBy("person_id"))).join(free, F.col("__n") == F.col("__m")).select("person_id", "persona")
     return given.filter("persona IS NOT NULL").select("person_id", "persona").unionByName(late)
 
 

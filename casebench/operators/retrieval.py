@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from casebench.functions import scalars
 from casebench.models import ModelProvider, scored
 from casebench.schemas import CASE_ID
 
@@ -44,24 +46,30 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"(?U)[^\w]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, fields: list[str], key: str = "chunk_id") -> DataFrame:
-    """(field, term, key, tf, length) of each field's words; one pass, then one shuffle by (field, term, key) with partial sums."""
+def postings(chunks: DataFrame, fields: list[str], key: str = "chunk_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(field, term, key, tf, length) of each field's words, or of the wanted ones (term) only, which are dropped before anything
+    is shuffled; one pass, then one shuffle by (field, term, key) with partial sums.
+    """
     packed = F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("words")) for f in fields])
     each = chunks.select(key, F.explode(packed).alias("p")).select(key, "p.field", "p.words", F.size("p.words").alias("length"))
-    return each.select(key, "field", "length", F.explode("words").alias("term")).groupBy("field", "term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    words = each.select(key, "field", "length", F.explode("words").alias("term"))
+    words = words if wanted is None else words.join(wanted, "term", "left_semi")
+    return words.groupBy("field", "term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, n: int, boosts: dict[str, float] | None = None, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, score, rank from 0) of the n best chunks of each query (query_id, query), by Okapi BM25 summed over boosted fields.
 
-    Only the postings of words in queries are shuffled: the query words are a set joined before the counts meet.
+    Only the postings of words in queries are shuffled: a semi-join drops all others right where texts are split.
     Ties go to the smaller key.
     """
     boosts = boosts or BOOSTS
     fields = [f for f, b in boosts.items() if b and f in chunks.columns]
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     sizes = chunks.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f))).alias("length")) for f in fields])).alias("p")).groupBy("p.field").agg(F.count(F.lit(1)).alias("docs"), F.avg("p.length").alias("mean"))
-    wanted = postings(chunks, fields, key).join(asked.select("term").distinct(), "term")
+    known = asked.select("term").distinct()
+    known = F.broadcast(known) if known.count() <= 100_000 else known
+    wanted = postings(chunks, fields, key, known)
     df = wanted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weighed = wanted.join(df, ["field", "term"]).join(F.broadcast(sizes), "field")  # sizes: a row a field
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,15 +85,45 @@ def ranked(scores: DataFrame, n: int, key: str = "chunk_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < n)
 
 
+#: Queries that are sent to every task at once.
+QUERY_BLOCK = 8192
+
+
+def nearest_in(batches: Iterator[pa.RecordBatch], ids: pa.Array, matrix: np.ndarray, n: int, key: str) -> Iterator[pa.RecordBatch]:
+    """(query_id, key, score) of each batch's n best for each query, with all that tie with the last."""
+    length = np.sqrt((matrix**2).sum(axis=1))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            part = batch.slice(lo, 4096)
+            flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            own = flat.reshape(part.num_rows, -1)
+            size = np.sqrt((own**2).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.nan_to_num((own @ matrix.T) / (size[:, None] * length[None, :]))
+            least = np.partition(scores, max(0, len(scores) - n), axis=0)[max(0, len(scores) - n)]
+            row, query = np.nonzero(scores >= least[None, :])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), part.column(key).take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", key, "score"])
+
+
 def dense(vectors: DataFrame, queries: DataFrame, n: int, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score, rank) of the n nearest by cosine, exactly. queries (query_id, embedding): a stated set, far fewer than vectors.
+    """(query_id, key, score, rank) of the n nearest by cosine, exactly; 0 where a vector has no length.
 
-    The queries are sent to every task if they are few (their count is looked at); else blocks of them meet blocks of vectors.
+    queries (query_id, embedding): a stated set, in blocks of bounded size that are sent to every task; each task keeps its
+    best. All vectors have one length; null ones take no part.
     """
-    few = queries.count() <= 10_000
-    asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    pairs = vectors.crossJoin(F.broadcast(asked)) if few else vectors.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(31)))).join(asked.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(32)).cast("int")), "__b")
-    return ranked(pairs.select("query_id", key, scalars.cosine(F.col("embedding"), F.col("__q")).alias("score")), n, key)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    given = vectors.filter("embedding IS NOT NULL").select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.filter("embedding IS NOT NULL").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))).alias("block"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        rows = asked.filter(F.col("block") == block).toArrow().combine_chunks()
+        if rows.num_rows:
+            ids = rows.column("query_id").combine_chunks()
+            matrix = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+            out = out.unionByName(given.mapInArrow(lambda it, sent=sent: nearest_in(it, *sent.value, n, key), schema))
+    return ranked(out, n, key)
 
 
 def fused(lexical: DataFrame, vector: DataFrame, k: int, weights: tuple[float, float] = WEIGHTS, key: str = "chunk_id") -> DataFrame:

@@ -79,19 +79,64 @@ def contradiction_amount_pairs(t):
 
 
 @query("""WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS s FROM events)
-SELECT p.user_id, p.d AS day, least(p.event_id, n.event_id) AS a, greatest(p.event_id, n.event_id) AS b FROM e p JOIN e n ON p.user_id = n.user_id AND p.d = n.d AND p.s = 1 AND n.s = -1""")
+SELECT 'u' || p.user_id || '|le ' || p.d || '|accepter/refuser' AS key, least(p.event_id, n.event_id) AS a, greatest(p.event_id, n.event_id) AS b FROM e p JOIN e n ON p.user_id = n.user_id AND p.d = n.d AND p.s = 1 AND n.s = -1""")
 def contradiction_polarity_pairs(t):
-    e = t.events.filter(F.col("event_type").isin("purchase", "error")).select("event_id", "user_id", F.to_date("ts").alias("day"), "event_type")
-    up, down = e.filter("event_type = 'purchase'").drop("event_type"), e.filter("event_type = 'error'").select("user_id", "day", F.col("event_id").alias("other"))
-    return up.join(down, ["user_id", "day"]).select("user_id", "day", F.least("event_id", "other").alias("a"), F.greatest("event_id", "other").alias("b"))
-
-
-@query("""SELECT 'order_without_lines' AS kind, o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT 'document_without_label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'document_without_vector', doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+    action = F.when(F.col("event_type") == "purchase", "Acceptée par écrit").when(F.col("event_type") == "error", "REFUS d'y donner suite").otherwise("sans objet")
+    facts = t.events.select(F.col("event_id").alias("fact_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor_role"), F.concat(F.lit("Le "), F.to_date("ts").cast("string")).alias("target"), action.alias("action"))
+    return contradictions.opposites(facts).select("key", "a", "b")
+
+
+_CASE_SQL = """f AS (SELECT CAST(event_id AS VARCHAR) AS fact_id, event_id AS n, 'u' || (user_id % 40) AS role, 'd' || user_id AS doc, CAST(ts AS DATE) AS day, event_type || ' ' || CAST(floor(value) AS BIGINT) AS quote FROM events),
+t AS (SELECT role, min(day) AS t, min(day) <> max(day) AS several FROM f WHERE contains(quote, 'signup 77') GROUP BY role),
+r AS (SELECT DISTINCT role FROM f),
+h AS (SELECT f.role, count(*) AS hits, min(f.day) AS d, count(DISTINCT doc) AS docs, bool_and(CAST(right(doc, 1) AS INT) % 2 = 0) AS docs_ok FROM f JOIN t USING (role) WHERE contains(quote, 'purchase 1') AND f.day >= t.t GROUP BY f.role),
+s AS (SELECT role, count(DISTINCT doc) AS scope, count(DISTINCT doc) FILTER (CAST(right(doc, 1) AS INT) % 2 = 0) AS verified FROM f GROUP BY role),
+e AS (SELECT r.role, t.t IS NOT NULL AS fires, coalesce(hits, 0) AS hits, coalesce(several, false) AS several, date_diff('day', t.t + 5, h.d) AS late, scope, verified, docs, docs_ok FROM r LEFT JOIN t USING (role) LEFT JOIN h USING (role) JOIN s USING (role)),
+v AS (SELECT *, CASE WHEN NOT fires THEN 'not_triggered' WHEN hits >= 3 THEN CASE WHEN late > 0 AND NOT several THEN 'window_breach' ELSE 'satisfied' END WHEN verified > 0 THEN 'gap' ELSE 'unverifiable' END AS status FROM e)"""
+
+
+def case(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(evaluations, facts, coverage): events as facts of forty roles, each of which must purchase thrice after a rare signup."""
+    quote = F.concat_ws(" ", "event_type", F.floor("value").cast("string"))
+    role = F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string"))
+    facts = t.events.select(F.col("event_id").cast("string").alias("fact_id"), F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("source_doc_id"), role.alias("actor_role"), F.to_date("ts").cast("string").alias("date"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("target"), quote.alias("verbatim_quote"), F.lit(None).cast("string").alias("distilled_context"))
+    facts = obligations.prepared(facts)
+    of = lambda k: obligations.obligation(f"o{k}", (f"u{k}",), [obligations.leaf("all_of", ("purchase 1",), after=True, least=3)], "Rien n'atteste {title_fr}", title=f"u{k}", trigger_terms=("Signup 77",), trigger_roles=(f"u{k}",), deadline_days=5)
+    catalog = obligations.catalog(t.spark, [of(k) for k in range(40)])
+    coverage = t.events.select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("doc_id"), F.when(F.col("user_id") % 2 == 0, "ok").otherwise("parse_failed").alias("status")).distinct()
+    return obligations.evaluate(*catalog, facts, coverage), facts, coverage
+
+
+@query(f"WITH {_CASE_SQL} SELECT 'o' || substr(role, 2) AS obligation_id, status, CASE WHEN fires THEN hits ELSE 0 END AS matched, CASE WHEN status = 'window_breach' THEN late END AS breach_days, scope, verified FROM v")
+def case_evaluation(t):
+    return case(t)[0].filter(F.size("scope_docs") > 0).select("obligation_id", "status", F.size("matched").cast("long").alias("matched"), F.col("breach_days").cast("long").alias("breach_days"), F.size("scope_docs").cast("long").alias("scope"), F.col("verified_docs").cast("long").alias("verified"))
+
+
+@query(f"""WITH {_CASE_SQL} SELECT 'o' || substr(role, 2) AS obligation_id, status, CASE WHEN status IN ('satisfied', 'window_breach') THEN CASE WHEN docs >= 2 AND docs_ok THEN 'T1' ELSE 'T2' END WHEN verified = scope THEN 'T3' WHEN verified = 0 THEN 'T5' ELSE 'T4' END AS tier,
+  'statut=' || status || ' · ' AS head, CASE status WHEN 'gap' THEN 'Rien n''atteste ' || role WHEN 'satisfied' THEN 'Exécution attestée : ' || role WHEN 'window_breach' THEN 'Exécution tardive : ' || role ELSE 'Exécution non vérifiable : ' || role END AS claim FROM v WHERE fires AND hits >= 3""")
+def case_findings(t):
+    """Findings of the evaluations that are met; the tiers of the rest depend on their candidates' documents only if defective."""
+    evaluations, facts, coverage = case(t)
+    made = obligations.findings(evaluations.filter("status IN ('satisfied', 'window_breach')"), facts, coverage)
+    return made.select("obligation_id", "status", "tier", F.left("evidence", F.length("status") + 10).alias("head"), "claim")
+
+
+@query("""WITH f AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS role, 'd' || user_id AS doc, value < 100 AS undated, event_id % 7 = 0 AS loose, user_id, event_id FROM events),
+u AS (SELECT 'dangling_edge' AS kind, user_id || '|' || (event_id + 1000000000) AS m FROM f WHERE event_id % 11 = 0
+UNION ALL SELECT 'uncatalogued_role', role FROM f WHERE role NOT IN ('view', 'click', 'purchase')
+UNION ALL SELECT 'document_without_facts', 'd' || doc_id FROM documents WHERE 'd' || doc_id NOT IN (SELECT doc FROM f)
+UNION ALL SELECT 'document_not_verified', 'd' || doc_id FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT 'undated_fact', id FROM f WHERE undated UNION ALL SELECT 'unanchored_fact', id FROM f WHERE loose UNION ALL SELECT 'unparsed_rows', '4 lignes'),
+d AS (SELECT DISTINCT kind, m FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY m) AS i FROM d)
+SELECT kind, count(*) AS n, string_agg(m, ',' ORDER BY m) FILTER (i <= 5) AS sample FROM k GROUP BY kind""")
 def integrity_missing(t):
-    missing = lambda kind, a, x, b, y: a.select(F.lit(kind).alias("kind"), F.col(x).alias("id")).join(b.select(F.col(y).alias("id")), "id", "left_anti").select("kind", "id")
-    return missing("order_without_lines", t.orders, "o_orderkey", t.lineitem, "l_orderkey").unionByName(missing("document_without_label", t.documents, "doc_id", t.labels, "doc_id")).unionByName(missing("document_without_vector", t.documents, "doc_id", t.embeddings, "vec_id"))
+    doc = lambda c: F.concat(F.lit("d"), F.col(c).cast("string"))
+    facts = t.events.select(F.col("event_id").cast("string").alias("fact_id"), F.col("event_type").alias("actor_role"), doc("user_id").alias("source_doc_id"), F.when(F.col("value") >= 100, F.to_date("ts").cast("string")).alias("date"), F.when(F.col("event_id") % 7 != 0, "c").alias("source_chunk_id"))
+    roles = t.spark.createDataFrame([("view",), ("click",), ("purchase",)], "role_id string")
+    edges = t.events.select("user_id", F.when(F.col("event_id") % 11 == 0, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id")).cast("string").alias("fact_id")).withColumnRenamed("user_id", "person_id")
+    documents = t.documents.select(doc("doc_id").alias("doc_id"))
+    coverage = t.documents.select(doc("doc_id").alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, "parse_failed").otherwise("ok").alias("status"))
+    return integrity.integrity(facts, roles, edges, documents, coverage, rejected=4).select("kind", "n", F.array_join("sample", ",").alias("sample"))
 
 
 @query("SELECT o_orderkey, substr(sha256('check|' || o_orderkey || '|' || o_orderpriority), 1, 12) AS id, sha256(o_custkey || '|' || o_orderkey) AS full_id, substr(sha1(o_orderkey || '|' || o_orderstatus), 1, 12) AS entry_id FROM orders")
@@ -194,21 +239,25 @@ def role_cooccurrence(t):
     return persons.co_occurring(f).select("role", F.array_join("others", ",").alias("others"))
 
 
-_PEOPLE_SQL = """m AS (SELECT c_name AS name, 'customer' AS role, right(c_name, 2) AS k, c_custkey AS pos, CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS c FROM customer
-  UNION ALL SELECT 'The ' || s_name, 'supplier', right(s_name, 2), 1000000 + s_suppkey, CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal > 0 THEN 1 ELSE 0 END FROM supplier)"""
-
-
-@query(f"WITH {_PEOPLE_SQL} SELECT k AS key, arg_max(name, (length(name), -pos)) AS name, count(DISTINCT role) AS roles, count(*) AS mentions, max(c) AS confidence FROM m GROUP BY k")
+@query("""WITH m AS (SELECT 'customer' AS role, 'Maître  Dupönt ' || right(c_name, 2) AS name, c_custkey AS pos, CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS c, 'c' || c_custkey AS e FROM customer
+  UNION ALL SELECT 'supplier', 'DUPONT ' || right(s_name, 2), 1000000 + s_suppkey, CASE WHEN s_acctbal > 5000 THEN 2 WHEN s_acctbal > 0 THEN 1 ELSE 0 END, 's' || s_suppkey FROM supplier UNION ALL SELECT 'supplier', 'Dupont', 0, 0, 'x'),
+k AS (SELECT *, 'dupont ' || right(name, 2) AS key FROM m WHERE name <> 'Dupont'),
+r AS (SELECT key, role, max(c) AS c, count(DISTINCT e) AS e FROM k GROUP BY ALL)
+SELECT 'demo-' || replace(key, ' ', '-') AS person_id, arg_max(name, (length(name), -pos)) AS name, (SELECT string_agg(role || ':' || ['low', 'medium', 'high'][c + 1] || ':' || e, ',' ORDER BY role) FROM r WHERE r.key = k.key) AS roles, count(DISTINCT name) - 1 AS aliases FROM k GROUP BY key""")
 def person_merge(t):
-    c = lambda b: F.when(b > 5000, 2).when(b > 0, 1).otherwise(0)
-    a = t.customer.select(F.col("c_name").alias("name"), F.lit("customer").alias("role"), F.col("c_custkey").alias("pos"), c(F.col("c_acctbal")).alias("c"))
-    b = t.supplier.select(F.concat(F.lit("The "), "s_name").alias("name"), F.lit("supplier").alias("role"), (F.col("s_suppkey") + 1_000_000).alias("pos"), c(F.col("s_acctbal")).alias("c"))
-    return a.unionByName(b).withColumn("key", F.right("name", F.lit(2))).groupBy("key").agg(F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"), F.count_distinct("role").alias("roles"), F.count(F.lit(1)).alias("mentions"), F.max("c").alias("confidence"))
+    c = lambda b: F.element_at(F.array(*[F.lit(x) for x in scalars.CONFIDENCES]), F.when(b > 5000, 3).when(b > 0, 2).otherwise(1))
+    some = lambda df, role, name, pos, bal, tag, key: df.select(F.lit(role).alias("role_id"), name.alias("name"), F.lit(None).cast("array<string>").alias("aliases"), c(F.col(bal)).alias("confidence"), F.lit(None).cast("string").alias("note"), F.array(F.concat(F.lit(tag), F.col(key).cast("string"))).alias("evidence_fact_ids"), pos.alias("pos"))
+    a = some(t.customer, "customer", F.concat(F.lit("Maître  Dupönt "), F.right("c_name", F.lit(2))), F.col("c_custkey"), "c_acctbal", "c", "c_custkey")
+    b = some(t.supplier, "supplier", F.concat(F.lit("DUPONT "), F.right("s_name", F.lit(2))), F.col("s_suppkey") + 1_000_000, "s_acctbal", "s", "s_suppkey")
+    bare = t.spark.createDataFrame([("supplier", "Dupont", None, "low", None, ["x"], 0)], "role_id string, name string, aliases array<string>, confidence string, note string, evidence_fact_ids array<string>, pos long")
+    got = persons.resolved(a.unionByName(b).unionByName(bare), "demo")
+    roles = F.array_join(F.transform("role_assignments", lambda r: F.concat_ws(":", r["role_id"], r["confidence"], F.size(r["evidence_fact_ids"]).cast("string"))), ",")
+    return got.select("person_id", F.col("canonical_name").alias("name"), roles.alias("roles"), F.size("aliases").cast("long").alias("aliases"))
 
 
 @query("""WITH g AS (SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'roster ' || c_custkey WHEN c_nationkey = 3 THEN 'pinned ' || c_custkey END AS persona FROM customer),
 r AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM g WHERE persona IS NULL), p AS (SELECT 'part ' || p_partkey AS persona, row_number() OVER (ORDER BY p_partkey) AS m FROM part WHERE p_size < 20)
-SELECT id AS person_id, persona FROM g WHERE persona IS NOT NULL UNION ALL SELECT r.id, coalesce(p.persona, 'Personne ' || n) FROM r LEFT JOIN p ON n = m""")
+SELECT id AS person_id, persona FROM g WHERE persona IS NOT NULL UNION ALL SELECT r.id, coalesce(p.persona, 'Personne ' || CASE WHEN n - x <= 26 THEN chr(CAST(64 + n - x AS INT)) WHEN n - x <= 702 THEN chr(CAST(65 + (n - x - 27) // 26 AS INT)) || chr(CAST(65 + (n - x - 27) % 26 AS INT)) ELSE chr(CAST(65 + (n - x - 703) // 676 AS INT)) || chr(CAST(65 + (n - x - 703) // 26 % 26 AS INT)) || chr(CAST(65 + (n - x - 703) % 26 AS INT)) END) FROM r LEFT JOIN p ON n = m, (SELECT count(*) AS x FROM p)""")
 def persona_assignment(t):
     c = t.customer
     people = c.select(F.col("c_custkey").alias("person_id"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from casebench.functions import lexicon, pii, scalars, text
-from casebench.operators import anonymise, compliance, evaluation, telemetry
+from casebench.operators import anonymise, compliance, evaluation, persons, telemetry
 from casebench.plans.registry import Tables, query
+from casebench.session import shared_dir
 from casebench.streaming import watch
 
 
@@ -173,9 +173,10 @@ def sentence_split(t):
     return t.documents.select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages")
+@query(r"""WITH u AS (SELECT page_id, replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"'), '&amp;', '&') AS html FROM pages)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM u""")
 def html_strip(t):
-    return t.pages.select("page_id", F.md5(text.strip_tags(F.col("html")).cast("binary")).alias("digest"))
+    return t.pages.select("page_id", F.md5(text.html_text(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query(r"WITH f AS (SELECT doc_id, 'payment of ' || (doc_id * 37) || ' 500,25 € and ' || n_chars || ' euros' AS s FROM documents), m AS (SELECT doc_id, unnest(regexp_extract_all(s, '(\d[\d\s.,]*)\s*(?:€|eur\b|euros?\b)', 1)) AS x FROM f) SELECT doc_id, CAST(regexp_replace(regexp_replace(regexp_replace(x, '[^\d,.]', '', 'g'), '[.,]\d{1,2}$', ''), '[^\d]', '', 'g') AS BIGINT) AS amount FROM m GROUP BY ALL")
@@ -190,22 +191,22 @@ def marker_prefilter(t):
     return t.documents.select("doc_id", F.size(lexicon.contained(("thtion", "keit", "zez", "ement", "the and"), folded)).cast("long").alias("markers")).filter("markers > 0")
 
 
-@query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS docs FROM (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) GROUP BY item_id")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+c AS (SELECT doc_id, lpad(CAST(pos AS VARCHAR), 7, '0') AS chunk_id, line, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS even FROM l),
+q AS (SELECT doc_id, left(trim(line), 60) AS quote FROM l WHERE (doc_id, pos) IN (SELECT doc_id, max(pos) FROM l GROUP BY doc_id)),
+b AS (SELECT q.doc_id, min((CASE WHEN contains(line, quote) THEN 0 ELSE 1 END, chunk_id)) AS b FROM q JOIN c USING (doc_id) WHERE contains(even, lower(trim(regexp_replace(quote, '\s+', ' ', 'g')))) GROUP BY q.doc_id)
+SELECT doc_id, struct_extract_at(b, 2) AS chunk_id FROM q LEFT JOIN b USING (doc_id)""")
 def quote_backfill(t):
-    """Documents that hold each quote word for word: a join on the quote's longest inner word, then the whole quote."""
-    words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda x: x != "")
-    inner = F.slice(words("text"), 2, F.greatest(F.size(words("text")) - 2, F.lit(1)))  # the outer words may go on in a document
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))
-    q = t.benchmark.select("item_id", F.col("text").alias("quote"), longest["w"].alias("word"))
-    each = t.documents.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word"))  # words without their texts
-    hits = each.join(q, "word").join(t.documents.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("quote")))
-    return hits.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"))
+    """Each document's last line quoted, and found again among its lines."""
+    lines = t.documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    chunks = lines.select("doc_id", F.posexplode("lines").alias("pos", "texte")).withColumn("chunk_id", F.lpad((F.col("pos") + 1).cast("string"), 7, "0"))
+    facts = lines.select(F.col("doc_id").alias("fact_id"), F.col("doc_id").alias("source_doc_id"), F.left(F.trim(F.element_at("lines", -1)), F.lit(60)).alias("verbatim_quote"))
+    return persons.backfilled(facts, chunks).select(F.col("fact_id").alias("doc_id"), F.col("source_chunk_id").alias("chunk_id"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(t):
-    ckpt = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return watch.streamed_daily_counts(t.spark, t.sf_dir, "events.parquet", "ts", "event_type", f"{ckpt}/stream-{uuid.uuid4().hex}", f"daily_{uuid.uuid4().hex}")
+    return watch.streamed_daily_counts(t.spark, t.sf_dir, "events.parquet", "ts", "event_type", f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT doc_id, greatest(1, length(text) // 4) AS tokens, CASE WHEN length(text) > 40 THEN rtrim(left(text, 39)) || '…' ELSE text END AS short FROM documents")

@@ -19,13 +19,14 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def near(t: Tables, n: int, width: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for the queries, every row whose id 50 divides, without itself."""
+    """(query_id, chunk_id, score, rank) for the queries, every row whose id 50 divides, without itself.
+
+    Scores are rounded, so a few more than n are asked for and ranked again.
+    """
     v = vectors(t)
     v = v.withColumn("embedding", F.slice("embedding", 1, width)) if width else v
-    q = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("__q"))
-    few = q.count() <= 10_000
-    pairs = v.join(F.broadcast(q) if few else q, F.col("query_id") != F.col("chunk_id"))
-    return retrieval.ranked(pairs.select("query_id", "chunk_id", F.round(scalars.cosine(F.col("embedding"), F.col("__q")), 6).alias("score")), n)
+    found = retrieval.dense(v, v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), n + 10)
+    return retrieval.ranked(found.filter("query_id <> chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score")), n)
 
 
 @query(f"WITH {_NEAR} SELECT query_id, id AS chunk_id, score, rank FROM k WHERE rank < 10")
@@ -73,8 +74,8 @@ def scope_allowlist_filter(t):
 
 @query(f"WITH {_NEAR} SELECT query_id, id AS chunk_id, rank, source, md5(text) AS digest FROM k JOIN documents ON doc_id = id WHERE rank < 5")
 def hydrate_hits(t):
-    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return near(t, 5).join(docs, "chunk_id").select("query_id", "chunk_id", F.col("rank").cast("long"), "source", "digest")
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("texte"))
+    return retrieval.hydrated(near(t, 5), chunks).select("query_id", "chunk_id", F.col("rank").cast("long"), "source", F.md5(F.col("texte").cast("binary")).alias("digest"))
 
 
 @query("SELECT coalesce(vec_id, doc_id) AS chunk_id, CASE WHEN doc_id IS NULL THEN 'orphan' WHEN vec_id IS NULL THEN 'unvectorised' ELSE 'ok' END AS state FROM embeddings FULL JOIN documents ON vec_id = doc_id")

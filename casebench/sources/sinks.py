@@ -45,8 +45,11 @@ class VersionedTable:
         out.write(bytearray(version.encode()))
         out.close()
         _, final = _fs(self.spark, f"{self.root}/_CURRENT")
-        fs.delete(final, False)
-        fs.rename(tmp, final)
+        # one rename over the old pointer: a reader sees the one or the other
+        options = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(options, 1)
+        over[0] = options.OVERWRITE
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, over)
         versions = sorted(s.getPath().getName() for s in fs.listStatus(final.getParent()) if s.getPath().getName().startswith("v"))
         for old in versions[: -self.keep]:
             fs.delete(_fs(self.spark, f"{self.root}/{old}")[1], True)

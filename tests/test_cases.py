@@ -53,7 +53,7 @@ def test_roles_and_personas(spark):
     one = lambda *rows: spark.createDataFrame(list(rows), "person_id string, persona string")
     people = spark.createDataFrame([(p,) for p in ("p1", "p2", "p3", "p4")], "person_id string")
     got = persons.personas(people, one(("p1", "R")), one(("p1", "X"), ("p2", "P1")), spark.createDataFrame([(0, "P1"), (1, "P2")], "pos int, persona string"))
-    assert {r.person_id: r.persona for r in got.collect()} == {"p1": "R", "p2": "P1", "p3": "P2", "p4": "Personne 2"}
+    assert {r.person_id: r.persona for r in got.collect()} == {"p1": "R", "p2": "P1", "p3": "P2", "p4": "Personne A"}
 
 
 def test_integrity_and_citations(spark):

@@ -64,8 +64,10 @@ def test_chunk_sizes_and_overlap(spark):
 
 def test_snippets_globs_templates(spark):
     body = "x" * 3000 + "the exact   quote here" + "y" * 3000
-    assert text.neighbourhood(body, "the exact quote here").count("x") == 1001
-    assert text.neighbourhood(body, "absent") == body[: text.WINDOW] and text.neighbourhood(None, "a") == ""
+    near = lambda b, q: one(spark, text.around(F.col("s"), F.lit(q)), s=b)
+    assert near(body, "the exact quote here") == "x" * 1000 + "the exact   quote here" + "y" * 1000 and near("a (b) c. \\E d", "(b) c. \\E d") == "a (b) c. \\E d"
+    assert near(body, "absent") == near(body, "") == body[: text.WINDOW] and near("ab", "b") == "ab"
+    assert spark.sql("SELECT string(null) s").select(text.around(F.col("s"), F.lit("a"))).first()[0] == ""
     assert one(spark, F.rlike(F.col("s"), text.glob_column(F.lit("a*.p?f"))), s="abc.pdf") and not one(spark, F.rlike(F.col("s"), text.glob_column(F.lit("a*.p?f"))), s="abcxpdf")
     assert one(spark, text.template(F.col("s"), who=F.lit("Ann")), s="{who} and {other}") == "Ann and {other}"
     assert one(spark, text.shortened(F.col("s"), 6), s="abcdefgh") == "abcde…"
@@ -99,6 +101,7 @@ def test_scalars(spark):
     assert one(spark, scalars.unfenced(F.col("s")), s="```json\n{}\n```") == "{}" and one(spark, scalars.unfenced(F.col("s")), s="a `b`") == "a `b`"
     assert one(spark, scalars.iso_date(F.col("s")).cast("string"), s="2026") is None
     assert scalars.complete_objects('[{"a": "}"}, {"b": {"c": 1}}, {"d": "cut') == ['{"a": "}"}', '{"b": {"c": 1}}']
+    assert scalars.complete_objects('[{"a": 1,}, {"b": {"c": 2}}]') == ['{"b": {"c": 2}}'] and scalars.complete_objects('{"x": [{"a": 1}, {"b": "}') == ['{"a": 1}'] and scalars.complete_objects('{"a": {"b": 1},}') == ['{"b": 1}']
     assert scalars.leading_json('{"a": 1} and prose') == '{"a": 1}' and scalars.leading_json("prose") is None
     assert [scalars.letters(n) for n in (1, 26, 27, 703)] == ["a", "z", "aa", "aaa"]
     assert one(spark, scalars.fingerprint(F.col("s"), F.lit("m")), s=["b", "a", "b"]) == one(spark, scalars.fingerprint(F.col("s"), F.lit("m")), s=["a", "b"])
