@@ -122,6 +122,25 @@ def variants_of(low: np.ndarray, mask: np.ndarray, part: int, parts: int) -> tup
     return low[who] ^ mask[at], who
 
 
+def to_parts(batches: Iterator[pa.RecordBatch], bits: int, half: int) -> Iterator[pa.RecordBatch]:
+    """(slice, part, parts, fp) for each part of its slice in which fp makes a variant; an uncut slice is its part 0."""
+    rest = 64 - bits
+    for batch in batches:
+        cuts, parts, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("slice", "parts", "fp"))
+        fp = fp.view(np.uint64)
+        away = np.bitwise_count((fp >> np.uint64(rest)) ^ cuts.view(np.uint64))
+        low = fp & np.uint64((1 << rest) - 1)
+        kinds = np.unique(np.where(parts > 0, parts.astype(np.int64) * (half + 1) + away, 0))
+        for p, d in (divmod(k, half + 1) for k in kinds.tolist()):
+            who = np.flatnonzero((parts == p) & ((p == 0) | (away == d)))
+            reached = np.unique(syndromes(masks(rest, half - d), p)) if p else np.zeros(1, np.int64)
+            for lo in range(0, len(who), max(1, 500_000 // len(reached))):
+                some = who[lo : lo + max(1, 500_000 // len(reached))]
+                part = (syndromes(low[some], p)[:, None] ^ reached).ravel() if p else np.zeros(len(some), np.int64)
+                take = np.repeat(some, len(reached))
+                yield pa.RecordBatch.from_arrays([pa.array(cuts[take]), pa.array(part), pa.array(np.full(len(take), p, np.int32)), pa.array(fp[take].view(np.int64))], names=["slice", "part", "parts", "fp"])
+
+
 def links_of_slice(cut: int, fp: np.ndarray, bits: int, half: int, part: int = 0, parts: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The links that fingerprints make through variants within one slice, or one of its 2**parts parts, as a forest."""
     rest = 64 - bits
@@ -204,12 +223,13 @@ def simhash_links(prints: DataFrame, radius: int = 4, variants_a_slice: int = VA
     spark = prints.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(masks(64, half)) // 40_000_000)
     sent = prints.select("fp").mapInArrow(lambda it: to_slices(it, bits, half), "slice long, fp long")
-    # the slices are counted with sums a task; only crowded ones go on, a few in all that there are
-    made = F.col("n") * len(masks(64 - bits, half))
-    crowded = sent.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).filter(made > CROWDED * variants_a_slice)
-    crowded = materialize(crowded.select(F.col("slice").alias("__slice"), F.ceil(F.log2(made / variants_a_slice)).cast("int").alias("parts")), "crowded")
-    sent = sent.join(crowded, F.col("slice") == F.col("__slice"), "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
-    sent = sent.select("slice", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, parts)") - 1)).alias("part"), "parts", "fp")
+    # what each slice makes is summed up in the tasks; only crowded ones go on, a few in all that there are
+    away = F.bit_count(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("slice"))) + 1
+    made = F.sum(F.element_at(F.array(*[F.lit(len(masks(64 - bits, half - d))) for d in range(half + 1)]), away.cast("int"))).alias("made")
+    crowded = sent.groupBy("slice").agg(made).filter(F.col("made") > CROWDED * variants_a_slice)
+    crowded = materialize(crowded.select(F.col("slice").alias("__slice"), F.ceil(F.log2(F.col("made") / variants_a_slice)).cast("int").alias("parts")), "crowded")
+    sent = sent.join(crowded, F.col("slice") == F.col("__slice"), "left").select("slice", F.coalesce("parts", F.lit(0)).alias("parts"), "fp")
+    sent = sent.mapInArrow(lambda it: to_parts(it, bits, half), "slice long, part long, parts int, fp long")
     dealt = sent.repartition(parts, "slice", "part").sortWithinPartitions("slice", "part")
     return dealt.mapInArrow(lambda it: linked(it, bits, half), "a long, b long")
 
