@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from casebench.functions import scalars
-from casebench.operators import contradictions, findings, integrity, obligations, persons
+from casebench.operators import contradictions, cycle, findings, integrity, obligations, persons
 from casebench.plans.registry import Tables, query
 from casebench.schemas import FINDING
 from casebench.sources import sinks
@@ -290,3 +290,20 @@ SELECT CAST(subject AS VARCHAR) AS subject, CASE WHEN coalesce(n, 0) = 0 THEN 'a
 def judges_combined(t):
     v = t.events.select(F.col("user_id").cast("string").alias("subject"), (F.col("event_id") % 3).alias("judge"), F.when(F.col("value") < 30, "met").when(F.col("value") < 60, "breached").alias("label"))
     return obligations.combined_verdicts(v)
+
+
+@query("""WITH k AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), g AS (SELECT l_suppkey, l_orderkey AS after, lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS before FROM k)
+SELECT l_suppkey, before, after, after - before - 1 AS missing FROM g WHERE after - before > 1""")
+def number_gaps(t):
+    return cycle.number_gaps(t.lineitem, "l_orderkey", "l_suppkey")
+
+
+@query("SELECT count(DISTINCT user_id) AS docs, count(*) AS facts, count(DISTINCT event_type) AS roles, (SELECT count(*) FROM labels WHERE toxic = 1) AS ambiguities FROM events")
+def stage_summary(t):
+    return cycle.stage_summary(t.events.select(F.col("user_id").alias("source_doc_id"), F.col("event_type").alias("actor_role")), t.labels.filter("toxic = 1"))
+
+
+@query(f"""WITH {_STORE_SQL} SELECT id, tier, CASE WHEN evidence = 'cycle 1' THEN 'gap' ELSE 'window_breach' END AS outcome FROM st WHERE status = 'open' AND tier <> 'T4'""")
+def actionable_findings(t):
+    named = F.when(F.col("tier") == "T4", "statut=satisfied").when(F.col("evidence") == "cycle 1", "statut=gap · retard").otherwise("statut=window_breach")
+    return cycle.actionable(store_after(t).withColumn("evidence", named)).select("id", "tier", "outcome")
