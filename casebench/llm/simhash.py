@@ -259,8 +259,9 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 # Near copies of a given similarity. One fingerprint of 64 bits can't tell 0.8 from 0.6 at a radius whose balls are small.
 # So `tables` fingerprints of 32 bits each are hashed with balls of radius 1 (pairs within 2 bits of a table meet). The bits
 # of all tables together go along: they tell the angle between two shingle sets, which only rules pairs out, and every pair
-# that meets and that they leave is settled by the sets. A first round over few tables, with a forest of likely links a
-# slice, joins what is dense, so that a group of n leaves few pairs; what it doesn't find the second round does.
+# that meets and that they leave is settled by the sets. Two rounds join what is dense, so that a group of n leaves few
+# pairs: one over few tables with likely links of neighbours, one over all with a forest of the closest pairs between the
+# groups so far. What they don't find the last round does: it takes every pair of different groups, once.
 
 TABLES, TABLE_BITS = 32, 32
 SIMILARITY, SHINGLE = 0.8, 5
@@ -337,8 +338,8 @@ def to_table_slices(batches: Iterator[pa.RecordBatch], some: list[int], bits: in
 
 
 def meeting(cut: int, key: np.ndarray, root: np.ndarray, bits: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs of different roots that share a variant of the slice, some at a time: all of them, or the
-    neighbours in a variant only. Rows come in order of root. Pairs of one key come once, others up to twice."""
+    """Positions of the pairs of different roots that share a variant of the slice, some at a time: all of them, each in one
+    variant of its table, or the neighbours in a variant only. Rows come in order of root."""
     rest = TABLE_BITS - bits
     key = key.view(np.uint32).astype(np.uint64)
     low = key & np.uint64((1 << rest) - 1)
@@ -377,29 +378,52 @@ def meeting(cut: int, key: np.ndarray, root: np.ndarray, bits: int, whole: bool)
         i = np.repeat(at[lo:hi], n)
         j = np.repeat(run[lo:hi] - np.cumsum(n) + n, n) + np.arange(len(i))
         a, b = o[i], o[j]
-        once = (key[a] != key[b]) | (v[i] == low[a])
+        if whole:  # keys that differ share two variants: the one with their lowest bit swapped counts, the smaller of both
+            swap = (key[a] ^ key[b]) & (np.uint64(0) - (key[a] ^ key[b]))
+            once = np.minimum(key[a] ^ swap, key[b] ^ swap) == (np.uint64(cut & ((1 << bits) - 1)) << np.uint64(rest) | v[i])
+        else:
+            once = (key[a] != key[b]) | (v[i] == low[a])
         yield a[once], b[once]
         lo = hi
 
 
-def links_of_table_slice(cut: int, key: np.ndarray, words: np.ndarray, node: np.ndarray, root: np.ndarray, bits: int, most: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs (a < b) of different roots that meet in a slice and of whose bits at most `most` differ, or a forest of neighbours."""
+def links_of_table_slice(cut: int, key: np.ndarray, words: np.ndarray, node: np.ndarray, root: np.ndarray, bits: int, most: int, how: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a < b) of different roots that meet in a slice and of whose bits at most `most` differ.
+
+    how: "neighbours", a forest of the neighbours in a variant; "closest", a forest of roots by least differing bits; "all",
+    every pair, in the first table where it meets.
+    """
     order = np.lexsort((node, root))
     key, words, node, root = key[order], words[order], node[order], root[order]
-    for a, b in meeting(cut, key, root, bits, whole):
-        close = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= most
-        a, b = node[a[close]], node[b[close]]
+    table = cut >> bits
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for a, b in meeting(cut, key, root, bits, how != "neighbours"):
+        apart = words[a] ^ words[b]
+        away = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        close = away <= most
+        if how == "all" and table:
+            close[close] = (np.bitwise_count(apart[close].view(np.uint32)[:, :table]) > 2).all(axis=1)
+        a, b, away = a[close], b[close], away[close]
         if not len(a):
             continue
-        if whole:
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        else:
-            a, b = spanning(a, b)
-        yield a, b
+        if how == "closest":
+            a, b, away = (np.concatenate(x) for x in zip(best, (a, b, away), strict=True))
+            order = np.lexsort((root[b], root[a], away))
+            a, b, away = a[order], b[order], away[order]
+            kept = spanning(root[a], root[b])
+            best = (a[kept], b[kept], away[kept])
+            continue
+        if how == "neighbours":
+            kept = spanning(node[a], node[b])
+            a, b = a[kept], b[kept]
+        yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    if len(best[0]):
+        a, b, _ = best
+        yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the links a-b that join two components of the ones before."""
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of those of the links a-b that join two components of the ones before."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -413,14 +437,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if p != q:
             up[max(p, q)] = min(p, q)
             kept.append(i)
-    return np.minimum(a, b)[kept], np.maximum(a, b)[kept]
+    return kept
 
 
-def met(batches: Iterator[pa.RecordBatch], bits: int, most: int, whole: bool) -> Iterator[pa.RecordBatch]:
+def met(batches: Iterator[pa.RecordBatch], bits: int, most: int, how: str) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each slice; rows come sorted by slice."""
 
     def made(cut: int, rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        for a, b in links_of_table_slice(cut, *(np.concatenate(x) for x in zip(*rows, strict=True)), bits, most, whole):
+        for a, b in links_of_table_slice(cut, *(np.concatenate(x) for x in zip(*rows, strict=True)), bits, most, how):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     now, held = None, []
@@ -476,20 +500,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     bits = max(0, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / (2 * VARIANTS_A_SLICE))))))
     likely, most = (differing(similarity, tables * TABLE_BITS, x) for x in (0, HOPELESS))
 
-    def candidates(some: list[int], rooted: DataFrame, limit: int, whole: bool) -> DataFrame:
+    def candidates(some: list[int], rooted: DataFrame, limit: int, how: str) -> DataFrame:
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(some) << bits >> 1)
         sent = rooted.mapInArrow(lambda it: to_table_slices(it, some, bits), "slice int, key int, bits binary, id long, root long")
         dealt = sent.repartition(parts, "slice").sortWithinPartitions("slice")
-        return materialize(dealt.mapInArrow(lambda it: met(it, bits, limit, whole), "a long, b long").distinct(), "met")
+        links = dealt.mapInArrow(lambda it: met(it, bits, limit, how), "a long, b long")
+        return materialize(links if how == "all" else links.distinct(), "met")
 
-    # an eighth of the tables links what is dense; all of them then look for every link between its groups
+    # an eighth of the tables links what is dense; all of them then the groups that are close, and last every two that meet
     of = lambda pairs: materialize(settled(hashed, distinct, pairs, similarity, shingle), "settled")
-    first = of(candidates(list(range(max(1, tables // 8))), distinct.select("id", "bits", F.col("id").alias("root")), likely, False))
-    dense = components(first)
-    rooted = materialize(distinct.join(dense, distinct.id == dense.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root")), "rooted")
+    under = lambda groups: materialize(distinct.join(groups, distinct.id == groups.node, "left").select("id", "bits", F.coalesce("root", "id").alias("root")), "rooted")
     step = max(1, ROWS_A_ROUND // (bits + 1))
-    met_in = [candidates(list(range(t, min(t + step, tables))), rooted, most, True) for t in range(0, tables, step)]
-    groups = components(first.unionByName(of(reduce(DataFrame.unionByName, met_in).distinct())))
+    rounds = [list(range(t, min(t + step, tables))) for t in range(0, tables, step)]
+    every = lambda rooted, how: reduce(DataFrame.unionByName, [candidates(some, rooted, most, how) for some in rounds])
+    found = of(candidates(list(range(max(1, tables // 8))), distinct.select("id", "bits", F.col("id").alias("root")), likely, "neighbours"))
+    found = found.unionByName(of(every(under(components(found)), "closest").distinct()))
+    groups = components(found.unionByName(of(every(under(components(found)), "all"))))
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     of_node = rooted.join(first, "root").select("id", "root", "keep")

@@ -111,3 +111,27 @@ def test_parts_make_each_variant_once():
     whole = sorted(zip(*(x.tolist() for x in simhash.variants_of(fp, mask, 0, 0)), strict=True))
     cut = sorted(pair for part in range(8) for pair in zip(*(x.tolist() for x in simhash.variants_of(fp, mask, part, 3)), strict=True))
     assert whole == cut
+
+
+def test_a_pair_that_meets_comes_once():
+    """Over all slices of all tables, each pair within 2 bits in a table comes once; the closest ones form a forest of roots."""
+    rng = np.random.default_rng(3)
+    bits, tables, n = 2, 4, 60
+    words = np.repeat(rng.integers(0, 1 << 63, (6, tables // 2), dtype=np.uint64), n // 6, axis=0)
+    for row in words:
+        for k in rng.choice(64 * len(row), 6, replace=False).tolist():
+            row[k // 64] ^= np.uint64(1 << (k % 64))
+    words[7] = words[6]
+    node, root = np.arange(n), np.arange(n) // 2
+    keys = words.view(np.uint32)
+    got, closest = [], []
+    for t in range(tables):
+        for lead in range(1 << bits):
+            here = np.flatnonzero(np.bitwise_count((keys[:, t] >> np.uint32(32 - bits)) ^ np.uint32(lead)) <= 1)
+            given = (t << bits | lead, keys[here, t].copy().view(np.int32), words[here], node[here], root[here], bits, 20)
+            for how, out in (("all", got), ("closest", closest)):
+                out.extend(p for a, b in simhash.links_of_table_slice(*given, how) for p in zip(a.tolist(), b.tolist(), strict=True))
+    away = np.bitwise_count(keys[:, None] ^ keys[None])
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (away[a, b] <= 2).any() and away[a, b].sum() <= 20]
+    assert sorted(got) == want and len(want) > 50
+    assert set(closest) <= set(want)
