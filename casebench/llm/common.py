@@ -30,14 +30,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: the work is done once and a lost executor costs no recomputation.
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """df written to the shared folder (a folder for each value of the columns `by`) and read back: the work is done once and
+    a lost executor costs no recomputation.
 
     All of an application's tables are below one folder, to be deleted when it has ended; release() deletes one sooner.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/casebench-{spark.sparkContext.applicationId}/casebench-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     spark._jvm.System.gc()  # the context cleaner deletes shuffle files only of plans that were collected: disk would fill up
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,6 @@
 """The queries of this package, one an operator, and the SQL of those that SQL can express."""
 
-from casebench.llm import language, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
+from casebench.llm import language, lines, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,8 +14,10 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op12_whitening": whitening.op12_whitening,
+    "op13_line_dedup": lines.op13_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.ORACLE,
+    "op13_line_dedup": lines.ORACLE,
 }
