@@ -1,6 +1,6 @@
 """The queries of this package, one an operator, and the SQL of those that SQL can express."""
 
-from casebench.llm import language, lines, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
+from casebench.llm import conversations, language, lines, mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_whitening": whitening.op12_whitening,
     "op13_line_dedup": lines.op13_line_dedup,
 }
