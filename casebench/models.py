@@ -12,9 +12,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from casebench.sources.logtable import LogTable
+
 BATCH = 32
 
 
@@ -103,3 +105,22 @@ def dry_run(work: DataFrame, cache: DataFrame, prompt: str, rate_in: float, rate
     _, misses = probed(work, cache)
     tokens = F.greatest(F.lit(1), F.floor(F.length(prompt) / 4))
     return misses.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum(tokens), F.lit(0)).alias("prompt_tokens"), F.round((F.coalesce(F.sum(tokens), F.lit(0)) * rate_in + F.count(F.lit(1)) * out_tokens * rate_out) / 1e6, 6).alias("cost_usd"))
+
+
+class StoredCache:
+    """A log table of verdicts by cache_key: what a model has answered is never asked again, by whichever run."""
+
+    def __init__(self, spark: SparkSession, root: str, fan: int = 8):
+        self.table = LogTable(spark, root, "cache_key string, pass_name string, subject string, result_json string", ["cache_key"], ("result_json",), fan)
+
+    def answered(self, work: DataFrame, prompt: str, provider: ModelProvider, keep: Callable[[F.Column], F.Column] = lambda r: r.isNotNull()) -> DataFrame:
+        """work (cache_key, pass_name, subject, the prompt's column) with result_json; several rows of a key cost one call.
+
+        Misses reach the model and their answers are committed as one batch; what `keep` refuses, such as a failed call, isn't
+        cached and has a null result, so that the next run asks again.
+        """
+        known = self.table.read().select("cache_key", "result_json")
+        asked = work.join(known, "cache_key", "left_anti").groupBy("cache_key").agg(F.min(F.struct("pass_name", "subject", prompt)).alias("r")).select("cache_key", "r.*")
+        fresh = completed(asked, prompt, provider, "result_json").filter(keep(F.col("result_json")))
+        self.table.append(fresh.select("cache_key", "pass_name", "subject", "result_json"))
+        return work.join(self.table.read().select("cache_key", "result_json"), "cache_key", "left")

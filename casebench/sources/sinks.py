@@ -13,6 +13,31 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The content of a small file; None if it isn't there. Spark's own readers pass over names that begin with _."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_small(spark: SparkSession, path: str, content: str) -> None:
+    """Write a small file by one rename over the old one: a reader sees the one or the other."""
+    fs, final = _fs(spark, path)
+    _, tmp = _fs(spark, f"{path}-{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    options = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, over)
+
+
 class VersionedTable:
     """A parquet table whose every write is a new folder; `_CURRENT` names the one that readers see.
 
@@ -23,14 +48,7 @@ class VersionedTable:
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _pointer(self) -> str | None:
-        fs, p = _fs(self.spark, f"{self.root}/_CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)  # Spark's own readers pass over names that begin with _
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return read_small(self.spark, f"{self.root}/_CURRENT")
 
     def read(self) -> DataFrame | None:
         current = self._pointer()
@@ -40,17 +58,9 @@ class VersionedTable:
         version = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        fs, tmp = _fs(self.spark, f"{self.root}/_NEXT-{version}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, final = _fs(self.spark, f"{self.root}/_CURRENT")
-        # one rename over the old pointer: a reader sees the one or the other
-        options = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
-        over = self.spark.sparkContext._gateway.new_array(options, 1)
-        over[0] = options.OVERWRITE
-        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, final, over)
-        versions = sorted(s.getPath().getName() for s in fs.listStatus(final.getParent()) if s.getPath().getName().startswith("v"))
+        put_small(self.spark, f"{self.root}/_CURRENT", version)
+        fs, root = _fs(self.spark, self.root)
+        versions = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v"))
         for old in versions[: -self.keep]:
             fs.delete(_fs(self.spark, f"{self.root}/{old}")[1], True)
         return version

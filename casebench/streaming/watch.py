@@ -43,7 +43,7 @@ def due(changes: bool, first: bool, complete: bool, seconds_since_full: float) -
 
 @dataclass
 class LoopState:
-    """What a loop knows: whether it has run, whether its last cycle was complete, and when the last full one began."""
+    """What a loop knows: whether it has run, whether its last cycle was complete, and when it began. loop.CaseLoop keeps it for each case."""
 
     first: bool = True
     complete: bool = True
@@ -56,9 +56,7 @@ def polled(state: LoopState, changes: bool, cycle: Callable[[str], bool], clock:
     why = due(changes, state.first, state.complete, now - state.full_at)
     if why:
         state.complete = cycle(why)
-        state.first = False
-        if why in ("first_run", "full_sweep"):
-            state.full_at = now
+        state.first, state.full_at = False, now  # every cycle covers the whole case
     return why
 
 
