@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casebench.functions import pii, scalars
+from casebench.functions import phrases, pii, scalars
 from casebench.functions.lexicon import fold, folded
 from casebench.functions.text import whole_words
 
@@ -78,6 +78,18 @@ def anonymised(c: Column, mapping: dict[str, str], extras: dict[str, str] | None
     return whole_words(real)(out) if real else out
 
 
+def anonymised_documents(documents: DataFrame, mapping: DataFrame, extras: DataFrame | None = None) -> DataFrame:
+    """documents (doc_id, body, more) anonymised by tables (key, value) of any size: structured data, names, extra identifiers.
+
+    Keys of extras that begin with '_' are notes. A mapping that cascades raises.
+    """
+    bad = cascading(mapping).limit(20).collect()
+    if bad:
+        raise ValueError(f"replacements cascade: {[(r.key, r.token) for r in bad]}")
+    out = phrases.replaced(documents.withColumn("body", pii.redact_exactly(F.col("body"))), mapping)
+    return phrases.replaced(out, extras.filter(~F.col("key").startswith("_"))) if extras is not None else out
+
+
 def swept(before: Column, after: Column) -> Column:
     """A model's clean-up, unless it lost more than half of the text."""
     return F.when(F.coalesce(F.length(after), F.lit(0)) < 0.5 * F.length(before), before).otherwise(after)
@@ -129,18 +141,15 @@ def file_tokens(mapping: dict[str, str]) -> list[str]:
 
 
 def leaks(documents: DataFrame, needles: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, kind, needle): names that still stand as words, and the patterns that would still change the text.
+    """(doc_id, kind, needle): names and phrases that still stand as words, and the patterns that would still change the text.
 
-    needles (needle): folded. A document's words are joined to one-word needles; longer ones, a case's few, are looked for in each text.
+    needles (needle): folded or not. All are looked for at once (phrases.occurring).
     """
-    d = documents.select("doc_id", fold(F.col("body")).alias("f"), "body")
-    ok = needles.filter(~F.col("needle").isin(*allowed)) if allowed else needles
-    one = d.select("doc_id", F.explode(F.array_distinct(tokens(F.col("f")))).alias("needle")).join(ok, "needle").select("doc_id", F.lit("name").alias("kind"), "needle")
-    phrases = ok.filter(F.contains("needle", F.lit(" ")))
-    few = F.broadcast(phrases) if phrases.count() <= 10_000 else phrases
-    long = d.join(few, F.contains(F.concat(F.lit(" "), F.regexp_replace("f", r"(?U)[^\w']+", " "), F.lit(" ")), F.concat(F.lit(" "), "needle", F.lit(" ")))).select("doc_id", F.lit("name").alias("kind"), "needle")
+    d = documents.select("doc_id", "body")
+    ok = needles.filter(~phrases.evened_phrase(F.col("needle")).isin(*allowed)) if allowed else needles
+    names = phrases.occurring(d, ok).select("doc_id", F.lit("name").alias("kind"), "needle")
     structured = d.select("doc_id", F.explode(pii.leaking(F.col("body"))).alias("needle")).select("doc_id", F.lit("pattern").alias("kind"), "needle")
-    return one.unionByName(long).unionByName(structured).distinct()
+    return names.unionByName(structured).distinct()
 
 
 def residual_nouns(documents: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from casebench.functions import lexicon, pii, scalars, text
+from casebench.functions import lexicon, phrases, pii, scalars, text
 from casebench.operators import anonymise, compliance, evaluation, persons, telemetry
 from casebench.plans.registry import Tables, query
 from casebench.session import shared_dir
@@ -140,6 +140,30 @@ def leak_scan(t):
     return w.join(n, "needle").groupBy("needle").agg(F.count_distinct("doc_id").alias("docs"))
 
 
+_SENTENCES = r"n AS (SELECT DISTINCT regexp_replace(strip_accents(lower(trim(x))), '\s+', ' ', 'g') AS needle FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]+')) AS x FROM benchmark) WHERE length(trim(x)) >= 8), d AS (SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS f FROM documents)"
+
+
+def benchmark_sentences(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.explode(F.split("text", "[.!?\n]+")).alias("x")).select(F.trim("x").alias("needle")).filter(F.length("needle") >= 8)
+
+
+@query(rf"""WITH {_SENTENCES}
+SELECT doc_id, md5(needle) AS digest FROM d JOIN n ON contains(f, needle) AND regexp_matches(f, '(^|[^a-z0-9])' || regexp_escape(needle) || '($|[^a-z0-9])') GROUP BY ALL""")
+def leak_phrases(t):
+    """Which sentences of the benchmark still stand in which documents."""
+    found = anonymise.leaks(t.documents.select("doc_id", F.col("text").alias("body")), benchmark_sentences(t)).filter("kind = 'name'")
+    return found.select("doc_id", F.md5(F.col("needle").cast("binary")).alias("digest"))
+
+
+@query(rf"""WITH {_SENTENCES}, m AS (SELECT list(needle ORDER BY length(needle) DESC, needle) AS ks FROM n)
+SELECT doc_id, md5(list_reduce(list_prepend(f, ks), lambda acc, k: CASE WHEN contains(acc, k) THEN regexp_replace(acc, '(^|[^a-z0-9])' || regexp_escape(k) || '($|[^a-z0-9])', '\1<' || left(md5(k), 8) || '>\2', 'g') ELSE acc END)) AS digest FROM d, m""")
+def phrase_replace(t):
+    """Every sentence of the benchmark replaced in the folded documents, longer ones first."""
+    mapping = benchmark_sentences(t).select(F.col("needle").alias("key"), F.concat(F.lit("<"), F.left(F.md5(phrases.evened_phrase(F.col("needle")).cast("binary")), F.lit(8)), F.lit(">")).alias("value"))
+    out = phrases.replaced(t.documents.select("doc_id", phrases.evened_phrase(F.col("text")).alias("body")), mapping)
+    return out.select("doc_id", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
 @query()
 def word_anchored_replace(t):
     """Names of a fixed list replaced as whole words, accents and case aside."""

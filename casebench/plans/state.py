@@ -18,17 +18,18 @@ def fresh_folder(t: Tables, name: str) -> str:
 
 
 def observations(t: Tables) -> DataFrame:
-    """Each event as a poll of its user's case that sees one artifact; large values leave work over."""
-    k = F.from_json("props", "k long")["k"]
-    return t.events.select(F.col("user_id").cast("string").alias("case_id"), F.col("event_id").alias("poll"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("artifact"), F.floor(k / 50).cast("string").alias("sha256"), (F.col("value") < 40).alias("complete"))
-
-
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, value >= 40 AS incomplete, CAST(json_extract(props, '$.k') AS BIGINT) // 50 AS sha, event_type FROM events),
-p AS (SELECT user_id, event_id, ts, incomplete, sha IS DISTINCT FROM lag(sha) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS changed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM o),
-c AS (SELECT user_id, n, event_id, 'first_run' AS reason, 1 AS cycle, ts AS last, incomplete AS backlog FROM p WHERE n = 1
-UNION ALL SELECT user_id, n, event_id, why, cycle + CAST(why IS NOT NULL AS INT), CASE WHEN why IS NULL THEN last ELSE ts END, CASE WHEN why IS NULL THEN backlog ELSE incomplete END
-FROM (SELECT p.user_id, p.n, p.event_id, p.ts, p.incomplete, c.cycle, c.last, c.backlog, CASE WHEN p.changed THEN 'changed' WHEN c.backlog THEN 'backlog' WHEN p.ts - c.last > INTERVAL 1 DAY THEN 'full_sweep' END AS why FROM c JOIN p ON p.user_id = c.user_id AND p.n = c.n + 1))
-SELECT CAST(user_id AS VARCHAR) AS case_id, event_id AS poll, reason, CAST(cycle AS BIGINT) AS cycle FROM c WHERE reason IS NOT NULL""")
+    """Each turn as a poll of its conversation's case, some hours after the turn before, that sees one artifact; some leave work over."""
+    n = F.length("text")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("turn") * 20 + n % 20) * 3600)
+    return t.conversations.select(F.col("conv_id").cast("string").alias("case_id"), F.col("turn").alias("poll"), at.alias("at"), F.col("role").alias("artifact"), F.floor(n / 200).cast("string").alias("sha256"), (n % 5 > 0).alias("complete"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, turn * 20 + length(text) % 20 AS hours, length(text) % 5 = 0 AS incomplete, length(text) // 200 AS sha, role FROM conversations),
+p AS (SELECT conv_id, turn, hours, incomplete, sha IS DISTINCT FROM lag(sha) OVER (PARTITION BY conv_id, role ORDER BY hours, turn) AS changed, row_number() OVER (PARTITION BY conv_id ORDER BY hours, turn) AS n FROM o),
+c AS (SELECT conv_id, n, turn, 'first_run' AS reason, 1 AS cycle, hours AS last, incomplete AS backlog FROM p WHERE n = 1
+UNION ALL SELECT conv_id, n, turn, why, cycle + CAST(why IS NOT NULL AS INT), CASE WHEN why IS NULL THEN last ELSE hours END, CASE WHEN why IS NULL THEN backlog ELSE incomplete END
+FROM (SELECT p.conv_id, p.n, p.turn, p.hours, p.incomplete, c.cycle, c.last, c.backlog, CASE WHEN p.changed THEN 'changed' WHEN c.backlog THEN 'backlog' WHEN p.hours - c.last > 24 THEN 'full_sweep' END AS why FROM c JOIN p ON p.conv_id = c.conv_id AND p.n = c.n + 1))
+SELECT CAST(conv_id AS VARCHAR) AS case_id, turn AS poll, reason, CAST(cycle AS BIGINT) AS cycle FROM c WHERE reason IS NOT NULL""")
 def case_loop_cycles(t):
     """The loop over all cases, in two streams, the second of which goes on from the kept state."""
     root = fresh_folder(t, "loop")
@@ -51,14 +52,14 @@ class RoundModel:
         return [json.dumps({"round": self.number}) if (int(p) + self.number) % 4 else None for p in prompts]
 
 
-@query("""WITH w AS (SELECT DISTINCT event_type AS subject, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 3 AS round FROM events)
+@query("""WITH w AS (SELECT DISTINCT coalesce(source, '') AS subject, n_chars % 1000 AS k, doc_id % 3 AS round FROM documents)
 SELECT subject, k, CAST(min(round) FILTER ((k + round) % 4 <> 0) AS BIGINT) AS answered_in, count(*) FILTER ((k + round) % 4 = 0 AND round < coalesce(first, 9)) AS failed
 FROM (SELECT *, min(round) FILTER ((k + round) % 4 <> 0) OVER (PARTITION BY subject, k) AS first FROM w) GROUP BY subject, k HAVING answered_in IS NOT NULL""")
 def stored_cache(t):
     """Three rounds of verification through one store: what was answered before isn't asked again, a failed call is."""
     cache = models.StoredCache(t.spark, fresh_folder(t, "cache"), fan=2)
-    work = t.events.select("event_type", F.from_json("props", "k long")["k"].alias("k"), (F.col("event_id") % 3).alias("round"))
-    work = work.select(models.cache_key(F.lit("check"), F.col("event_type"), F.col("k")).alias("cache_key"), F.lit("check").alias("pass_name"), F.col("event_type").alias("subject"), "k", F.col("k").cast("string").alias("prompt"), "round").distinct()
+    work = t.documents.select(F.coalesce("source", F.lit("")).alias("subject"), (F.col("n_chars") % 1000).alias("k"), (F.col("doc_id") % 3).alias("round"))
+    work = work.select(models.cache_key(F.lit("check"), F.col("subject"), F.col("k")).alias("cache_key"), F.lit("check").alias("pass_name"), "subject", "k", F.col("k").cast("string").alias("prompt"), "round").distinct()
     for number in range(3):
         cache.answered(work.filter(F.col("round") == number), "prompt", RoundModel(number))
     # a round before the one that answered asked in vain
