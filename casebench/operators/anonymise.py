@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casebench.functions import phrases, pii, scalars
+from casebench.functions import phrases, pii, scalars, trees
 from casebench.functions.lexicon import fold, folded
 from casebench.functions.text import whole_words
 
@@ -168,6 +168,20 @@ def scrubbed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return both.select(*[F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns]), both.agg(F.count_if(changed).alias("changed"))
 
 
+def scrubbed_json(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(df with the string leaves of JSON columns redacted, one row: how many rows changed and how many aren't JSON).
+
+    Keys, order, numbers and layout stay, so a replacement can't break a file. A second pass changes none; what isn't JSON stays
+    as it is and is counted, as a scrub that skips it isn't done.
+    """
+    both = df.withColumns({f"__{c}": trees.with_leaves(F.col(c), pii.redacted) for c in columns})
+    changed, bad = F.lit(False), F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+        bad = bad | (F.col(c).isNotNull() & ~trees.is_json(F.col(c)))
+    return both.select(*[F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns]), both.agg(F.count_if(changed).alias("changed"), F.count_if(bad).alias("malformed"))
+
+
 def translated_findings(findings: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Findings with their text anonymised, and ids made anew from it."""
     out = findings.withColumns({c: anonymised(F.col(c), mapping) for c in ("subject", "claim", "evidence")})

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from casebench.functions import lexicon, phrases, pii, scalars, text
+from casebench.functions import lexicon, phrases, pii, scalars, text, trees
 from casebench.operators import anonymise, compliance, evaluation, persons, telemetry
 from casebench.plans.registry import Tables, query
 from casebench.session import shared_dir
+from casebench.sources import readers
 from casebench.streaming import watch
 
 
@@ -164,6 +166,44 @@ def phrase_replace(t):
     return out.select("doc_id", F.md5(F.col("body").cast("binary")).alias("digest"))
 
 
+_BODY = """'{"id": "LEGISCTA' || lpad(CAST(page_id AS VARCHAR), 12, '0') || '", "context": {"id": "LEGISCTA999999999999", "titresTM": [{"cid": "LEGIARTI999999999999"}]}, "sections": [' || array_to_string(list_transform(range(n % 5), lambda i: '{"cid": "LEGISCTA' || lpad(CAST(page_id * 10 + i AS VARCHAR), 12, '1') || '", "articles": [{"id": "LEGIARTI' || lpad(CAST(page_id * 100 + i AS VARCHAR), 12, '2') || '"' || CASE (n + i) % 6 WHEN 0 THEN '' WHEN 1 THEN ', "etat": null' WHEN 2 THEN ', "etat": "ABROGE"' WHEN 3 THEN ', "etat": ""' ELSE ', "etat": "VIGUEUR"' END || ', "lienCitations": [{"x": {"id": "LEGIARTI888888888888"}}], "deep": [[{"y": [{"id": "", "cid": "LEGIARTI' || lpad(CAST(n AS VARCHAR), 12, '3') || '"}, {"id": "LEGIARTI12"}, 5, "LEGIARTI777777777777"]}]]}]}'), ', ') || ']}'"""
+
+
+@query(rf"""WITH b AS (SELECT page_id, {_BODY} AS body FROM (SELECT page_id, length(html) AS n FROM pages)), t AS (SELECT page_id, t.fullkey, t.value AS v FROM b, json_tree(b.body::JSON) t WHERE t.type = 'OBJECT'),
+o AS (SELECT page_id, coalesce(nullif(v ->> '$.id', ''), v ->> '$.cid') AS id, (v -> '$.etat') IS NULL OR coalesce(v ->> '$.etat', '?') IN ('', 'VIGUEUR', 'VIGUEUR_DIFF') AS ok FROM t WHERE NOT regexp_matches(fullkey, '[.](context|lienCitations)($|[.\[])'))
+SELECT DISTINCT page_id, CASE WHEN regexp_full_match(id, 'LEGIARTI\d{{12}}') THEN 'article' ELSE 'section' END AS kind, id FROM o WHERE (regexp_full_match(id, 'LEGIARTI\d{{12}}') AND ok) OR regexp_full_match(id, 'LEGISCTA\d{{12}}')""")
+def nested_ids(t):
+    """Articles in force and sections of a nested body made of each page, whatever their depth, without what it refers to."""
+    i = lambda fill, *more: F.concat(F.lit(fill[:8]), *more)
+    pad = lambda c, x: F.lpad(c.cast("string"), 12, x)
+    n, page = F.length("html"), F.col("page_id")
+
+    def section(k):
+        state = (n + k) % 6
+        etat = F.when(state == 0, "").when(state == 1, ', "etat": null').when(state == 2, ', "etat": "ABROGE"').when(state == 3, ', "etat": ""').otherwise(', "etat": "VIGUEUR"')
+        deep = F.concat(F.lit(', "lienCitations": [{"x": {"id": "LEGIARTI888888888888"}}], "deep": [[{"y": [{"id": "", "cid": "'), i("LEGIARTI", pad(n, "3")), F.lit('"}, {"id": "LEGIARTI12"}, 5, "LEGIARTI777777777777"]}]]}]}'))
+        return F.concat(F.lit('{"cid": "'), i("LEGISCTA", pad(page * 10 + k, "1")), F.lit('", "articles": [{"id": "'), i("LEGIARTI", pad(page * 100 + k, "2")), F.lit('"'), etat, deep)
+
+    sections = F.transform(F.slice(F.array(*[F.lit(x) for x in range(4)]), F.lit(1), (n % 5).cast("int")), section)
+    body = F.concat(F.lit('{"id": "'), i("LEGISCTA", pad(page, "0")), F.lit('", "context": {"id": "LEGISCTA999999999999", "titresTM": [{"cid": "LEGIARTI999999999999"}]}, "sections": ['), F.array_join(sections, ", "), F.lit("]}"))
+    return readers.collected_ids(t.pages.select("page_id", body.alias("body")), "page_id")
+
+
+_LEAF = f"regexp_replace(regexp_replace(x, '{_EMAIL}', '[email]', 'g'), '{_CARD}', '[ref]', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS xs, n_chars FROM documents), r AS (SELECT *, list_transform(xs, lambda x: {_LEAF}) AS ys FROM l)
+SELECT doc_id, len(xs) + (source IS NOT NULL)::INT AS leaves, md5(array_to_string(ys, chr(10))) AS digest, ys <> xs AS changed, n_chars, 'id,meta,lines,n_chars' AS keys FROM r""")
+def json_leaves(t):
+    """Each document as JSON, its string leaves redacted at any depth; keys, order and numbers as they were."""
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), F.struct(F.struct("source").alias("of")).alias("meta"), F.split("text", "\n").alias("lines"), "n_chars"))
+    email, card = re.compile(_EMAIL, re.ASCII), re.compile(_CARD, re.ASCII)
+    out = t.documents.select("doc_id", body.alias("body")).withColumn("new", trees.with_leaves(F.col("body"), lambda s: card.sub("[ref]", email.sub("[email]", s))))
+    parsed = F.from_json("new", "id long, meta struct<of:struct<source:string>>, lines array<string>, n_chars long").alias("p")
+    return out.select("doc_id", parsed, (F.col("body") != F.col("new")).alias("changed"), F.array_join(F.json_object_keys("new"), ",").alias("keys")).select(
+        F.col("p.id").alias("doc_id"), (F.size("p.lines") + F.col("p.meta.of.source").isNotNull().cast("int")).cast("long").alias("leaves"), F.md5(F.array_join("p.lines", "\n").cast("binary")).alias("digest"), "changed", "p.n_chars", "keys")
+
+
 @query()
 def word_anchored_replace(t):
     """Names of a fixed list replaced as whole words, accents and case aside."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
@@ -10,11 +13,15 @@ from pyspark.sql.types import StructField, StructType, StringType
 
 from casebench.functions import scalars, text
 from casebench.schemas import CHUNK_FIELDS
+from casebench.session import shared_dir
 
 #: Articles in force.
 IN_FORCE = ("VIGUEUR", "VIGUEUR_DIFF")
-# Prefix of the chunk ids of a source is its key with a hyphen, unless named here.
-REFERENCE_KEYS = ("liens", "lienCitations", "lienModifications", "lienConcordes", "lienAutres", "articleVersions", "comporteLiensSP", "textePosteriorites", "lstLienModification")
+# Keys below which a body holds what belongs to other texts, and the forms of ids.
+REFERENCE_KEYS = ("articleVersions", "lienCitations", "lienModifications", "lienConcordes", "lienAutres", "versionPrecedente", "textTitles", "context", "titreTxt")
+ARTICLE_ID, SECTION_ID = r"^LEGIARTI\d{12}$", r"^LEGISCTA\d{12}$"
+#: Levels of a tree that one pass over a table goes down.
+LEVELS = 64
 
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -140,9 +147,56 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, v.get("label", k), v.get("fetch_strategy", "section")) for k, v in (entries.get("sources") or entries).items()], "source_key string, label string, fetch_strategy string")
 
 
-def collected_ids(bodies: DataFrame, pattern: str = r"^LEGIARTI\d+$") -> DataFrame:
-    """Distinct ids anywhere in JSON bodies (column body, a string), but not below keys that hold references."""
-    cut = F.col("body")
-    for key in REFERENCE_KEYS:
-        cut = F.regexp_replace(cut, rf'"{key}"\s*:\s*(\[[^\[\]]*\]|\{{[^{{}}]*\}}|"[^"]*")', f'"{key}":null')
-    return bodies.select(F.explode(F.regexp_extract_all(cut, F.lit('"(' + pattern.strip("^$") + ')"'), F.lit(1))).alias("id")).distinct()
+def _falls(node: Column, skip: tuple[str, ...]) -> Column:
+    """The values that a VARIANT node holds, but not those of skipped keys; none of a leaf."""
+    fields = F.map_values(F.map_filter(F.try_variant_get(node, "$", "map<string,variant>"), lambda k, _: ~k.isin(*skip)))
+    return F.coalesce(fields, F.try_variant_get(node, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def objects(trees: DataFrame, read: Callable[[Column], Column], skip: tuple[str, ...] = REFERENCE_KEYS) -> DataFrame:
+    """trees (tree VARIANT, more) with `found`: read(object) of every JSON object at any depth, but for those below skipped keys.
+
+    A level at a time, inside the JVM and without a shuffle; what is found is written to the shared folder. Trees deeper than
+    LEVELS go on in another pass over them alone. A null or malformed tree has none. An object's order isn't kept.
+    """
+    spark, root = trees.sparkSession, f"{shared_dir(trees.sparkSession)}/objects-{uuid.uuid4().hex}"
+    carried = [c for c in trees.columns if c != "tree"]
+    array = lambda x: F.filter(x, lambda v: v.isNotNull())
+    start = F.when(F.col("tree").isNotNull(), F.array("tree")).otherwise(F.array().cast("array<variant>"))
+    rows, done = trees.select(*carried, start.alias("__front")), None
+
+    def of(front: Column) -> Column:
+        return F.transform(F.filter(front, lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()), read)
+
+    for turn in itertools.count():
+        none = F.filter(of(F.col("__front")), lambda _: F.lit(False))
+        down = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.struct(array(F.col("__front")).alias("front"), none.alias("found")), lambda acc, _: F.struct(array(F.flatten(F.transform(acc["front"], lambda v: _falls(v, skip)))).alias("front"), F.concat(acc["found"], of(acc["front"])).alias("found")))
+        rows.select(*carried, down.alias("__d")).select(*carried, "__d.found", F.col("__d.front").alias("__front")).write.parquet(f"{root}/{turn}")
+        level = spark.read.parquet(f"{root}/{turn}")
+        found = level.select(*carried, "found")
+        done = found if done is None else done.unionByName(found)
+        rows = level.filter(F.size("__front") > 0).drop("found")
+        if rows.isEmpty():
+            return done
+
+
+def _said(node: Column, field: str) -> Column:
+    """A field's text, null where Python would call it false."""
+    said = F.try_variant_get(node, f"$.{field}", "string")
+    return F.when(~said.isin("", "0", "false", "[]", "{}"), said)
+
+
+def collected_ids(bodies: DataFrame, *carried: str) -> DataFrame:
+    """(carried, kind, id), each once, of the objects in JSON bodies (column body, a string) that are articles in force or sections.
+
+    An object's id is its field id, else cid; its state is etat, and one without that field is in force. Below keys that hold
+    references nothing counts. Malformed bodies have none.
+    """
+    def read(node: Column) -> Column:
+        etat = F.try_variant_get(node, "$.etat", "variant")
+        return F.struct(F.coalesce(_said(node, "id"), _said(node, "cid")).alias("id"), (etat.isNull() | F.coalesce(F.try_variant_get(node, "$.etat", "string").isin("", *IN_FORCE), F.lit(False))).alias("in_force"))
+
+    found = objects(bodies.select(*carried, F.try_parse_json("body").alias("tree")), read)
+    each = found.select(*carried, F.explode("found").alias("o"))
+    kind = F.when(F.col("o.id").rlike(ARTICLE_ID) & F.col("o.in_force"), "article").when(F.col("o.id").rlike(SECTION_ID), "section")
+    return each.select(*carried, kind.alias("kind"), F.col("o.id").alias("id")).filter(F.col("kind").isNotNull()).distinct()
