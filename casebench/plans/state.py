@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from casebench import models
+from casebench.operators import register
 from casebench.plans.registry import Tables, query
 from casebench.session import shared_dir
+from casebench.sources import collections, rest
+from casebench.sources.tables import CaseTables
 from casebench.streaming import loop
 
 
@@ -66,3 +69,94 @@ def stored_cache(t):
     answers = cache.table.read().select("cache_key", F.get_json_object("result_json", "$.round").cast("long").alias("answered_in"))
     keys = work.select("cache_key", "subject", "k", "round").join(answers, "cache_key")
     return keys.groupBy("subject", "k", "answered_in").agg(F.count_if(F.col("round") < F.col("answered_in")).alias("failed"))
+
+
+@query("""WITH e AS (SELECT CAST(label AS VARCHAR) AS c, vec_id AS i FROM embeddings WHERE label IS NOT NULL)
+SELECT 'statutes' AS case_id, 'c' || i AS chunk_id FROM e WHERE i % 4 = 0
+UNION ALL SELECT c, 'dossier-' || c || '-' || i FROM e WHERE i % 4 > 0 AND CASE c WHEN '1' THEN i % 3 = 0 WHEN '2' THEN false WHEN '3' THEN i % 7 = 1 ELSE i % 2 = 1 END""")
+def vector_collection(t):
+    """A collection built anew, two cases replaced, one of them again, and one emptied; no other case changes."""
+    e = t.embeddings.filter("label IS NOT NULL").select("vec_id", "embedding", F.col("label").cast("string").alias("case_id"))
+    own = e.filter("vec_id % 4 > 0").withColumn("chunk_id", F.concat(F.lit("dossier-"), "case_id", F.lit("-"), F.col("vec_id").cast("string")))
+    statutes = e.filter("vec_id % 4 = 0").select("vec_id", "embedding", F.lit(None).cast("string").alias("case_id"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"))
+    vectors = collections.VectorCollection(t.spark, fresh_folder(t, "vectors"))
+    vectors.rebuild(own.filter("vec_id % 2 = 1").unionByName(statutes))
+    vectors.add_cases(own.filter("(case_id = '1' AND vec_id % 3 = 0) OR (case_id = '3' AND vec_id % 5 = 0)"))
+    vectors.add_cases(own.filter("case_id = '3' AND vec_id % 7 = 1"), ["2", "3"])
+    return vectors.read().select("case_id", "chunk_id")
+
+
+@query("""WITH RECURSIVE i AS (SELECT CAST(doc_id AS VARCHAR) AS key, coalesce(source, '?') || ':' || n_chars AS value, md5(text) AS twin FROM documents),
+n AS (SELECT DISTINCT a.key AS a, b.key AS b FROM i a JOIN i b ON a.value = b.value OR a.twin = b.twin),
+r AS (SELECT key AS a, key AS b FROM i UNION SELECT r.a, n.b FROM r JOIN n ON n.a = r.b)
+SELECT a AS key, min(b) AS class FROM r GROUP BY a""")
+def replacement_classes(t):
+    """Documents as identifiers: those of one source and length share a replacement, copies are chained; the classes."""
+    d = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.concat(F.coalesce("source", F.lit("?")), F.lit(":"), F.col("n_chars").cast("string")).alias("value"), F.md5(F.col("text").cast("binary")).alias("twin"))
+    # copies are chained through the first of them
+    firsts = d.groupBy("twin").agg(F.min("key").alias("a"))
+    groups = d.join(firsts, "twin").filter("a <> key").select("a", F.col("key").alias("b"))
+    return register.classes(d.select("key", "value"), groups)
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(source, '?') AS c, coalesce(lang, '?') AS lang, 'v' || (n_chars % 50) AS v FROM documents),
+x AS (SELECT DISTINCT c, v, CASE WHEN v LIKE 'v1%' THEN 'commune' WHEN v LIKE 'v2%' THEN 'voie' ELSE 'personne' END AS kind FROM d),
+s AS (SELECT c, v, kind || '_' || row_number() OVER (PARTITION BY c, kind ORDER BY CASE WHEN kind = 'voie' THEN 'du ' || v ELSE v END) AS slug FROM x)
+SELECT d.c AS "case", CAST(doc_id AS VARCHAR) AS key, slug FROM d JOIN s ON s.c = d.c AND s.v = d.v""")
+def role_designations(t):
+    """Documents as identifiers of the case of their source; the designation that stands for each."""
+    v = F.concat(F.lit("v"), (F.col("n_chars") % 50).cast("string"))
+    extras = t.documents.select(F.coalesce("source", F.lit("?")).alias("case"), F.col("doc_id").cast("string").alias("key"), F.when(v.startswith("v2"), F.concat(F.lit("du "), v)).otherwise(v).alias("value"))
+    return register.role_identifiers(extras, ("v1",), by=("case",))
+
+
+@query("""SELECT page_id, 'ok' AS status, CASE WHEN page_id % 10 = 0 THEN 5 ELSE 1 END AS attempts, url, length(html) AS size FROM pages WHERE page_id % 25 <> 3
+UNION ALL SELECT page_id, 'failed', 5, NULL, NULL FROM pages WHERE page_id % 25 = 3""")
+def rest_pages(t):
+    """Pages asked for from a service that fails, refuses old tokens and answers with what it was asked."""
+    asked = t.pages.select("page_id", F.lit("/page").alias("path"), F.to_json(F.struct("page_id", "url", F.length("html").alias("size"))).alias("payload"))
+    got = rest.fetched(asked, Unsteady(), rate=1e9, sleep=lambda _: None)
+    item = F.from_json("body", "page_id long, url string, size long")
+    ok = F.col("status") == "ok"
+    return got.select("page_id", "status", "attempts", F.when(ok, item["url"]).alias("url"), F.when(ok, item["size"]).alias("size"))
+
+
+class Unsteady:
+    """A local service: every tenth page fails four times, every 25th always; a token is good for seven requests."""
+
+    def __init__(self):
+        self.failed: dict[int, int] = {}
+        self.tokens, self.left = 0, 0
+
+    def token(self) -> tuple[str, float]:
+        self.tokens, self.left = self.tokens + 1, 7
+        return f"t{self.tokens}", 3600.0
+
+    def send(self, path: str, payload: dict, token: str) -> tuple[int, str]:
+        if token != f"t{self.tokens}" or not self.left:
+            return 401, "expired"
+        self.left -= 1
+        page = payload["page_id"]
+        if page % 25 == 3 or (page % 10 == 0 and self.failed.setdefault(page, 0) < 4):
+            self.failed[page] = self.failed.get(page, 0) + 1
+            return 503, "busy"
+        return 200, json.dumps(payload)
+
+
+@query("""WITH f AS (SELECT doc_id, coalesce(source, '?') AS c, lang FROM documents), e AS (SELECT doc_id, quality FROM labels)
+SELECT c AS case_id, count(*) AS rows, count(e.doc_id) AS held, count(*) FILTER (f.doc_id % 3 = 0) AS covered, count(DISTINCT e.quality) AS persons FROM f LEFT JOIN e USING (doc_id) GROUP BY c""")
+def case_tables(t):
+    """Documents as facts, labels as the edges to persons, every third document covered; joined where the buckets lie."""
+    tables = state_tables(t)
+    g = tables.graph()
+    return g.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"), F.count("person_id").alias("held"), F.count("status").alias("covered"), F.count_distinct("person_id").alias("persons"))
+
+
+def state_tables(t: Tables) -> CaseTables:
+    tables = CaseTables(t.spark, f"case_{uuid.uuid4().hex}", fresh_folder(t, "tables"))
+    tables.create()
+    fact = F.col("doc_id").cast("string").alias("fact_id")
+    tables.put("facts", t.documents.select(fact, F.coalesce("source", F.lit("?")).alias("case_id"), F.col("lang").alias("role_id")))
+    tables.put("edges", t.labels.select(fact, F.concat(F.lit("p"), F.col("quality").cast("string")).alias("person_id")))
+    tables.put("coverage", t.documents.filter("doc_id % 3 = 0").select(fact, F.lit("complete").alias("status")))
+    return tables
