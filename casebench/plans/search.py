@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from casebench.functions import scalars
-from casebench.operators import evaluation, retrieval
+from casebench.operators import candidates, evaluation, retrieval
 from casebench.plans.registry import Tables, query
 
 K = 10
@@ -165,3 +165,22 @@ def route_table(t):
     i = F.col("event_id") % 4
     d = t.events.select(F.when(i == 0, "statute_lookup").when(i == 1, "case_factual").when(i == 2, "gap_analysis").otherwise("nonsense").alias("intent"), F.when(F.col("event_id") % 3 == 0, "high").otherwise("sure").alias("confidence"), F.when(F.col("event_type") == "view", "demo").alias("case_id"))
     return retrieval.routed(d).groupBy("intent", "scope", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PAIRS = """w AS (SELECT doc_id, f, list_distinct(list_filter(regexp_split_to_array(x, '[^A-Za-zÀ-ÿ]+'), lambda t: length(t) >= 9)) AS words, list_distinct(list_filter(string_split(x, chr(10)), lambda t: length(t) >= 20)) AS lines FROM (SELECT doc_id, coalesce(source, '') AS f, coalesce(text, '') AS x FROM documents)),
+n AS (SELECT count(*) AS n FROM documents)"""
+
+
+def _pairs_sql(kind: str, k: int) -> str:
+    return f"""{kind}_e AS (SELECT doc_id, f, unnest({kind}) AS key FROM w), {kind}_d AS (SELECT key, count(*) AS df FROM {kind}_e GROUP BY key HAVING count(*) > 1),
+{kind}_p AS (SELECT a.doc_id AS a, b.doc_id AS b, CAST(sum(n.n // d.df) AS BIGINT) AS score, count(*) AS shared FROM {kind}_e a JOIN {kind}_d d ON a.key = d.key JOIN {kind}_e b ON a.key = b.key AND a.doc_id < b.doc_id AND a.f <> b.f, n GROUP BY ALL ORDER BY score DESC, a, b LIMIT {k})"""
+
+
+@query(f"""WITH {_PAIRS}, {_pairs_sql("words", 32)}, {_pairs_sql("lines", 40)}
+SELECT a, b, score, shared, 'keywords' AS found_by FROM words_p UNION ALL SELECT * FROM (SELECT a, b, score, shared, 'discovery' AS found_by FROM lines_p WHERE (a, b) NOT IN (SELECT a, b FROM words_p) ORDER BY score DESC, a, b LIMIT 8)""")
+def duplicate_candidates(t):
+    """The pairs of documents of different sources that share the rarest long words, and of the rest those that share the rarest lines."""
+    d = t.documents.select(F.col("doc_id").alias("entry"), F.col("source").alias("file"), F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split("text", "[^A-Za-zÀ-ÿ]+"), lambda x: F.length(x) >= 9)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 20)
+    return candidates.candidate_pairs(d.select("entry", "file", words.alias("keys")), d.select("entry", "file", lines.alias("keys")))
