@@ -7,11 +7,10 @@ both its entries, rarest first, whose rest weighs less than t.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from casebench.session import shared_dir
+from casebench.session import written
 
 KEYWORD_BUDGET, DISCOVERY_BUDGET = 32, 8
 #: Rounds that raise the score to beat take only keys of so many entries at most; the last takes all.
@@ -19,11 +18,6 @@ ROUNDS = (8, 64, None)
 WIDTH = 15
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def weighed(entries: DataFrame) -> tuple[DataFrame, int]:
     """entry, file and keys (strings, rarest first) of entries (entry, file, keys array), and the number of entries.
 
@@ -58,11 +52,10 @@ def best_pairs(entries: DataFrame, k: int = KEYWORD_BUDGET) -> DataFrame:
     count as one file. Pairs that share no key aren't pairs. Exact; the work is that of the keys that can still lead to a better
     pair, so keys that very many entries have cost nothing once k pairs share rarer ones.
     """
-    folder = f"{shared_dir(entries.sparkSession)}/pairs-{uuid.uuid4().hex}"
     known = entries.select("entry", F.coalesce(F.col("file").cast("string"), F.lit("")).alias("file"), "keys")
     keyed, total = weighed(known)
     weight = lambda x: F.floor(F.lit(total) / entries_with(x))
-    held = _kept(without_twins(keyed, k), folder, "entries")
+    held = written(without_twins(keyed, k), "entries")
     least, best = 0, None
     for turn, most in enumerate(ROUNDS):
         # the first keys: those from which on the keys weigh at least the score to beat
@@ -76,7 +69,7 @@ def best_pairs(entries: DataFrame, k: int = KEYWORD_BUDGET) -> DataFrame:
         both = met.join(keys.withColumnsRenamed({"entry": "a", "keys": "__ka"}), "a").join(keys.withColumnsRenamed({"entry": "b", "keys": "__kb"}), "b")
         shared = F.array_intersect("__ka", "__kb")
         scored = both.select("a", "b", F.aggregate(shared, F.lit(0).cast("long"), lambda acc, x: acc + weight(x)).alias("score"), F.size(shared).cast("long").alias("shared"))
-        best = _kept(scored.orderBy(F.col("score").desc(), "a", "b").limit(k), folder, f"best-{turn}")
+        best = written(scored.orderBy(F.col("score").desc(), "a", "b").limit(k), "best")
         scores = [r.score for r in best.select("score").collect()]  # k numbers
         least = min(scores) if len(scores) == k else 0
     return best

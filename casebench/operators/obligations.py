@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from casebench.functions import scalars
 from casebench.functions.lexicon import fold
 from casebench.functions.text import glob_column, template
+from casebench.session import written
 
 MATCH_FIELDS = ("action", "target", "verbatim_quote", "distilled_context")
 MAX_CANDIDATES = 8
@@ -50,7 +51,7 @@ def catalog(spark, entries: list[tuple[dict, list[dict]]]) -> tuple[DataFrame, D
 
 
 def prepared(facts: DataFrame) -> DataFrame:
-    """fact_id, doc_id, role, day and the folded fields. An evaluation reads them three times; write them first where there are many."""
+    """fact_id, doc_id, role, day and the folded fields."""
     return facts.select("fact_id", F.col("source_doc_id").alias("doc_id"), F.col("actor_role").alias("role"), scalars.iso_date(F.col("date")).alias("day"), *[fold(F.col(f)).alias(f) for f in MATCH_FIELDS])
 
 
@@ -60,100 +61,128 @@ def _has_term(terms: Column, fields: Column) -> Column:
     return (F.size(terms) == 0) | F.exists(terms, lambda t: F.contains(blob, t))
 
 
-#: The role that stands for any, where a catalogue row names none; no role is written so.
-ANY = "*"
-
-
-def _roles_of(roles: Column) -> Column:
-    return F.explode(F.when(F.size(roles) > 0, F.array_distinct(roles)).otherwise(F.array(F.lit(ANY))))
-
+def triggers(obligations: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of each obligation with a trigger that fires: trigger_id, trigger_day, trigger_doc, trigger_ambiguous (more than one date).
 
-def _by_any(facts: DataFrame) -> DataFrame:
-    """Each fact under its role and under ANY, so that one equi-join serves both; the optimiser sends a small catalogue to the tasks."""
-    return facts.withColumn("__of", F.explode(F.array(F.col("role"), F.lit(ANY))))
+    The dated fact chosen by trigger_select: the earliest with the smallest id, or the latest with the largest; without dates the
+    smallest id, with no day. A fact whose role is unsure (column unsure, if there) fires nothing by role. One pass over the
+    facts, one aggregation.
+    """
+    asked = obligations.filter("trigger_terms IS NOT NULL").select("obligation_id", F.col("trigger_roles").alias("roles"), F.col("trigger_terms").alias("any_terms"), F.col("trigger_fields").alias("match_fields"), "trigger_select")
+    met = _met(asked, facts, F.lit(True), "trigger_select")
+    first = F.min(F.struct(F.col("day").isNull().alias("undated"), "day", "fact_id", "doc_id"))
+    last = F.max(F.when(F.col("day").isNotNull(), F.struct("day", "fact_id", "doc_id")))
+    got = met.groupBy("obligation_id").agg(first.alias("f"), last.alias("l"), F.any_value("trigger_select").alias("s"), (F.min("day") != F.max("day")).alias("several"))
+    pick = lambda c: F.when((F.col("s") == "latest") & F.col("l").isNotNull(), F.col(f"l.{c}")).otherwise(F.col(f"f.{c}"))
+    return got.select("obligation_id", pick("fact_id").alias("trigger_id"), pick("day").alias("trigger_day"), pick("doc_id").alias("trigger_doc"), F.coalesce("several", F.lit(False)).alias("trigger_ambiguous"))
 
 
-def triggers(obligations: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of each obligation with a trigger that fires: trigger_id, trigger_day, trigger_doc, trigger_ambiguous (more than one date).
+def _met(asked: DataFrame, facts: DataFrame, also: Column, *kept: str) -> DataFrame:
+    """(obligation_id, kept, fact_id, doc_id, day) where a fact meets a row of asked (roles, any_terms, match_fields) and `also`.
 
-    The dated fact chosen by trigger_select, smallest id on ties; without dates the smallest id, with no day. One join, one
-    aggregation.
+    Rows with roles meet the facts by an equi-join on the role. Those without meet every fact, as they must: they are a part of
+    the catalogue, which was made on the driver, so they go to the tasks that hold the facts, and only hits leave them. A fact
+    whose role is unsure is met by no role.
     """
-    asked = obligations.filter("trigger_terms IS NOT NULL").select("obligation_id", _roles_of(F.col("trigger_roles")).alias("__of"), "trigger_terms", "trigger_fields", "trigger_select")
-    met = _by_any(facts).join(asked, "__of").filter(_has_term(F.col("trigger_terms"), F.col("trigger_fields")))
-    # a later day comes first for 'latest'; undated facts come last
-    rank = F.when(F.col("trigger_select") == "latest", -F.unix_date("day")).otherwise(F.unix_date("day"))
-    first = F.min(F.struct(F.col("day").isNull().alias("undated"), rank.alias("rank"), "fact_id", "day", "doc_id"))
-    got = met.groupBy("obligation_id").agg(first.alias("t"), (F.min("day") != F.max("day")).alias("several"))
-    return got.select("obligation_id", F.col("t.fact_id").alias("trigger_id"), F.col("t.day").alias("trigger_day"), F.col("t.doc_id").alias("trigger_doc"), F.coalesce("several", F.lit(False)).alias("trigger_ambiguous"))
+    held = facts if "unsure" in facts.columns else facts.withColumn("unsure", F.lit(False))
+    out = ["obligation_id", *kept, "fact_id", "doc_id", "day"]
+    term = _has_term(F.col("any_terms"), F.col("match_fields"))
+    by_role = asked.filter(F.size("roles") > 0).withColumn("__role", F.explode(F.array_distinct("roles")))
+    known = held.filter(~F.col("unsure")).join(F.broadcast(by_role), F.col("role") == F.col("__role")).filter(term & also).select(out)
+    anyone = held.join(F.broadcast(asked.filter(F.size("roles") == 0)), term & also).select(out)
+    return known.unionByName(anyone)
 
 
 def instances(obligations: DataFrame, person_roles: DataFrame | None) -> DataFrame:
-    """A row an obligation, or with a foreach a row for each person (person_id, role) of its roles; foreach_role is the person's smallest."""
-    plain = obligations.filter("foreach_roles IS NULL").withColumns({"foreach_key": F.lit(None).cast("string"), "foreach_role": F.lit(None).cast("string")})
+    """A row an obligation, or with a foreach a row for each role of its roles and person (person_id, role) that has it."""
+    plain = obligations.filter("foreach_roles IS NULL").select(*KEPT, F.lit(None).cast("string").alias("foreach_key"), F.lit(None).cast("string").alias("foreach_role"))
     if person_roles is None:
         return plain
-    each = obligations.filter("foreach_roles IS NOT NULL").withColumn("__r", F.explode("foreach_roles")).join(person_roles.select("person_id", F.col("role").alias("__pr")), F.col("__r") == F.col("__pr"))
-    keyed = each.groupBy(*[c for c in obligations.columns if c in KEPT], F.col("person_id").alias("foreach_key")).agg(F.min("__pr").alias("foreach_role"))
-    return plain.select(*keyed.columns).unionByName(keyed)
+    each = obligations.filter("foreach_roles IS NOT NULL").select(*KEPT, F.explode(F.array_distinct("foreach_roles")).alias("foreach_role"))
+    held = person_roles.select(F.col("person_id").alias("foreach_key"), F.col("role").alias("__pr")).distinct()
+    return plain.unionByName(each.join(held, F.col("foreach_role") == F.col("__pr")).select(*KEPT, "foreach_key", "foreach_role"))
 
 
 #: What an instance needs of its obligation before its facts are met.
-KEPT = ("obligation_id", "bearer_roles", "trigger_terms", "doc_id_patterns", "require_gate_status")
+KEPT = ("obligation_id", "bearer_roles", "doc_id_patterns", "require_gate_status")
+
 
+def hits(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, fired: DataFrame) -> DataFrame:
+    """(obligation_id, leaf, branch, bind, fact_id, doc_id, day): the facts that each leaf of a fired obligation hits, as rows.
 
-def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, coverage: DataFrame | None = None, person_facts: DataFrame | None = None, person_roles: DataFrame | None = None, ambiguous: DataFrame | None = None) -> DataFrame:
+    A leaf goes by its own roles, else by the bearers', else (any_actor) by none. An undated fact satisfies any before/after
+    condition. fired: triggers(). Who a bound leaf's facts belong to is not looked at yet.
+    """
+    rules = obligations.select("obligation_id", "bearer_roles", "trigger_terms").join(fired.select("obligation_id", "trigger_id", "trigger_day"), "obligation_id", "left").filter("trigger_terms IS NULL OR trigger_id IS NOT NULL")
+    roles = F.when(F.size("actor_roles") > 0, F.col("actor_roles")).when(~F.col("any_actor"), F.col("bearer_roles")).otherwise(F.array().cast("array<string>"))
+    asked = leaves.join(rules, "obligation_id").select("obligation_id", "leaf", "branch", F.col("bind_to_foreach").alias("bind"), roles.alias("roles"), "any_terms", "match_fields", "after_trigger", "before_or_at_trigger", "trigger_day")
+    in_time = (~F.col("after_trigger") | scalars.after_or_unknown(F.col("day"), F.col("trigger_day"))) & (~F.col("before_or_at_trigger") | scalars.before_or_unknown(F.col("day"), F.col("trigger_day")))
+    return _met(asked, facts, in_time, "leaf", "branch", "bind")
+
+
+def ranked_candidates(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, each: DataFrame, owned: DataFrame) -> DataFrame:
+    """(__i, candidates): of each instance the facts of its bearers that mention most of the obligation's terms, then by id.
+
+    With a foreach only the person's own. MAX_CANDIDATES at most: tasks pass on no more than that of an instance.
+    """
+    terms = leaves.groupBy("obligation_id").agg(F.flatten(F.collect_list("any_terms")).alias("terms"))
+    bearers = obligations.join(terms, "obligation_id").select("obligation_id", "terms", F.explode(F.array_distinct("bearer_roles")).alias("__role"))
+    found = F.size(F.filter("terms", lambda t: F.contains(F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in MATCH_FIELDS]), t)))
+    pool = facts.join(F.broadcast(bearers), F.col("role") == F.col("__role")).select("obligation_id", "fact_id", found.alias("found"))
+    loose = each.filter("foreach_key IS NULL").select("__i", "obligation_id").join(pool, "obligation_id")
+    tied = each.filter("foreach_key IS NOT NULL").select("__i", "obligation_id", F.col("foreach_key").alias("__p")).join(pool.join(owned, F.col("fact_id") == F.col("__f")), ["obligation_id", "__p"])
+    both = loose.select("__i", "fact_id", "found").unionByName(tied.select("__i", "fact_id", "found"))
+    first = both.withColumn("__n", F.row_number().over(W.partitionBy("__i").orderBy(F.col("found").desc(), "fact_id"))).filter(F.col("__n") <= MAX_CANDIDATES)
+    return first.groupBy("__i").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "fact_id"))), lambda x: x["fact_id"]).alias("candidates"))
+
+
+def evaluate(obligations: DataFrame, leaves: DataFrame, facts: DataFrame, coverage: DataFrame | None = None, person_facts: DataFrame | None = None, person_roles: DataFrame | None = None, ambiguous: DataFrame | None = None, with_matched: bool = True) -> DataFrame:
     """One row an obligation and foreach instance: status, matched, candidates, breach_days, scope and coverage.
 
     facts: prepared(); coverage (doc_id, status); person_facts (person_id, fact_id); ambiguous (fact_id): left out where a
-    leaf goes by role. An undated fact satisfies any before/after condition but makes no deadline late. Facts meet the leaves
-    in one join by role and are summed up by instance; nothing is kept in memory.
+    leaf goes by role. An undated fact makes no deadline late. Hits are counted by leaf before instances meet them, so an
+    instance that every fact satisfies is a few partial sums. The lists of matched facts are as long as there are hits;
+    without with_matched they are null, and hits() has them as rows. The folded facts, the triggers and the hits are written to
+    the shared folder, as several branches read them.
     """
     if ambiguous is not None:
-        facts = facts.join(ambiguous.select("fact_id", F.lit(True).alias("unsure")).distinct(), "fact_id", "left").withColumn("unsure", F.coalesce("unsure", F.lit(False)))
+        facts = facts.join(ambiguous.select(F.col("fact_id").alias("__f"), F.lit(True).alias("unsure")).distinct(), F.col("fact_id") == F.col("__f"), "left").withColumn("unsure", F.coalesce("unsure", F.lit(False))).drop("__f")
     else:
         facts = facts.withColumn("unsure", F.lit(False))
-    fired = triggers(obligations, facts)
-    instance = F.concat_ws("|", "obligation_id", F.concat(F.lit("="), "foreach_key")).alias("__i")
-    each = instances(obligations, person_roles).select(*KEPT, "foreach_key", "foreach_role", instance).join(fired, "obligation_id", "left")
-    each = each.withColumn("fires", F.col("trigger_terms").isNull() | F.col("trigger_id").isNotNull())
-
-    # an evidence leaf goes by its own roles, else by the bearers', else (any_actor) by none
-    roles = F.when(F.size("actor_roles") > 0, F.col("actor_roles")).when(~F.col("any_actor"), F.col("bearer_roles")).otherwise(F.array().cast("array<string>"))
-    asked = leaves.join(each, "obligation_id").withColumn("roles", roles)
-    asked = asked.select("*", _roles_of(F.col("roles")).alias("__of"))
-    near = _by_any(facts).withColumnRenamed("__of", "__fact_of")
-    if person_facts is not None:
-        bound = person_facts.select(F.col("person_id").alias("__p"), F.col("fact_id").alias("__f")).groupBy("__f").agg(F.collect_set("__p").alias("__persons"))
-        near = near.join(bound, F.col("fact_id") == F.col("__f"), "left").drop("__f")
-    else:
-        near = near.withColumn("__persons", F.lit(None).cast("array<string>"))
-    own = ~F.col("bind_to_foreach") | F.coalesce(F.array_contains("__persons", F.col("foreach_key")), F.lit(False))
-    in_time = (~F.col("after_trigger") | scalars.after_or_unknown(F.col("day"), F.col("trigger_day"))) & (~F.col("before_or_at_trigger") | scalars.before_or_unknown(F.col("day"), F.col("trigger_day")))
-    met = (F.col("__of") == F.col("__fact_of")) & F.col("fires") & ((F.col("__of") == ANY) | ~F.col("unsure")) & own & in_time
-    term_hits = F.size(F.filter("any_terms", lambda t: F.contains(F.concat_ws(" ", *MATCH_FIELDS), t)))
-    hit = F.col("fact_id").isNotNull() & _has_term(F.col("any_terms"), F.col("match_fields"))
-    head = ["obligation_id", "foreach_key", "foreach_role", "trigger_id", "trigger_day", "trigger_ambiguous", "fires"]
-    # a row an instance and fact (or one without a fact), with the leaves that it hits
-    per_fact = asked.join(near, met, "left").groupBy("__i", "fact_id").agg(F.any_value(F.struct(*head)).alias("e"), F.max(term_hits).alias("th"), F.collect_set(F.when(hit, F.col("leaf"))).alias("hits"), F.any_value("day").alias("day"))
-    ranked = per_fact.withColumn("__n", F.row_number().over(W.partitionBy("__i").orderBy(F.col("fact_id").isNull(), F.col("th").desc(), "fact_id")))
-    got = ranked.groupBy("__i").agg(
-        F.any_value("e").alias("e"), F.array_sort(F.collect_list(F.when(F.size("hits") > 0, F.struct("fact_id", "day", "hits")))).alias("hits"),
-        F.transform(F.array_sort(F.collect_list(F.when((F.col("__n") <= MAX_CANDIDATES) & F.col("fact_id").isNotNull(), F.struct("__n", "fact_id")))), lambda x: x["fact_id"]).alias("candidates"))
-    rules = leaves.groupBy("obligation_id").agg(F.collect_list(F.struct("leaf", "branch", "min_count")).alias("leaves"))
-    out = got.select("__i", "e.*", "hits", "candidates").join(rules, "obligation_id").join(obligations, "obligation_id")
+    facts = written(facts, "facts")
+    none = F.array().cast("array<string>")
+    owned = person_facts.select(F.col("person_id").alias("__p"), F.col("fact_id").alias("__f")).distinct() if person_facts is not None else facts.select(F.col("role").alias("__p"), F.col("fact_id").alias("__f")).limit(0)
+    fired = written(triggers(obligations, facts), "fired")
+    instance = F.concat_ws("|", "obligation_id", F.concat(F.lit("="), "foreach_role"), F.concat(F.lit("="), "foreach_key")).alias("__i")
+    each = instances(obligations, person_roles).select("*", instance).join(fired, "obligation_id", "left")
+    met = written(hits(obligations, leaves, facts, fired), "hits")
+    tied = met.filter("bind").join(owned, F.col("fact_id") == F.col("__f"))
+    count = [F.count(F.lit(1)).alias("n"), F.min("day").alias("day")]
+    loose_n = met.filter("NOT bind").groupBy("obligation_id", "leaf").agg(*count).select("obligation_id", "leaf", F.lit(None).cast("string").alias("__p"), "n", "day")
+    counts = loose_n.unionByName(tied.groupBy("obligation_id", "leaf", "__p").agg(*count))
+    asked = each.select("__i", "obligation_id", "foreach_key").join(leaves.select("obligation_id", "leaf", "branch", "min_count", "bind_to_foreach"), "obligation_id")
+    asked = asked.withColumn("__of", F.when(F.col("bind_to_foreach"), F.col("foreach_key")))
+    counts = counts.withColumnsRenamed({"obligation_id": "__o", "leaf": "__l"})
+    counted = asked.join(counts, (F.col("obligation_id") == F.col("__o")) & (F.col("leaf") == F.col("__l")) & F.col("__of").eqNullSafe(F.col("__p")), "left")
+    enough = F.coalesce("n", F.lit(0)) >= F.col("min_count")
+    of = lambda b: F.col("branch") == b
+    sums = counted.groupBy("__i").agg(
+        (F.bool_and(~of("all_of") | enough) & (~F.bool_or(of("any_of")) | F.bool_or(of("any_of") & enough)) & ~F.bool_or(of("none_of") & enough)).alias("holds"), F.min(F.when(~of("none_of"), F.col("day"))).alias("evidence_day"))
+    out = each.drop(*[c for c in KEPT if c != "obligation_id"]).join(sums, "__i").join(obligations, "obligation_id")
     out = out.join(scoped(each, facts, coverage, obligations.filter(F.size("doc_id_patterns") > 0).isEmpty()), "__i", "left")
-    holds = lambda x: F.size(F.filter("hits", lambda h: F.array_contains(h["hits"], x["leaf"]))) >= x["min_count"]
-    of = lambda branch: F.filter("leaves", lambda x: x["branch"] == branch)
-    all_ok, any_ok, none_hit = F.forall(of("all_of"), holds), (F.size(of("any_of")) == 0) | F.exists(of("any_of"), holds), F.exists(of("none_of"), holds)
-    counted = F.transform(F.filter("leaves", lambda x: x["branch"] != "none_of"), lambda x: x["leaf"])
-    used = F.filter("hits", lambda h: F.arrays_overlap(h["hits"], counted))
-    out = out.withColumns({"holds": all_ok & any_ok & ~none_hit, "used": used}).withColumns({"matched": F.transform("used", lambda h: h["fact_id"]), "evidence_day": F.array_min(F.transform("used", lambda h: h["day"]))})
+    out = out.join(ranked_candidates(obligations, leaves, facts, each, owned), "__i", "left")
+    if with_matched:
+        loose_ids = met.filter("NOT bind AND branch <> 'none_of'").groupBy("obligation_id").agg(F.collect_set("fact_id").alias("__loose"))
+        tied_ids = tied.filter("branch <> 'none_of'").groupBy(F.col("obligation_id").alias("__o"), "__p").agg(F.collect_set("fact_id").alias("__tied"))
+        out = out.join(loose_ids, "obligation_id", "left").join(tied_ids, (F.col("obligation_id") == F.col("__o")) & (F.col("foreach_key") == F.col("__p")), "left")
+        matched = F.array_sort(F.array_union(F.coalesce("__loose", none), F.coalesce("__tied", none)))
+    else:
+        matched = F.lit(None).cast("array<string>")
+    fires = F.col("trigger_terms").isNull() | F.col("trigger_id").isNotNull()
     due = F.date_add("trigger_day", F.col("deadline_days"))
     late = F.col("deadline_days").isNotNull() & F.col("trigger_day").isNotNull() & ~F.coalesce("trigger_ambiguous", F.lit(False)) & (F.col("evidence_day") > due)
-    status = F.when(~F.col("fires"), "not_triggered").when(F.col("holds"), F.when(F.coalesce(late, F.lit(False)), "window_breach").otherwise("satisfied")).when(F.coalesce("verified_docs", F.lit(0)) > 0, "gap").otherwise("unverifiable")
-    none = F.array().cast("array<string>")
-    return out.select("obligation_id", "foreach_key", "foreach_role", "rule_version", "title", "severity", "externalisable", "claim_template", "absence_tier_cap", "presence_tier_cap", status.alias("status"), "matched", "candidates",
+    status = F.when(~fires, "not_triggered").when(F.col("holds"), F.when(F.coalesce(late, F.lit(False)), "window_breach").otherwise("satisfied")).when(F.coalesce("verified_docs", F.lit(0)) > 0, "gap").otherwise("unverifiable")
+    return out.select("obligation_id", "foreach_key", "foreach_role", "rule_version", "title", "severity", "externalisable", "claim_template", "absence_tier_cap", "presence_tier_cap", status.alias("status"), matched.alias("matched"), F.when(fires, F.coalesce("candidates", none)).otherwise(none).alias("candidates"),
                       "trigger_id", "trigger_day", F.coalesce("trigger_ambiguous", F.lit(False)).alias("trigger_ambiguous"), F.when(status == "window_breach", F.datediff("evidence_day", due)).alias("breach_days"), F.coalesce("scope_docs", none).alias("scope_docs"), F.coalesce("verified_docs", F.lit(0)).cast("int").alias("verified_docs"), F.lit(coverage is not None).alias("coverage_known"))
 
 
@@ -206,7 +235,7 @@ def capped(tier: Column, basis: Column, adjudicated: Column, cap: Column) -> Col
 
 def findings(evaluations: DataFrame, facts: DataFrame, coverage: DataFrame | None = None, defective: DataFrame | None = None, adjudicated: DataFrame | None = None) -> DataFrame:
     """Findings of evaluations that were triggered: id, subject, claim, evidence, tier and basis, severity, confidence, pointers."""
-    key = ["obligation_id", "foreach_key"]
+    key = ["obligation_id", "foreach_role", "foreach_key"]
     on = evaluations.filter("status <> 'not_triggered'")
     presence = F.col("status").isin("satisfied", "window_breach")
     used = on.select(*key, F.explode_outer(F.when(presence, F.col("matched")).otherwise(F.col("candidates"))).alias("fact_id")).join(facts.select("fact_id", "doc_id"), "fact_id", "left")
@@ -214,16 +243,21 @@ def findings(evaluations: DataFrame, facts: DataFrame, coverage: DataFrame | Non
     used = used.join(coverage.filter("status = 'ok'").select("doc_id", F.lit(1).alias("ok")).distinct(), "doc_id", "left") if coverage is not None else used.withColumn("ok", F.lit(None).cast("int"))
     stats = used.groupBy(*key).agg(F.count("bad").alias("n_bad"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id") == F.count_distinct(F.when(F.col("ok") == 1, F.col("doc_id")))).alias("docs_ok"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
     j = _null_safe(on, stats, key)
-    j = _null_safe(j, adjudicated.select(*key, F.lit(True).alias("__adj")).distinct(), key) if adjudicated is not None else j.withColumn("__adj", F.lit(False))
+    j = _null_safe(j, adjudicated.select("obligation_id", "foreach_key", F.lit(True).alias("__adj")).distinct(), ["obligation_id", "foreach_key"]) if adjudicated is not None else j.withColumn("__adj", F.lit(False))
     base = tier_of(F.col("status"), F.size("matched"), F.col("n_bad"), F.col("n_docs"), F.col("docs_ok"), F.col("coverage_known"), F.size("scope_docs"), F.col("verified_docs"))
     j = j.withColumn("__t", base).withColumn("__t", capped(F.col("__t.tier"), F.col("__t.basis"), F.coalesce("__adj", F.lit(False)), F.when(presence, F.col("presence_tier_cap")).otherwise(F.col("absence_tier_cap"))))
     suffix = F.when(F.col("foreach_key").isNotNull(), F.concat(F.lit(" ("), "foreach_role", F.lit(" : "), "foreach_key", F.lit(")"))).otherwise("")
     frames = {"satisfied": "Exécution attestée : ", "window_breach": "Exécution tardive : ", "unverifiable": "Exécution non vérifiable : "}
     framed = F.coalesce(*[F.when(F.col("status") == s, F.concat(F.lit(f), "title", suffix)) for s, f in frames.items()])
     claim = F.when(F.col("status") == "gap", template(F.col("claim_template"), foreach_role=F.col("foreach_role"), foreach_key=F.col("foreach_key"), title_fr=F.col("title"))).otherwise(framed)
-    subject = F.concat_ws("|", "obligation_id", "foreach_key")
+    subject = F.concat_ws("|", "obligation_id", "foreach_role", "foreach_key")
     good = F.col("status") == "satisfied"
-    evidence = F.concat_ws(" · ", F.concat(F.lit("statut="), "status"), F.concat(F.lit("faits="), F.nullif(F.array_join("matched", ","), F.lit(""))), F.concat(F.lit("retard="), F.col("breach_days").cast("string"), F.lit("j")), F.concat(F.lit("périmètre="), F.col("verified_docs").cast("string"), F.lit("/"), F.size("scope_docs").cast("string")))
+    listed = lambda head, ids: F.when(F.size(ids) > 0, F.concat(F.lit(head), F.array_join(F.slice(ids, 1, 6), ", ")))
+    date = F.concat(F.lit("déclencheur="), "trigger_id", F.lit(" ("), F.coalesce(F.col("trigger_day").cast("string"), F.lit("sans date")), F.lit(")"))
+    untested = F.when(F.col("trigger_ambiguous"), "échéance non testée : date du fait déclencheur ambiguë dans le dossier")
+    evidence = F.concat_ws(
+        " · ", F.concat(F.lit("statut="), "status"), F.concat(F.lit("faits_retenus="), F.size("matched").cast("string")), F.concat(F.lit("périmètre="), F.col("verified_docs").cast("string"), F.lit("/"), F.size("scope_docs").cast("string"), F.lit(" document(s) vérifié(s)")),
+        date, F.coalesce(F.concat(F.lit("retard="), F.col("breach_days").cast("string"), F.lit(" jour(s)")), untested), F.coalesce(listed("faits=", F.col("matched")), listed("candidats=", F.col("candidates"))))
     return j.select(scalars.short_id(F.lit("check"), subject, claim).alias("id"), F.lit("check").alias("pass_name"), subject.alias("subject"), claim.alias("claim"), evidence.alias("evidence"), F.col("__t.tier").alias("tier"), F.col("__t.basis").alias("tier_basis"),
                     F.when(good, "info").otherwise(F.col("severity")).alias("severity"), F.when(F.col("__t.tier").isin("T1", "T2", "T3"), "high").otherwise("low").alias("confidence"), "status", "obligation_id", "rule_version", (F.col("externalisable") & ~good).alias("externalisable"),
                     F.struct(F.col("matched").alias("fact_ids"), F.coalesce("doc_ids", F.array().cast("array<string>")).alias("doc_ids"), F.when(F.col("foreach_key").isNotNull(), F.array("foreach_key")).otherwise(F.array().cast("array<string>")).alias("person_ids"), F.col("candidates").alias("candidate_fact_ids"), F.col("scope_docs").alias("scope_doc_ids"), F.col("trigger_id").alias("trigger_fact_id")).alias("evidence_pointers"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from casebench.functions import phrases, text
-from casebench.session import shared_dir
+from casebench.session import written
 
 # Roles that say where a person stands in a case and not what office they hold, and words that mark a place.
 WEAK_ROLES = (
@@ -20,11 +19,6 @@ WEAK_ROLES = (
 PLACE_MARKERS = ("commune", "voie", "lieu")
 
 
-def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) of an undirected graph (a, b): the least node that can be reached; nodes (node) adds those without edges.
 
@@ -33,22 +27,20 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     its shuffle, and a join; its edges are written to the shared folder, so a node with a third of all edges is split by
     adaptive execution and a lost executor costs a task. Only three numbers a round reach the driver. A null node is in no edge.
     """
-    spark = edges.sparkSession
-    folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
     # from the larger to the smaller
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     every = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    now, before, turn = _kept(now, folder, "edges"), None, 0
+    now, before, turn = written(now, "edges"), None, 0
     while True:
         # large star: a node's larger neighbours go to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _kept(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), folder, f"large-least-{turn}")
-        large = _kept(both.filter("v > u").join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), folder, f"large-{turn}")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "large-least")
+        large = written(both.filter("v > u").join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: a node and its smaller neighbours go to the least of them
-        least = _kept(large.groupBy("u").agg(F.min("v").alias("m")), folder, f"small-least-{turn}")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "small-least")
         moved = large.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _kept(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), folder, f"edges-{turn}")
+        now = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         if before == after:
             break
@@ -79,8 +71,7 @@ def in_order(df: DataFrame, group: list[str], order: list[str], out: str) -> Dat
     Rows are dealt out by ranges of (group, order), so a group with a third of all rows is numbered by many tasks; ranges' counts,
     a row for each task and group, say where each begins. The dealt rows are written to the shared folder first.
     """
-    folder = f"{shared_dir(df.sparkSession)}/order-{uuid.uuid4().hex}"
-    dealt = _kept(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), folder, "dealt")
+    dealt = written(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "dealt")
     before = W.partitionBy(*[f"__g{i}" for i in range(len(group))]).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

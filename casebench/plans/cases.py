@@ -113,11 +113,11 @@ def case_evaluation(t):
 
 
 @query(f"""WITH {_CASE_SQL} SELECT 'o' || substr(role, 2) AS obligation_id, status, CASE WHEN status IN ('satisfied', 'window_breach') THEN CASE WHEN docs >= 2 AND docs_ok THEN 'T1' ELSE 'T2' END WHEN verified = scope THEN 'T3' WHEN verified = 0 THEN 'T5' ELSE 'T4' END AS tier,
-  'statut=' || status || ' · ' AS head, CASE status WHEN 'gap' THEN 'Rien n''atteste ' || role WHEN 'satisfied' THEN 'Exécution attestée : ' || role WHEN 'window_breach' THEN 'Exécution tardive : ' || role ELSE 'Exécution non vérifiable : ' || role END AS claim FROM v WHERE fires AND hits >= 3""")
+  'statut=' || status || ' · ' AS head, CASE status WHEN 'gap' THEN 'Rien n''atteste ' || role WHEN 'satisfied' THEN 'Exécution attestée : ' || role WHEN 'window_breach' THEN 'Exécution tardive : ' || role ELSE 'Exécution non vérifiable : ' || role END AS claim FROM v WHERE fires""")
 def case_findings(t):
-    """Findings of the evaluations that are met; the tiers of the rest depend on their candidates' documents only if defective."""
+    """The findings of all obligations that were triggered, met or not."""
     evaluations, facts, coverage = case(t)
-    made = obligations.findings(evaluations.filter("status IN ('satisfied', 'window_breach')"), facts, coverage)
+    made = obligations.findings(evaluations, facts, coverage)
     return made.select("obligation_id", "status", "tier", F.left("evidence", F.length("status") + 10).alias("head"), "claim")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "casebench", **conf: str) -> SparkSession:
@@ -25,3 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="casebench-")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: what several branches of a plan read is computed once.
+
+    An application's tables are below one folder there, to be deleted when it has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/casebench-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
