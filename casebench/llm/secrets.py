@@ -99,24 +99,47 @@ def ratio(token: Column, ratios: Ratios) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), F.lit(0.0), lambda total, i: total + F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int")))
 
 
-def segment(token: Column, ratios: Ratios) -> Column:
-    """struct<best, start, stop> of the token's segment of the largest log-likelihood ratio (positions from 0)."""
+SEGMENTS = "array<struct<best:double,start:int,stop:int>>"
+
+
+def segments(token: Column, ratios: Ratios, prior: float) -> Column:
+    """array<struct<best, start, stop>>: the token's segments whose log-likelihood ratio is over the prior (positions from 0).
+
+    A segment begins where the running ratio last rose from zero, and ends at its peak, once the ratio has fallen to zero or by
+    the prior below it: an ordinary stretch as unlike a key as a key is unlike it parts two keys.
+    """
     table = F.lit(np.array(ratios.table))
     codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    state = lambda total, begin, best, start, stop: F.struct(total.alias("total"), begin.alias("begin"), best.alias("best"), start.alias("start"), stop.alias("stop"))
+    limit = F.lit(prior)
+
+    def closed(acc: Column) -> Column:
+        one = F.array(F.struct(acc["peak"].alias("best"), acc["begin"].alias("start"), acc["stop"].alias("stop")))
+        return F.when(acc["peak"] > limit, F.concat(acc["out"], one)).otherwise(acc["out"])
 
     def step(acc: Column, i: Column) -> Column:
         add = F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int"))
-        total = F.greatest(acc["total"], F.lit(0.0)) + add
-        begin = F.when(acc["total"] > 0, acc["begin"]).otherwise(i - 1)
-        more = total > acc["best"]
-        return state(total, begin, F.greatest(total, acc["best"]), F.when(more, begin).otherwise(acc["start"]), F.when(more, i + 1).otherwise(acc["stop"]))
+        # over: the running ratio is spent, or far enough below a peak that counts
+        over = (acc["total"] <= 0) | ((acc["peak"] > limit) & (acc["peak"] - acc["total"] > limit))
+        total = F.when(over, F.lit(0.0)).otherwise(acc["total"]) + add
+        peak = F.when(over, F.lit(0.0)).otherwise(acc["peak"])
+        return F.struct(total.alias("total"), F.when(over, i - 1).otherwise(acc["begin"]).alias("begin"), F.greatest(total, peak).alias("peak"), F.when(total > peak, i + 1).otherwise(acc["stop"]).alias("stop"), F.when(over, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("begin"), F.lit(0.0).alias("peak"), F.lit(0).alias("stop"), F.array().cast(SEGMENTS).alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), none, step, closed)
+
+
+def joined(found: Column) -> Column:
+    """Spans of one token in order, those that overlap as one."""
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), F.lit("").alias("value"))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0)), step)
+    return F.when(F.size(found) < 2, found).otherwise(F.aggregate(found, F.array().cast(SPAN), add))
 
 
 def within(s: Column, ratios: Ratios, prior: float) -> Column:
-    """The spans (start, stop, value) of a token: the whole if it is random, else its most random segment, out to the next of / . = _ -"""
+    """The spans (start, stop, value) of a token: the whole if it is random, else its random segments, out to the next of / . = _ -"""
     value = s["value"]
     distinct = lambda v: F.size(F.array_distinct(F.split(v, "")))
 
@@ -131,9 +154,9 @@ def within(s: Column, ratios: Ratios, prior: float) -> Column:
         start = best["start"] - before + F.when(ordinary, F.length(head)).otherwise(0)
         stop = best["stop"] + after
         one = F.struct((s["start"] + start).alias("start"), (s["start"] + stop).alias("stop"), F.substring(value, start + 1, stop - start).alias("value"))
-        return F.when(best["best"] > prior, F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))).otherwise(F.array().cast(SPAN))
+        return F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))
 
-    part = F.flatten(F.transform(F.array(segment(value, ratios)), cut))
+    part = joined(F.flatten(F.transform(segments(value, ratios, prior), cut)))
     return F.when(distinct(value) < LEAST_DISTINCT, F.array().cast(SPAN)).when(ratio(value, ratios) > prior, F.array(s)).otherwise(part)
 
 
@@ -187,8 +210,8 @@ def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[s
 
     Base spans are leftmost and don't overlap within a kind; a match whose value is too short is dropped after it is found.
     What base spans leave of a token, if still long enough, is a span of kind random if its log-likelihood ratio is over the
-    prior, or else its most random segment is, out to the next separator, if that one's is. Time grows with the text and its
-    spans: no array or text is copied for each. Nothing is shuffled; null doc_ids and repeated rows are scanned like others,
+    prior, or else each of its segments whose own is, out to the next separators; spans of a token that overlap are one. Time
+    grows with the text and its spans: no array or text is copied for each. Nothing is shuffled; null doc_ids and repeated rows are scanned like others,
     texts of any length whole; a carried column must not be named text, base, spans or hidden, nor __ and assign, access,
     hex, left, tokens, token or random.
     """
@@ -212,9 +235,10 @@ def scan(docs: DataFrame, ratios: Ratios, prior: float = PRIOR, carried: tuple[s
     out = out.withColumn("__random", F.transform("__token", lambda s: within(s, ratios, prior)))
 
     def hide(token: Column, found: Column) -> Column:
-        one = F.element_at(found, 1)
-        at, size, value = one["start"] - token["start"], one["stop"] - one["start"], token["value"]
-        return F.when(F.size(found) == 0, value).otherwise(F.concat(F.substring(value, F.lit(1), at), F.repeat(F.lit(COVERED[3]), size), F.substring(value, at + size + 1, F.length(value))))
+        value, first = token["value"], token["start"]
+        cut = lambda acc, one: F.struct(one["stop"].alias("at"), F.concat(acc["out"], F.substring(value, acc["at"] - first + 1, one["start"] - acc["at"]), F.repeat(F.lit(COVERED[3]), one["stop"] - one["start"])).alias("out"))
+        rest = lambda acc: F.concat(acc["out"], F.substring(value, acc["at"] - first + 1, F.length(value)))
+        return F.when(F.size(found) == 0, value).otherwise(F.aggregate(found, F.struct(first.alias("at"), F.lit("").alias("out")), cut, rest))
 
     pieces = F.zip_with(gaps(F.col("__left"), TOKEN), F.zip_with("__token", "__random", hide), lambda gap, token: F.concat(gap, F.coalesce(token, F.lit(""))))
     hidden = F.when(F.size("__token") > 0, F.array_join(pieces, "")).otherwise(F.col("__left"))

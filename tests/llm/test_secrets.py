@@ -84,6 +84,38 @@ def test_key_at_the_end_of_a_path(spark, ratios):
         assert kind == "random" and at - len(b.rstrip("/=").split("/")[-1].split(".")[-1]) - 1 <= int(start) <= at and int(stop) == at + len(key)
 
 
+def test_two_and_three_keys_in_one_token(spark, ratios):
+    """Every key is covered whatever stands between; where that is long, it stays in the redacted text."""
+    import random
+
+    rng = random.Random(7)
+    draw = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    paths = ["/src/main/resources/config/container/", ".internal.service.client.session.", "/storage/download/container/document/", "=connection_timeout_handler="]
+    texts, keys = [], []
+    for i in range(40):
+        own = [draw(rng.randrange(22, 40)) for _ in range(2 + i % 2)]
+        texts.append("see " + "".join(k + paths[(i + j) % 4] * (1 if i < 20 else 4) for j, k in enumerate(own[:-1])) + own[-1] + " now")
+        keys.append(own)
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios)
+    rows_ = found.select("doc_id", secrets.written(found.spans).alias("spans"), secrets.redacted(found.hidden).alias("clean")).collect()
+    held = kept = 0
+    for r in rows_:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+        assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        at = [(texts[r.doc_id].index(k), texts[r.doc_id].index(k) + len(k)) for k in keys[r.doc_id]]
+        held += all(any(a <= x and y <= b for a, b in spans) for x, y in at)
+        kept += r.doc_id >= 20 and len(spans) == len(at)
+        covered = "".join("\0" if any(a <= i < b for a, b in spans) else c for i, c in enumerate(texts[r.doc_id]))
+        assert r.clean == re.sub("\0+", "[SECRET]", covered)
+    assert held == 40 and kept >= 18
+
+
+def test_no_span_on_paths_and_names(spark, ratios):
+    plain = ["/usr/local/share/container/document/resource/handler/session", "com.example.service.connection.factory.builder.instance", "update_account_information_and_validate_response_header", "/home/user/projects/website/static/images/background/header"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    assert all(r.spans == "" for r in secrets.secret_spans(docs, ratios).collect())
+
+
 def test_many_spans_in_one_text(spark, ratios):
     """All are found where they are, and time grows with the text: 8 times the spans, well below 64 times the seconds."""
     import time
