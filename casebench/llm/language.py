@@ -120,13 +120,17 @@ def predicted(batches: Iterator[pa.RecordBatch], filters: Filters, carried: list
 
 
 def learned(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
-    """Filters from labelled (doc_id, text, lang): of each language about sample_docs texts, picked by a hash of doc_id."""
+    """Filters from labelled (doc_id, text, lang): of each language about sample_docs texts, picked by a hash of doc_id (of the
+    text where it is null). The share is sample_docs in as many as there are, in whole numbers, so that a language of any size
+    is learned; one of at most sample_docs texts is learned from all of them.
+    """
     labelled = labelled.filter("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return fit([])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_docs / n) * 1_000_000))])
-    picked = labelled.filter(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("doc_id", "lang", "text")
+    total = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, n)])
+    mark = F.xxhash64(F.lit("lang"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    picked = labelled.filter(F.pmod(mark, total[F.col("lang")]) < sample_docs).select("doc_id", "lang", "text")
     rows = sorted((r.lang, r.text) for r in picked.limit(2 * sample_docs * len(sizes)).collect())
     return fit(rows, sizes=sizes)
 

@@ -133,10 +133,12 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fit on about sample_rows of the documents that have a grade, picked by a hash of doc_id."""
+    """Fit on about sample_rows of the documents that have a grade, picked by a hash of doc_id: sample_rows in as many as there
+    are, in whole numbers, so that no size leaves none. All of them, if there are no more.
+    """
     graded = labels.filter(f"doc_id is not null and {grade} is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max(grade).cast("int").alias("grade"))
-    part = int(min(1.0, sample_rows / max(graded.count(), 1)) * 1_000_000)
-    picked = F.broadcast(graded.filter(F.pmod(F.xxhash64(F.lit("grade"), "of"), F.lit(1_000_000)) < part).limit(2 * sample_rows))
+    total = max(graded.count(), 1)
+    picked = F.broadcast(graded.filter(F.pmod(F.xxhash64(F.lit("grade"), "of"), F.lit(total).cast("long")) < sample_rows).limit(2 * sample_rows))
     rows = texts(docs).join(picked, F.col("doc_id") == F.col("of")).select("grade", "text").mapInArrow(featured, "grade int, features array<int>").toArrow()
     lists = rows.column("features").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())

@@ -84,3 +84,19 @@ def test_predictions_by_brute_force(spark, sf):
         elif not share[want]:
             want = commonest
         assert got[r.doc_id].lang_pred == want and abs(got[r.doc_id].score - share.get(want, 0)) < 1e-9
+
+
+def test_sampling_in_whole_numbers(spark):
+    """Hash modulo size below the sample's size: about as many rows at any size, also where millionths would round to none."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(200_000).select(F.xxhash64(F.lit("lang"), "id").alias("h"))
+    for n in (200_000, 7 * 10**8, 10**12):
+        k = n // 400  # of 200,000 rows of a table of n
+        assert 350 < ids.filter(F.pmod("h", F.lit(n)) < k).count() < 650
+    rows = [(None, f"der hund {i} und die katze", "de") for i in range(50)] + [(None, f"the dog {i} and the cat", "en") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.learned(frame, sample_docs=10)
+    assert filters.languages == ["de", "en"] or tuple(filters.languages) == ("de", "en")
+    got = language.identify_languages(frame.select("doc_id", "text"), filters).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"de": 50, "en": 3}
