@@ -265,6 +265,8 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 TABLES, TABLE_BITS = 32, 32
 SIMILARITY, SHINGLE = 0.8, 5
+#: Shingles up to which a text is also compared by the shingles themselves: of so few, bits differ too much by chance.
+FEW = 80
 #: Standard deviations beyond which the bits rule a pair out.
 HOPELESS = 3.0
 #: Rows of a document that one round of tables shuffles, and pairs that are judged at once.
@@ -290,8 +292,11 @@ def hashes_of(text: bytes, shingle: int) -> np.ndarray:
 
 def sketch(text: bytes, tables: int, shingle: int) -> bytes:
     """The majority bits of all tables over the set of the text's shingles; zero without words."""
+    return bits_of(hashes_of(text, shingle), tables)
+
+
+def bits_of(h: np.ndarray, tables: int) -> bytes:
     out = np.zeros(tables * TABLE_BITS // 64, np.uint64)
-    h = hashes_of(text, shingle)
     if len(h):
         for k in range(len(out)):
             x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
@@ -302,12 +307,14 @@ def sketch(text: bytes, tables: int, shingle: int) -> bytes:
 
 def sketches(batches: Iterator[pa.RecordBatch], tables: int, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, hashes = [], []
+        out, few = [], []
         for _, _, data, offsets in spans_of_bytes(batch):
             raw = data.tobytes()
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                out.append(sketch(raw[a:b], tables, shingle))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary())], names=["doc_id", "text_hash", "bits"])
+                h = hashes_of(raw[a:b], shingle)
+                out.append(bits_of(h, tables))
+                few.append(np.sort(h).view(np.int64) if 0 < len(h) <= FEW else None)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.binary()), pa.array(few, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "bits", "few"])
 
 
 def words_of(column: pa.Array) -> np.ndarray:
@@ -473,6 +480,25 @@ def shingled(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))], names=["node", "shingles"])
 
 
+def short_pairs(rooted: DataFrame, few: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different roots: every pair of texts with at most FEW shingles that may have the similarity.
+
+    Two such sets share one of the first shingles of both, rarest first, of which a set of n has n - ceil(similarity * n) + 1,
+    and their sizes are alike. rooted: id, root; few: id, few (the set). Exact; a shingle of very many texts is hardly ever
+    among the first of one.
+    """
+    each = few.join(rooted.select("id", "root"), "id").select("id", "root", F.size("few").alias("n"), F.explode("few").alias("s"))
+    often = each.groupBy(F.col("s").alias("__s")).agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(often.filter("df > 1"), F.col("s") == F.col("__s")).groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    # shingles that no other text has come first of all and meet none
+    alone = F.col("n") - F.size("all")
+    first = F.greatest(F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    asked = materialize(ranked.select("id", "root", "n", F.explode(F.slice("all", F.lit(1), first)).alias("x")).select("id", "root", "n", "x.s"), "first")
+    left, right = (asked.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "root", "n")]) for side in "ab")
+    alike = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
+    return left.join(right, "s").filter((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def settled(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the similarity. nodes: id, text_hash of one of its texts."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -489,13 +515,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     its doc_id is the group's smallest. A written table; text_hash is xxhash64 of the text, '' for null.
 
     Equal texts are linked always. Texts of Jaccard similarity s over their sets of 5-word shingles meet in one of 32
-    tables with probability 0.98 at 0.8 and nearly 1 from 0.85. The share of 1024 bits that differs only rules pairs out;
-    no pair is linked but by its sets, and of texts that meet none is left out unless both are in one group already. A group
-    of n gives few pairs; a family of n texts that are alike but less than `similarity` gives up to n * n.
+    tables with probability 0.98 at 0.8 and nearly 1 from 0.85; two of at most FEW shingles meet always, by their shingles. The
+    share of 1024 bits that differs only rules pairs out; no pair is linked but by its sets or by equal bits, and of texts that
+    meet none is left out unless both are in one group already. A group of n gives few pairs; a family of n texts that are alike
+    but less than `similarity` gives up to n * n.
     """
     hashed = texts(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary"), "sketches")
-    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")).select(F.xxhash64("bits").alias("id"), "bits", "least", "text_hash"), "nodes")
+    prints = materialize(hashed.mapInArrow(lambda it: sketches(it, tables, shingle), "doc_id long, text_hash long, bits binary, few array<long>"), "sketches")
+    one = F.min(F.struct("text_hash", "few")).alias("one")  # the set is that of the text with the least hash
+    distinct = materialize(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), one).select(F.xxhash64("bits").alias("id"), "bits", "least", "one.text_hash", "one.few"), "nodes")
+    few = distinct.filter("few IS NOT NULL").select("id", "few")
     n = distinct.count()
     bits = max(0, min(20, int(np.ceil(np.log2(max(n, 1) * (TABLE_BITS + 1) / (2 * VARIANTS_A_SLICE))))))
     likely, most = (differing(similarity, tables * TABLE_BITS, x) for x in (0, HOPELESS))
@@ -515,7 +544,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     every = lambda rooted, how: reduce(DataFrame.unionByName, [candidates(some, rooted, most, how) for some in rounds])
     found = of(candidates(list(range(max(1, tables // 8))), distinct.select("id", "bits", F.col("id").alias("root")), likely, "neighbours"))
     found = found.unionByName(of(every(under(components(found)), "closest").distinct()))
-    groups = components(found.unionByName(of(every(under(components(found)), "all"))))
+    rooted = under(components(found))
+    groups = components(found.unionByName(of(every(rooted, "all").unionByName(short_pairs(rooted, few, similarity)).distinct())))
     rooted = distinct.join(groups, distinct.id == groups.node, "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("keep"))
     of_node = rooted.join(first, "root").select("id", "root", "keep")

@@ -135,3 +135,35 @@ def test_a_pair_that_meets_comes_once():
     want = [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (away[a, b] <= 2).any() and away[a, b].sum() <= 20]
     assert sorted(got) == want and len(want) > 50
     assert set(closest) <= set(want)
+
+
+def test_short_near_copies_are_all_found(spark):
+    """Pairs at or above 0.8 of texts of any short length, among others just below and unlike ones; by all pairs."""
+    import random
+
+    rng = random.Random(3)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(180):
+        own = draw([1, 4, 5, 6, 8, 9, 12, 17, 25, 40, 60, 80][k % 12])
+        rows.append(" ".join(own))
+        rows.append(" ".join([*own, *draw(1)]))  # one word more: at 0.8 from 8 words on
+        rows.append(" ".join([*own[:-1], *draw(1)]))
+        rows.append(" ".join(own).upper() + "  ")
+        rows.append(" ".join([*draw(1), *own, *draw(1)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    roots = {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}
+    sets = [set(simhash.hashes_of(t.encode(), 5).tolist()) for t in rows]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    found = {}
+    for d, r in roots.items():
+        found.setdefault(r, set()).add(d)
+    true = {}
+    for d, r in enumerate(want):
+        true.setdefault(r, set()).add(d)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, true.values()))
