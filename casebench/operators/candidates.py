@@ -15,20 +15,22 @@ from casebench.session import written
 KEYWORD_BUDGET, DISCOVERY_BUDGET = 32, 8
 #: Rounds that raise the score to beat take only keys of so many entries at most; the last takes all.
 ROUNDS = (8, 64, None)
-WIDTH = 15
+WIDTH, SHORT = 15, 24
 
 
 def weighed(entries: DataFrame) -> tuple[DataFrame, int]:
-    """entry, file and keys (strings, rarest first) of entries (entry, file, keys array), and the number of entries.
+    """entry and keys (strings, rarest first) of entries (entry, keys array), and the number of entries.
 
-    Keys that others have too, each after its number of entries in WIDTH digits. Of a key that a third of all entries has,
-    counts come before the shuffle and the join can be split.
+    Keys that others have too, each after its number of entries in WIDTH digits; a key longer than SHORT is told by so many
+    hexadecimal digits of its SHA-256. Of a key that a third of all entries has, counts come before the shuffle and the join
+    can be split.
     """
-    each = entries.filter("entry IS NOT NULL").select("entry", "file", F.explode(F.array_distinct("keys")).alias("key")).filter("key IS NOT NULL")
+    short = lambda k: F.when(F.length(k) > SHORT, F.left(F.sha2(k, 256), F.lit(SHORT))).otherwise(k)
+    each = entries.filter("entry IS NOT NULL").select("entry", F.explode(F.transform(F.array_distinct("keys"), short)).alias("key")).filter("key IS NOT NULL")
     total = entries.filter("entry IS NOT NULL").count()
     df = each.groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = each.join(df, F.col("key") == F.col("__key")).select("entry", "file", F.concat(F.lpad(F.col("df").cast("string"), WIDTH, "0"), "key").alias("k"))
-    return own.groupBy("entry", "file").agg(F.sort_array(F.collect_list("k")).alias("keys")), total
+    own = each.join(df, F.col("key") == F.col("__key")).select("entry", F.concat(F.lpad(F.col("df").cast("string"), WIDTH, "0"), "key").alias("k"))
+    return own.groupBy("entry").agg(F.sort_array(F.collect_list("k")).alias("keys")), total
 
 
 def entries_with(key: Column) -> Column:
@@ -55,7 +57,7 @@ def best_pairs(entries: DataFrame, k: int = KEYWORD_BUDGET) -> DataFrame:
     known = entries.select("entry", F.coalesce(F.col("file").cast("string"), F.lit("")).alias("file"), "keys")
     keyed, total = weighed(known)
     weight = lambda x: F.floor(F.lit(total) / entries_with(x))
-    held = written(without_twins(keyed, k), "entries")
+    held = written(without_twins(keyed.join(known.select("entry", "file"), "entry"), k), "entries")
     least, best = 0, None
     for turn, most in enumerate(ROUNDS):
         # the first keys: those from which on the keys weigh at least the score to beat
