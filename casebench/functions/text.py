@@ -148,6 +148,23 @@ def around(text: Column, quote: Column, window: int = WINDOW) -> Column:
     return F.when(at > 0, F.substring(body, start + 1, at - 1 + size + half - start)).otherwise(F.left(body, F.lit(window)))
 
 
+def near_keywords(lines: Column, keywords: list[str], radius: int = 6, windows: int = 2, head: int = 20) -> Column:
+    """The lines around the first ones that hold a keyword (lower case), `radius` either way, at most `windows` stretches that
+    don't overlap, with '...' between; the first `head` lines if none holds one."""
+    size = F.size(lines)
+    hit = lambda x: F.greatest(*[F.contains(F.lower(x), F.lit(k)) for k in keywords], F.lit(False))
+    at = F.filter(F.transform(lines, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
+    # greedy: a hit whose window would overlap the last one taken is passed over
+    taken = F.aggregate(at, F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) < windows) & ((F.size(acc) == 0) | (i - radius > F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + radius)), F.concat(acc, F.array(i))).otherwise(acc))
+    cut = F.transform(taken, lambda i, k: F.concat(F.when(k > 0, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>")), F.slice(lines, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius + 1, size) - F.greatest(i - radius, F.lit(0)))))
+    return F.when(F.size(at) > 0, F.flatten(cut)).otherwise(F.slice(lines, 1, head))
+
+
+def doc_ids_in(prose: Column) -> Column:
+    """Distinct document ids (slugs joined by a double underscore) in folded prose, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"[a-z0-9][a-z0-9_]*__[a-z0-9_]+"), F.lit(0))))
+
+
 def glob_regex(glob: str) -> str:
     """A shell pattern as an anchored regular expression."""
     return "^" + "".join({"*": "(?s:.*)", "?": "(?s:.)"}.get(c, re.escape(c)) for c in glob) + "$"

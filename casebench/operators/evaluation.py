@@ -69,6 +69,17 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
 
 
+def head_split(df: DataFrame, order: list[str], n: int, by: list[str] | None = None) -> DataFrame:
+    """df with `part`: validation for the first n rows of each group by order, else test. order makes rows unique."""
+    first = df.select(*(by or []), *order).withColumn("__n", F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(*order))).filter(F.col("__n") <= n)
+    keys = list(dict.fromkeys([*(by or []), *order]))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = df.join(first.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit("validation").alias("part")), on, "left")
+    return both.select(*df.columns, F.coalesce("part", F.lit("test")).alias("part"))
+
+
 def running_stop(log: DataFrame, order: str, ceiling: float, failed: Column | None = None, rate: float = 0.1, least: int = 10, by: list[str] | None = None) -> DataFrame:
     """log (order, cost_usd) with running cost and failures, and whether a brake was on: cost over the ceiling, or over `rate` failed after `least`.
 

@@ -75,7 +75,7 @@ def in_order(df: DataFrame, group: list[str], order: list[str], out: str) -> Dat
     before = W.partitionBy(*[f"__g{i}" for i in range(len(group))]).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    on = F.col("__part") == F.col("__p")
+    on = F.col("__part") == F.col("__p")  # with no group, the counts are a row for each task
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     own = dealt.withColumn("__row", F.row_number().over(W.partitionBy(*group, "__part").orderBy(*order)))

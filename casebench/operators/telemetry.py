@@ -89,3 +89,15 @@ def accessible(cases: DataFrame, public: tuple[str, ...], unlocked: tuple[str, .
     """Cases (case_id, owner, entries) that a user may see and that hold something, those with entries first."""
     ok = F.col("case_id").isin(*public, *unlocked) if public or unlocked else F.lit(False)
     return cases.filter(ok | (F.col("owner") == F.lit(user))).orderBy((F.col("entries") > 0).desc(), "case_id")
+
+
+def cases(spark, root: str) -> list[str]:
+    """The ids of the cases below a folder of `case_id=...` folders or of folders named by their case, sorted; others aren't cases."""
+    import re
+
+    from casebench.schemas import CASE_ID
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName().removeprefix("case_id=") for s in (fs.listStatus(p) if fs.exists(p) else []) if s.isDirectory()]
+    return sorted(n for n in names if re.fullmatch(CASE_ID.strip("^$"), n))

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
-from casebench.operators import obligations
+from casebench.operators import brief, obligations
 from casebench.operators.obligations import leaf, obligation
 from casebench.plans.registry import Tables, query
 
@@ -105,3 +105,14 @@ def case_rule_findings(t):
     """The findings of all that the catalogue triggers, with tier, basis, evidence and claim."""
     e, g = evaluated(t)
     return obligations.findings(e, g["facts"], g["coverage"], g["defective"]).select("subject", "status", "tier", "tier_basis", "severity", "externalisable", "evidence", "claim")
+
+
+@query("""WITH v AS (SELECT 'o' || (doc_id % 7) AS o, CAST(doc_id AS VARCHAR) AS f, 'm1' AS j, 'q' || quality AS l FROM labels UNION ALL SELECT 'o' || (doc_id % 7), CAST(doc_id AS VARCHAR), 'm2', 'q' || toxic FROM labels),
+c AS (SELECT o, f, j, l, count(*) AS n FROM v WHERE l IS NOT NULL GROUP BY ALL), m AS (SELECT o, f, j, arg_min(l, (-n, l)) AS l FROM c GROUP BY ALL)
+SELECT 'divergence|' || o || '|' || f AS subject, 'Lecture divergente d''une pièce : ' || o AS claim, 'fait=' || f || ' · ' || string_agg(j || '=' || l, ', ' ORDER BY j) || ' · ' || string_agg(j || ' : ', ' ‖ ' ORDER BY j) AS evidence, 'T5' AS tier, false AS externalisable FROM m GROUP BY o, f HAVING count(DISTINCT l) > 1""")
+def divergence_findings(t):
+    """Labels as two judges' readings of each document: where they differ, a finding that never leaves."""
+    of = lambda judge, c: t.labels.select(F.concat(F.lit("o"), (F.col("doc_id") % 7).cast("string")).alias("obligation_id"), F.col("doc_id").cast("string").alias("fact_id"), F.lit(judge).alias("judge"), F.concat(F.lit("q"), F.col(c).cast("string")).alias("label"), F.lit(None).cast("string").alias("reason"))
+    titles = t.spark.createDataFrame([(f"o{k}", None) for k in range(7)], "obligation_id string, title string")
+    facts = t.labels.select(F.col("doc_id").cast("string").alias("fact_id"), F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    return brief.divergences(of("m1", "quality").unionByName(of("m2", "toxic")), titles, facts).select("subject", "claim", "evidence", "tier", "externalisable")

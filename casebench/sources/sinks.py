@@ -99,6 +99,12 @@ def replaced_by_document(old: DataFrame, new: DataFrame, doc: str, processed: Da
     return old.join(processed.select(doc).distinct(), doc, "left_anti").unionByName(new, allowMissingColumns=True).orderBy(*order)
 
 
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """Overwrite a folder of CSV files with header, quoted as read_csv() reads; rows in order over the files, null as ''."""
+    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    out.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def appended(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
