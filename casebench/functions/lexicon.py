@@ -48,16 +48,25 @@ def folded(s: str | None) -> str:
     return " ".join(bare.lower().split())
 
 
+_ACCENTS = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
+#: Texts that fold_native() folds as folded() does: ASCII, precomposed Latin letters, and letters and marks that stay as they are.
+_PLAIN = "(?s)\\A[\\t\\n\\x0B\\f\\r\\x20-\\x7E" + _ACCENTS + _ACCENTS.upper() + APOSTROPHES + "ßœæøŒÆØ«»€–—" + "]*+\\z"
+
+
 @F.pandas_udf(StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """NFKD has no built-in; the folded column is made once and reused."""
-    return s.map(folded)
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: folded(x) if x is not None else None)
+
+
+def fold(c: Column) -> Column:
+    """folded() of a column, '' for null: inside the JVM, but for texts that need NFKD, which has no built-in."""
+    return F.coalesce(_folded(F.when(~F.rlike(c, F.lit(_PLAIN)), c)), fold_native(c))
 
 
 def fold_native(c: Column) -> Column:
     """Folding for text whose only accents are precomposed Latin letters, inside code generation."""
-    accents, plain = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ" + APOSTROPHES, "aaaaaaceeeeiiiinooooouuuuyy" + "'" * 4
-    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), accents, plain), r"(?U)\s+", " "))
+    plain = "aaaaaaceeeeiiiinooooouuuuyy" + "'" * len(APOSTROPHES)
+    return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), _ACCENTS + APOSTROPHES, plain), r"(?U)\s+", " "))
 
 
 def contained(terms: list[str] | tuple[str, ...], text: Column) -> Column:

@@ -128,11 +128,12 @@ def ranked_candidates(obligations: DataFrame, leaves: DataFrame, facts: DataFram
     terms = leaves.groupBy("obligation_id").agg(F.flatten(F.collect_list("any_terms")).alias("terms"))
     bearers = obligations.join(terms, "obligation_id").select("obligation_id", "terms", F.explode(F.array_distinct("bearer_roles")).alias("__role"))
     found = F.size(F.filter("terms", lambda t: F.contains(F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f in MATCH_FIELDS]), t)))
+    best = lambda df, by: df.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(F.col("found").desc(), "fact_id"))).filter(F.col("__n") <= MAX_CANDIDATES)
     pool = facts.join(F.broadcast(bearers), F.col("role") == F.col("__role")).select("obligation_id", "fact_id", found.alias("found"))
-    loose = each.filter("foreach_key IS NULL").select("__i", "obligation_id").join(pool, "obligation_id")
+    # the first of an obligation, before instances meet them
+    loose = each.filter("foreach_key IS NULL").select("__i", "obligation_id").join(best(pool, "obligation_id"), "obligation_id")
     tied = each.filter("foreach_key IS NOT NULL").select("__i", "obligation_id", F.col("foreach_key").alias("__p")).join(pool.join(owned, F.col("fact_id") == F.col("__f")), ["obligation_id", "__p"])
-    both = loose.select("__i", "fact_id", "found").unionByName(tied.select("__i", "fact_id", "found"))
-    first = both.withColumn("__n", F.row_number().over(W.partitionBy("__i").orderBy(F.col("found").desc(), "fact_id"))).filter(F.col("__n") <= MAX_CANDIDATES)
+    first = loose.select("__i", "fact_id", "__n").unionByName(best(tied.select("__i", "fact_id", "found"), "__i").select("__i", "fact_id", "__n"))
     return first.groupBy("__i").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "fact_id"))), lambda x: x["fact_id"]).alias("candidates"))
 
 

@@ -115,3 +115,11 @@ def test_unknown_model_raises(spark):
     assert scalars.costed(usage.filter("model = 'm'"), rates).first().cost_usd == 2.0
     with pytest.raises(Exception, match="no rate for model x"):
         scalars.costed(usage, rates).collect()
+
+
+def test_fold_is_the_same_in_the_jvm_and_in_python(spark):
+    from casebench.functions import lexicon
+
+    odd = ["", "ÀÉÎ Ÿ ça\t\n d’ici `x ‘y ʼz", "Straße ẞ Œuvre Ærø", "½ ﬁn … nbsp x é", "\x1c a\x1fb\x7f", "漢字 🙂 İstanbul", "  «deux»  — 5 €  ", "a\u0085b c", "É" * 5000 + " x", "\x0b\x0c \r\n"]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(odd)] + [(99, None)], "i int, s string").select("i", lexicon.fold(F.col("s")).alias("f"))
+    assert {r.i: r.f for r in got.collect()} == {**{i: lexicon.folded(s) for i, s in enumerate(odd)}, 99: ""}
