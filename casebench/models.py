@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from casebench.session import written
 from casebench.sources.logtable import LogTable
 
 BATCH = 32
@@ -113,14 +114,19 @@ class StoredCache:
     def __init__(self, spark: SparkSession, root: str, fan: int = 8):
         self.table = LogTable(spark, root, "cache_key string, pass_name string, subject string, result_json string", ["cache_key"], ("result_json",), fan)
 
-    def answered(self, work: DataFrame, prompt: str, provider: ModelProvider, keep: Callable[[F.Column], F.Column] = lambda r: r.isNotNull()) -> DataFrame:
+    def answered(self, work: DataFrame, prompt: str, provider: ModelProvider, keep: Callable[[F.Column], F.Column] = lambda r: r.isNotNull(), whole: bool = False) -> DataFrame:
         """work (cache_key, pass_name, subject, the prompt's column) with result_json; several rows of a key cost one call.
 
         Misses reach the model and their answers are committed as one batch; what `keep` refuses, such as a failed call, isn't
-        cached and has a null result, so that the next run asks again.
+        cached and has a null result (whole: the result as it came), so that the next run asks again.
         """
         known = self.table.read().select("cache_key", "result_json")
         asked = work.join(known, "cache_key", "left_anti").groupBy("cache_key").agg(F.min(F.struct("pass_name", "subject", prompt)).alias("r")).select("cache_key", "r.*")
-        fresh = completed(asked, prompt, provider, "result_json").filter(keep(F.col("result_json")))
-        self.table.append(fresh.select("cache_key", "pass_name", "subject", "result_json"))
-        return work.join(self.table.read().select("cache_key", "result_json"), "cache_key", "left")
+        # written first: what is committed and what is handed on must be one answer
+        fresh = written(completed(asked, prompt, provider, "result_json").select("cache_key", "pass_name", "subject", "result_json"), "answers")
+        right = keep(F.col("result_json"))
+        self.table.append(fresh.filter(right))
+        found = self.table.read().select("cache_key", "result_json")
+        if whole:
+            found = found.unionByName(fresh.filter(~F.coalesce(right, F.lit(False))).select("cache_key", "result_json"))
+        return work.join(found, "cache_key", "left")
