@@ -33,8 +33,9 @@ class CaseTables:
         """Replace a table by rows; columns by name, missing ones null, others left out."""
         schema, key = self.spark.table(f"`{self.database}`.`{name}`").schema, DDL[name][1]
         out = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        # one file a bucket: the task that holds a bucket's rows writes it
-        out.repartition(self.buckets, key).write.insertInto(f"`{self.database}`.`{name}`", overwrite=True)
+        # one file a bucket, however many tasks there are: rows are dealt out by the bucket that Spark will put them in
+        bucket = F.pmod(F.hash(key), F.lit(self.buckets))
+        out.repartition(self.buckets, bucket).write.insertInto(f"`{self.database}`.`{name}`", overwrite=True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"`{self.database}`.`{name}`")
