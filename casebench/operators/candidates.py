@@ -63,10 +63,17 @@ def best_pairs(entries: DataFrame, k: int = KEYWORD_BUDGET) -> DataFrame:
         # the first keys: those from which on the keys weigh at least the score to beat
         sums = F.aggregate(F.reverse("keys"), F.struct(F.lit(0).cast("long").alias("rest"), F.lit(0).alias("n")),
                            lambda acc, x: F.struct((acc["rest"] + weight(x)).alias("rest"), (acc["n"] + (acc["rest"] + weight(x) >= least).cast("int")).alias("n")))
-        asked = held.select("entry", "file", F.explode(F.slice("keys", F.lit(1), sums["n"])).alias("key"))
-        asked = asked.filter(entries_with(F.col("key")) <= most) if most else asked
-        left, right = (asked.select("key", F.col("entry").alias(e), F.col("file").alias(f)) for e, f in (("a", "__fa"), ("b", "__fb")))
-        met = left.join(right, "key").filter("a < b AND __fa <> __fb").select("a", "b").distinct()
+        some = F.slice("keys", F.lit(1), sums["n"])
+        some = F.filter(some, lambda x: entries_with(x) <= most) if most else some
+        heavy = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + weight(x))
+        asked = held.select("entry", "file", some.alias("some"), heavy(F.col("keys")).alias("all")).select("entry", "file", (F.col("all") - heavy(F.col("some"))).alias("rest"), F.explode("some").alias("key"))
+        left, right = (asked.select("key", F.col("entry").alias(e), F.col("file").alias(f"__f{e}"), F.col("rest").alias(f"__r{e}")) for e in "ab")
+        # what a pair shares of these keys is the least that it scores; the most is that and all that its entries have besides
+        low = left.join(right, "key").filter("a < b AND __fa <> __fb").groupBy("a", "b").agg(F.sum(weight(F.col("key"))).alias("low"), (F.any_value("__ra") + F.any_value("__rb")).alias("more"))
+        low = written(low, "low")
+        lows = [r.low for r in low.orderBy(F.col("low").desc()).limit(k).select("low").collect()]  # k numbers
+        beat = max(least, min(lows)) if len(lows) == k else least
+        met = low.filter(F.col("low") + F.col("more") >= beat).select("a", "b")
         keys = held.select("entry", "keys")
         both = met.join(keys.withColumnsRenamed({"entry": "a", "keys": "__ka"}), "a").join(keys.withColumnsRenamed({"entry": "b", "keys": "__kb"}), "b")
         shared = F.array_intersect("__ka", "__kb")
