@@ -24,8 +24,8 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+def squeeze(c: Column, blank: str = r"(?U)\s") -> Column:
+    return F.trim(F.regexp_replace(c, f"{blank}+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -33,12 +33,18 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x else x)
 
 
-def strip_tags(c: Column) -> Column:
-    """Tags become blanks, runs of blanks one; entities are left (see unescape)."""
-    return F.coalesce(squeeze(F.regexp_replace(c, r"<[^>]+>", " ")), F.lit(""))
+def strip_tags(c: Column, blank: str = r"(?U)\s") -> Column:
+    """Tags become blanks, runs of blanks one; entities are left (see unescape, named)."""
+    return F.coalesce(squeeze(F.regexp_replace(c, r"<[^>]+>", " "), blank), F.lit(""))
+
+
+def named(c: Column, entities: dict[str, str]) -> Column:
+    """Only these entities decoded, one after the other, and only with their semicolon."""
+    return reduce(lambda s, e: F.replace(s, F.lit(f"&{e[0]};"), F.lit(e[1])), entities.items(), c)
 
 
 def html_text(c: Column) -> Column:
+    """Text without tags; entities as HTML has them, an unfinished '&amp' too."""
     return strip_tags(unescape(c))
 
 

@@ -27,3 +27,9 @@ def test_epoch_dates_of_any_year(spark, same):
     ids = [0, 1636, 1637, 80903, 80904, 500_000, 2_000_000, -18_000, -17_900, -19_000, -19_500, -200_000, None]
     days = {r.doc_id: r.day for r in same("epoch_dates", documents=spark.createDataFrame([(i,) for i in ids], "doc_id long"))}
     assert days[80903] == "9999-11-25" and days[80904] == "10000-01-01" and days[None] is None
+
+
+def test_html_strip_of_odd_pages(spark, same):
+    pages = ["a&amp;&amp</title>b", "&quot &quot; &copy &copy; &middot; &lt;i&gt; &amp;lt; &#233;", "&amp;quot;&quot;amp;", "\u00a0<p>a\u00a0 \u00a0b\x0b\x85</p>\u2003", "a\x85<br>\u2028", "<>x<\n>", " \t", "", None]
+    got = same("html_strip", pages=spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+    assert {r.page_id for r in got if r.digest is None} == {8}
