@@ -3,6 +3,7 @@
 import pytest
 
 from casebench import plans
+from casebench.functions import scalars
 from tests.test_queries import plain
 
 
@@ -33,3 +34,7 @@ def test_html_strip_of_odd_pages(spark, same):
     pages = ["a&amp;&amp</title>b", "&quot &quot; &copy &copy; &middot; &lt;i&gt; &amp;lt; &#233;", "&amp;quot;&quot;amp;", "\u00a0<p>a\u00a0 \u00a0b\x0b\x85</p>\u2003", "a\x85<br>\u2028", "<>x<\n>", " \t", "", None]
     got = same("html_strip", pages=spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
     assert {r.page_id for r in got if r.digest is None} == {8}
+
+
+def test_letters_after_three():
+    assert [scalars.letters(n) for n in (702, 703, 18_278, 18_279, 475_254, 475_255)] == ["zz", "aaa", "zzz", "aaaa", "zzzz", "aaaaa"]
