@@ -91,12 +91,19 @@ def fit(labelled: DataFrame, smoothing: float = 0.5) -> Ratios:
     return Ratios(tuple(table.ravel().tolist()))
 
 
+def steps(token: Column, ratios: Ratios) -> Column:
+    """The log ratio of each character of a token of the alphabet after the one before. A lambda that used this would work it out
+    anew for each entry, and each use puts the table into the plan: it is what an aggregate goes over, once.
+    """
+    table = F.lit(np.array(ratios.table))
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    n = F.length(token) - 1
+    return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(table, ((a - 1) * len(ALPHABET) + b).cast("int")))
+
+
 def ratio(token: Column, ratios: Ratios) -> Column:
     """The log-likelihood ratio of a token of the alphabet."""
-    table = F.lit(np.array(ratios.table))
-    code = lambda c: F.instr(F.lit(ALPHABET), c)
-    codes = F.transform(F.split(token, ""), code)
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), F.lit(0.0), lambda total, i: total + F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int")))
+    return F.aggregate(steps(token, ratios), F.lit(0.0), lambda total, add: total + add)
 
 
 SEGMENTS = "array<struct<best:double,start:int,stop:int>>"
@@ -108,24 +115,21 @@ def segments(token: Column, ratios: Ratios, prior: float) -> Column:
     A segment begins where the running ratio last rose from zero, and ends at its peak, once the ratio has fallen to zero or by
     the prior below it: an ordinary stretch as unlike a key as a key is unlike it parts two keys.
     """
-    table = F.lit(np.array(ratios.table))
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     limit = F.lit(prior)
 
     def closed(acc: Column) -> Column:
         one = F.array(F.struct(acc["peak"].alias("best"), acc["begin"].alias("start"), acc["stop"].alias("stop")))
         return F.when(acc["peak"] > limit, F.concat(acc["out"], one)).otherwise(acc["out"])
 
-    def step(acc: Column, i: Column) -> Column:
-        add = F.element_at(table, ((F.element_at(codes, i) - 1) * len(ALPHABET) + F.element_at(codes, i + 1)).cast("int"))
+    def step(acc: Column, add: Column) -> Column:
         # over: the running ratio is spent, or far enough below a peak that counts
         over = (acc["total"] <= 0) | ((acc["peak"] > limit) & (acc["peak"] - acc["total"] > limit))
         total = F.when(over, F.lit(0.0)).otherwise(acc["total"]) + add
         peak = F.when(over, F.lit(0.0)).otherwise(acc["peak"])
-        return F.struct(total.alias("total"), F.when(over, i - 1).otherwise(acc["begin"]).alias("begin"), F.greatest(total, peak).alias("peak"), F.when(total > peak, i + 1).otherwise(acc["stop"]).alias("stop"), F.when(over, closed(acc)).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["i"] + 1).alias("i"), total.alias("total"), F.when(over, acc["i"] - 1).otherwise(acc["begin"]).alias("begin"), F.greatest(total, peak).alias("peak"), F.when(total > peak, acc["i"] + 1).otherwise(acc["stop"]).alias("stop"), F.when(over, closed(acc)).otherwise(acc["out"]).alias("out"))
 
-    none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("begin"), F.lit(0.0).alias("peak"), F.lit(0).alias("stop"), F.array().cast(SEGMENTS).alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(codes) - 1), none, step, closed)
+    none = F.struct(F.lit(1).alias("i"), F.lit(0.0).alias("total"), F.lit(0).alias("begin"), F.lit(0.0).alias("peak"), F.lit(0).alias("stop"), F.array().cast(SEGMENTS).alias("out"))
+    return F.aggregate(steps(token, ratios), none, step, closed)
 
 
 def joined(found: Column) -> Column:
@@ -135,7 +139,7 @@ def joined(found: Column) -> Column:
         wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), F.lit("").alias("value"))
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.when(F.size(found) < 2, found).otherwise(F.aggregate(found, F.array().cast(SPAN), add))
+    return F.aggregate(found, F.array().cast(SPAN), add)
 
 
 def within(s: Column, ratios: Ratios, prior: float) -> Column:
@@ -143,7 +147,7 @@ def within(s: Column, ratios: Ratios, prior: float) -> Column:
     value = s["value"]
     distinct = lambda v: F.size(F.array_distinct(F.split(v, "")))
 
-    def cut(best: Column) -> Column:
+    def bounds(best: Column) -> Column:
         before = F.length(F.regexp_extract(F.substring(value, F.lit(1), best["start"]), r"[^/._=-]*$", 0))
         after = F.length(F.regexp_extract(F.substring(value, best["stop"] + 1, F.length(value)), r"^[^/._=-]*", 0))
         # the first piece of a segment that is ordinary as a whole isn't of the key
@@ -151,12 +155,13 @@ def within(s: Column, ratios: Ratios, prior: float) -> Column:
         head = F.regexp_extract(wide, r"^([^/._=-]*)[/._=-]+", 0)
         first = F.regexp_extract(wide, r"^([^/._=-]*)[/._=-]+", 1)
         ordinary = (F.length(first) < 3) | (ratio(F.rpad(first, F.greatest(F.length(first), F.lit(3)), "-"), ratios) < 0)
-        start = best["start"] - before + F.when(ordinary, F.length(head)).otherwise(0)
-        stop = best["stop"] + after
-        one = F.struct((s["start"] + start).alias("start"), (s["start"] + stop).alias("stop"), F.substring(value, start + 1, stop - start).alias("value"))
-        return F.filter(F.array(one), lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT))
+        return F.struct((best["start"] - before + F.when(ordinary, F.length(head)).otherwise(0)).alias("start"), (best["stop"] + after).alias("stop"))
+
+    def cut(at: Column) -> Column:
+        return F.struct((s["start"] + at["start"]).alias("start"), (s["start"] + at["stop"]).alias("stop"), F.substring(value, at["start"] + 1, at["stop"] - at["start"]).alias("value"))
 
-    part = joined(F.flatten(F.transform(segments(value, ratios, prior), cut)))
+    found = F.transform(F.transform(segments(value, ratios, prior), bounds), cut)
+    part = joined(F.filter(found, lambda x: (F.length(x["value"]) >= 20) & (distinct(x["value"]) >= LEAST_DISTINCT)))
     return F.when(distinct(value) < LEAST_DISTINCT, F.array().cast(SPAN)).when(ratio(value, ratios) > prior, F.array(s)).otherwise(part)
 
 

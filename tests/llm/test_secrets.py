@@ -130,3 +130,22 @@ def test_many_spans_in_one_text(spark, ratios):
         want = [f"assign:{m.start()}:{m.end()}" for m in ASSIGN.finditer(text)]
         assert row.spans == ",".join(want) and row.clean == ASSIGN.sub("[SECRET]", text)
     assert took[1] < 30 * max(took[0], 0.2)
+
+
+def test_the_table_stands_in_the_plan_once_a_score(spark, ratios):
+    # a token's score, its segments and the first piece of a segment: each copy of the table is 90 kB of plan text and more of heap
+    marked = secrets.Ratios((1234.5678, *ratios.table[1:]))
+    docs = spark.createDataFrame([(1, "clean")], "doc_id long, text string")
+    plan = secrets.scan(docs, marked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("1234.5678") == 3
+
+
+def test_one_long_token(spark, ratios):
+    key, name = "q7Zk2VxR9mTb4LwYc8HdJs3N", "get_user_account_information"
+    token = "/".join([name, key] * 150)
+    docs = spark.createDataFrame([(1, f"see {token} end")], "doc_id long, text string")
+    found = [(s.start, s.stop) for s in secrets.scan(docs, ratios).first().spans]
+    text = f"see {token} end"
+    # every key is found: a span covers it
+    keys = [m.start() for m in re.finditer(key, text)]
+    assert len(keys) == 150 and all(any(a <= k and k + len(key) <= b for a, b in found) for k in keys)
